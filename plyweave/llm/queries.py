@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plyweave.llm import decontaminate as contamination
+from plyweave.llm import language, toxicity
 from plyweave.llm.packing import pack_documents
 from plyweave.llm.simhash import near_duplicates
 
@@ -21,6 +22,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -29,11 +35,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_decontamination": op2_decontamination,
+        "op5_language_id": op5_language_id,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_packing": op9_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
