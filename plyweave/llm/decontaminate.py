@@ -179,6 +179,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, unchanged, that aren't contaminated; rows with equal doc_id and text go or stay together."""
+    judged = decontaminate(docs, benchmark).filter("contaminated")
+    bad = materialize(judged.select(F.col("doc_id").alias("bad_id"), F.xxhash64("text").alias("bad_tag")).distinct(), "contaminated")
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["bad_tag"])
+    return docs.join(bad, same, "left_anti")
+
+
 def digest(judged: DataFrame) -> DataFrame:
     """The contract's columns of `decontaminate`'s rows."""
     listed = F.concat_ws(",", F.transform("item_ids", lambda i: i.cast("string")))

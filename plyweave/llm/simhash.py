@@ -46,14 +46,15 @@ def text_fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row's whole text."""
+    """doc_id, tag (a hash of the text), fp (the 64 bits as a signed long) of each row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             fps = np.array([text_fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fps)], names=["doc_id", "tag", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -151,7 +152,7 @@ def free_bits(path: int, radius: int) -> list[int]:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of `docs`: doc_id, fp (long), fingerprint (16 hex digits), component_id.
+    """One row per row of `docs`: doc_id, tag (hash of the text), fp (long), fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that chains of links reach, the row's own included. Null, empty and blank texts
     have fingerprint zero and link like any other. Texts of fewer words than a shingle are one shingle. Rows that share
@@ -166,4 +167,19 @@ def near_duplicates(docs: DataFrame, radius: int = 3, bucket: int = BUCKET) -> D
     named = nodes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_print = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "tag", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """The rows of `docs`, unchanged, that stand for their component: that with the smallest doc_id.
+
+    If that doc_id has several rows, the text with the smallest hash stays, and of equal rows one. Rows without doc_id
+    all stay, as nothing names them.
+    """
+    found = near_duplicates(docs, radius).filter(F.col("doc_id").isNotNull())
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tag")).alias("least"))
+    first = materialize(first.select(F.col("least.doc_id").alias("kept_id"), F.col("least.tag").alias("kept_tag")), "kept")
+    kept = docs.join(first, (docs["doc_id"] == first["kept_id"]) & (F.xxhash64(docs["text"]) == first["kept_tag"]), "left_semi")
+    if found.count() != found.select("doc_id").distinct().count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -132,32 +132,49 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_toxic: i
     return fit_machine(rows, y, importance)
 
 
+def margins_of(texts: list[str | None], machine: FactorizationMachine, index: dict[int, int], seen: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """Probabilities of whole texts; `index` has the places of known terms, `seen` remembers words between calls."""
+    rows = []
+    for text in texts:
+        found: set[int] = set()
+        for word in set(_WORD.findall((text or "").lower())):
+            at = seen.get(word)
+            if at is None:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen[word] = at = tuple(index[t] for t in word_terms(word) if t in index)
+            if at:
+                found.update(at)
+        rows.append(np.array(sorted(found), np.int64))
+    return 1 / (1 + np.exp(-np.clip(machine.margins(rows), -500, 500)))
+
+
 def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), text unchanged, for each row of `docs`.
+    """doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5) for each row of `docs`.
 
-    Null and empty texts, like all texts without a known term, get the rate of toxic rows as score. Each row is scored
-    by its own text, whatever its doc_id; a null doc_id counts as ''. Other columns are not looked at.
+    Null and empty texts, like all texts without a known term, get the fitted bias, about the rate of toxic rows. Each
+    row is scored by its own text, whatever its doc_id; a null doc_id counts as ''. Other columns are not looked at.
     """
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = model.value, {}
-        index = {int(t): i for i, t in enumerate(m.known)}
+        index, seen = {int(t): i for i, t in enumerate(model.value.known)}, {}
         for batch in rows_of(batches):
-            rows = []
-            for text in batch.column("text").to_pylist():
-                found: set[int] = set()
-                for word in set(_WORD.findall((text or "").lower())):
-                    at = seen.get(word)
-                    if at is None:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen[word] = at = tuple(index[t] for t in word_terms(word) if t in index)
-                    if at:
-                        found.update(at)
-                rows.append(np.array(sorted(found), np.int64))
-            p = 1 / (1 + np.exp(-np.clip(m.margins(rows), -500, 500)))
+            p = margins_of(batch.column("text").to_pylist(), model.value, index, seen)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out")), pa.array(p)], names=["doc_id", "held_out", "score"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_clean(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
+    """The rows of `docs`, unchanged, whose text scores below 0.5: one pass, nothing is joined."""
+    model = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, seen = {int(t): i for i, t in enumerate(model.value.known)}, {}
+        for batch in rows_of(batches):
+            p = margins_of(batch.column("text").to_pylist(), model.value, index, seen)
+            yield batch.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
