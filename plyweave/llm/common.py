@@ -32,7 +32,7 @@ def crc_mod(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that one holds about `most_bytes` at most: bounds what a task keeps when texts are long."""
     for batch in batches:
         if not batch.num_rows:
