@@ -39,7 +39,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def _grams(codes: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each word on; _NONE where the text ends before. left: words from each one to its text's end."""
     h = np.full(len(codes), np.uint64(k))
-    for i in range(k):
+    for i in range(min(k, len(codes))):
         h[: len(codes) - i] = _mixed((h[: len(codes) - i] ^ codes[i:]) * _FACTOR)
     h = np.minimum(h, _NONE - np.uint64(1))
     h[left < k] = _NONE
@@ -52,7 +52,7 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     while done < width:
         step = min(done, width - done)
         shifted = np.full(len(h), _NONE)
-        shifted[: len(h) - step] = h[step:]
+        shifted[: max(0, len(h) - step)] = h[step:]
         h, done = np.minimum(h, shifted), done + step
     return h
 

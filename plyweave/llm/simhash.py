@@ -93,7 +93,7 @@ def links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame
         tables = F.create_map(*[x for p, ms in masks.items() for x in (F.lit(p).cast("long"), F.array(*[F.struct(F.lit(p * base + v).cast("long").alias("path"), F.lit(m).cast("long").alias("mask")) for v, m in enumerate(ms, 1)]))])
         dealt = todo.select("fp", "rep", "within", F.explode(tables[F.col("path")]).alias("t"))
         dealt = dealt.select(F.xxhash64("within", "t.path", F.expr("fp & t.mask")).alias("bucket"), F.col("t.path").alias("path"), "fp", "rep")
-        last = all(len(free_bits(m * base + 1, radius)) < bucket.bit_length() for m in masks)  # such buckets can't be larger
+        last = all(len(free_bits(m * base + 1, radius)) < max(bucket, BUCKET).bit_length() for m in masks)  # can't be larger
 
         def run(batches: Iterator[pa.RecordBatch], most: int = 1 << 62 if last else bucket) -> Iterator[pa.RecordBatch]:
             """Edges of the buckets, each read whole; rows of a bucket of more than `most` come out as they are."""
