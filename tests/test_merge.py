@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from plyweave.operators import compare, merge
+
+SCHEMA = "k int, v string, n int"
+rows = st.lists(st.tuples(st.integers(0, 8), st.sampled_from(["a", "b", None]), st.integers(0, 3)), max_size=8, unique_by=lambda r: r[0])
+slow = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+def as_set(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+@given(rows, rows)
+@slow
+def test_policies(spark, t, d):
+    target, delta = spark.createDataFrame(t, SCHEMA), spark.createDataFrame(d, SCHEMA)
+    old, new = {r[0]: r for r in t}, {r[0]: r for r in d}
+    over = merge.upsert(target, delta, ["k"])
+    assert as_set(over) == sorted((old | new).values(), key=str)
+    assert as_set(merge.upsert(over, delta, ["k"])) == as_set(over)
+    assert as_set(merge.upsert(target, delta, ["k"], "skip")) == sorted((new | old).values(), key=str)
+    if set(old) & set(new):
+        with pytest.raises(ValueError, match="keys exist already"):
+            merge.upsert(target, delta, ["k"], "error")
+    else:
+        assert as_set(merge.upsert(target, delta, ["k"], "error")) == as_set(over)
+
+
+@given(rows, rows)
+@slow
+def test_mirror_makes_equal(spark, s, t):
+    source, target = spark.createDataFrame(s, SCHEMA), spark.createDataFrame(t, SCHEMA)
+    merged = merge.mirror_merge(source, target, ["k"])
+    assert as_set(merged) == as_set(source)
+    actions = {r["action"]: r["n_rows"] for r in merge.mirror_actions(source, target, ["k"]).collect()}
+    a, b = {r[0]: r for r in s}, {r[0]: r for r in t}
+    want = {"insert": len(a.keys() - b.keys()), "delete": len(b.keys() - a.keys()), "update": sum(a[k] != b[k] for k in a.keys() & b.keys()), "keep": sum(a[k] == b[k] for k in a.keys() & b.keys())}
+    assert actions == {k: n for k, n in want.items() if n}
+    assert compare.reconcile(source, merged, ["k"]).filter("status <> 'same'").count() == 0
+
+
+def test_policy_names():
+    assert merge.policy_of(None) == merge.policy_of("") == "overwrite"
+    with pytest.raises(ValueError, match="unknown"):
+        merge.policy_of("replace")
+
+
+def test_null_key_is_refused(spark):
+    target, delta = spark.createDataFrame([(1, "a", 1)], SCHEMA), spark.createDataFrame([(None, "b", 2)], SCHEMA)
+    with pytest.raises(Exception, match="key column k is null"):
+        merge.upsert(target, delta, ["k"]).collect()
+
+
+def test_schema_mismatch_is_refused(spark):
+    with pytest.raises(ValueError, match="columns differ"):
+        merge.upsert(spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, 2)], "k int, v int"), ["k"])
+
+
+def test_all_key_table_and_column_order(spark):
+    target, delta = spark.createDataFrame([(1, 2)], "a int, b int"), spark.createDataFrame([(2, 1), (3, 1)], "b int, a int")
+    assert as_set(merge.upsert(target, delta, ["a", "b"])) == [(1, 2), (1, 3)]
+
+
+def test_latest_version_wins(spark):
+    delta = spark.createDataFrame([(1, "old", 1), (1, "new", 5), (1, "null", None), (2, "x", None)], SCHEMA)
+    assert as_set(merge.latest_per_key(delta, ["k"], "n")) == [(1, "new", 5), (2, "x", None)]
+    assert as_set(merge.upsert(spark.createDataFrame([(1, "t", 0)], SCHEMA), delta, ["k"], order_by="n")) == [(1, "new", 5), (2, "x", None)]
+
+
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).select(F.col("id").cast("int").alias("k"), F.lit("old").alias("v"), (F.col("id") % 4).cast("int").alias("p")).write.partitionBy("p").parquet(path)
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    delta = spark.createDataFrame([(5, "new", 1), (201, "new", 1)], "k int, v string, p int")
+    merge.upsert_partitions(spark, path, delta, ["k"], ["p"])
+    got = spark.read.parquet(path)
+    assert got.count() == 101
+    assert as_set(got.filter("v = 'new'").select("k")) == [(201,), (5,)]
+    kept = [f for f in tmp_path.rglob("*.parquet") if f in before and f.stat().st_mtime_ns == before[f]]
+    assert {f.parent.name for f in kept} == {"p=0", "p=2", "p=3"}
+
+
+def test_small_delta_is_broadcast(spark, tmp_path):
+    path = str(tmp_path / "big")
+    spark.range(20_000).select("id", F.lit("x").alias("v")).write.parquet(path)
+    spark.createDataFrame([(3, "y")], "id long, v string").write.parquet(f"{path}-delta")
+    merged = merge.upsert(spark.read.parquet(path), spark.read.parquet(f"{path}-delta"), ["id"])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
