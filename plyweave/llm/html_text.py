@@ -72,7 +72,7 @@ class Page:
         self.begin: list[int] = []
         self.end: list[int] = []
         self.parent: list[int] = []
-        self.runs: list[tuple[int, int, int, bool]] = []  # element, start, end, whether a block ends before
+        self.runs: list[tuple[int, int, int, bool]] = []  # element, start, end (an empty run is a space), whether a block ends before
         self._read()
 
     def _read(self) -> None:
@@ -101,11 +101,15 @@ class Page:
                 continue
             if tag == "br":
                 runs.append((stack[-1] if stack else -1, start, start, broken))
+                broken = False
                 continue
             if tag in _BLOCK:
                 broken = True
             self._end_implied(tag, stack, start)
             parent = stack[-1] if stack else -1
+            if tag in ("td", "th"):
+                runs.append((parent, start, start, broken))
+                broken = False
             in_main = (parent >= 0 and self.main[parent]) or tag in ("article", "main")
             number = len(tags)
             tags.append(tag)
@@ -146,7 +150,7 @@ class Page:
 
         out = []
         for i, tag in enumerate(self.tags):
-            if not self.main[i] and tag not in ("html", "body", "head") and self.parent[i] >= 0:
+            if not self.main[i] and tag not in ("html", "body", "head"):
                 text = " ".join(self.source[self.begin[i] : self.end[i]].split())
                 out.append((i, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)))
         return out

@@ -87,7 +87,7 @@ def test_odd_rows(spark):
 
 
 def test_ties_and_ids(spark):
-    text = "".join(random.Random(5).choice("abcdef ") for _ in range(150))
+    text = "".join(random.Random(5).choices("abcdef ", k=150))
     rows = [(None, text), (9, text), (9, text), (3, text), (9, text + "!")]
     got = sorted(((r["doc_id"] or 0), r["n_removed"]) for r in digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
     assert got == [(0, 150), (3, 0), (9, 150), (9, 150), (9, 150)]
