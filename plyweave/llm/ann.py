@@ -199,6 +199,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, bits: int = 256, cov
         part = queries if n_blocks == 1 else queries.filter(F.pmod(order, F.lit(n_blocks)) == number)
         block = blocks_of(part)
         if len(block[0]):
-            one = run(block, radius)
+            one = _top(run(block, radius), k)
+            one = one if n_blocks == 1 else materialize(one, "neighbours")  # so that blocks are not held all at once
             found = one if found is None else found.unionByName(one)
-    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

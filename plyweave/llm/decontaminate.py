@@ -94,7 +94,7 @@ def hits(doc: list[bytes], items: list[tuple[int, list[bytes]]], window: int) ->
     return np.cumsum(hit)[:-1] > 0, sorted(found, key=str)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, share: int = 20, most_broadcast: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, share: int = 20, most_broadcast: int = 1_000_000) -> DataFrame:
     """One row per row of `docs`: doc_id, text, n_words, n_hit, n_items, item_ids (array, sorted as strings), contaminated.
 
     contaminated: n_hit > 0 and share * n_hit >= n_words. `text` is null where nothing is hit (the caller has it).
@@ -123,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     test = materialize(items.mapInArrow(of_items, "item_id long, fp long, n long").distinct(), "item-fingerprints")
     lengths = sorted(r["n"] for r in test.select("n").distinct().collect() if r["n"])  # fewer than `window` values
     few = test.select("fp").distinct().limit(most_broadcast + 1).count() <= most_broadcast
-    known = spark.sparkContext.broadcast(np.array([r["fp"] for r in test.select("fp").distinct().collect()], np.int64) if few else None)
+    known = spark.sparkContext.broadcast(test.select("fp").distinct().toArrow().column("fp").to_numpy() if few else None)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = known.value

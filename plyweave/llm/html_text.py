@@ -215,8 +215,9 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, most_bro
     templates = materialize(templates, "templates")
     if templates.limit(most_broadcast + 1).count() <= most_broadcast:
         known: dict[str, set[int]] = {}
-        for r in templates.collect():  # at most most_broadcast rows
-            known.setdefault(r["host"], set()).add(r["tree"])
+        got = templates.toArrow()  # at most most_broadcast rows
+        for host, tree in zip(got.column("host").to_pylist(), got.column("tree").to_pylist(), strict=True):
+            known.setdefault(host, set()).add(tree)
         sent, with_trees = pages.sparkSession.sparkContext.broadcast(known), plain.withColumn("trees", F.lit(None).cast("array<long>"))
     else:
         keyed = plain.withColumn("key", F.xxhash64("page_id", "url", "html")).withColumn("key2", F.hash("html", "url", "page_id"))

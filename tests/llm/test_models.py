@@ -126,3 +126,11 @@ def test_neighbours_odd_rows(spark):
     assert got == [(0, 1, 2), (0, 2, 3), (0, 3, 20), (0, 4, 4), (20, 1, 0), (20, 2, 2), (20, 3, 3), (20, 4, 4)]
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.search(df.filter("vec_id = 20"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = lambda: sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0).collect()))
+    whole = rows()
+    monkeypatch.setattr(ann, "QUERIES", 8)
+    assert rows() == whole
