@@ -146,7 +146,7 @@ def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, sample: int
     splitters = np.array(sorted(set(leads or [])), np.uint64)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=6)
         for batch in rows_of(batches, 6 << 20):
             rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text")), strict=True), key=lambda r: r[:2])
             texts = [r[2].encode("utf-8", "surrogatepass") for r in rows]
@@ -167,7 +167,7 @@ def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, sample: int
             d, s, e = united(doc[this], start[this], start[this] + size[this])
             yield sent(d=id_of[d], t=tag_of[d], s=s, e=e)
             bucket = np.searchsorted(splitters, digits[anchor[kept]].astype(np.uint64) >> np.uint64(8), side="right")
-            by = np.lexsort((digits[anchor[kept]].astype(np.uint64), bucket))
+            by = np.lexsort((kept, bucket))  # in order of position within a bucket: neighbours overlap, which packs best
             kept, bucket = kept[by], bucket[by]
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             numbers, blobs = [], []
@@ -301,11 +301,22 @@ def remove_repeats(docs: DataFrame, span: int = 100, k: int = 24, sample: int =
     found = repeated_passages(named, span, k, sample)
     per_doc = found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=3)
+        for batch in rows_of(batches):
+            packed = [small.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id", "tag")), pa.array(packed, pa.binary())], names=["doc_id", "id", "tag", "packed"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        large = zstandard.ZstdDecompressor()
         for batch in rows_of(batches):
             n_bytes, n_removed, spans, kept = [], [], [], []
-            for text, stretches in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                data, runs = text.encode("utf-8", "surrogatepass"), []
+            for packed, stretches in zip(batch.column("packed").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                data, runs = large.decompress(packed), []
                 if stretches:
                     s, e = (np.array([x[c] for x in stretches], np.int64) for c in ("start", "end"))
                     _, s, e = united(np.zeros(len(s), np.int64), s, e)
@@ -316,7 +327,9 @@ def remove_repeats(docs: DataFrame, span: int = 100, k: int = 24, sample: int =
                 kept.append(b"".join(data[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(data)], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    joined = named.join(per_doc, ["id", "tag"], "left").select("doc_id", "text", "found")
+    # Texts go to the join packed: Spark's own shuffle compression sees too little of one text to do as well.
+    packed = named.mapInArrow(squeeze, "doc_id long, id long, tag long, packed binary")
+    joined = packed.join(per_doc, ["id", "tag"], "left").select("doc_id", "packed", "found")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
