@@ -84,7 +84,7 @@ def check(rows, docs, capacity):
 
 
 def test_round_trip_with_odd_texts(spark):
-    texts = ["a  b", "a   b", " lead", "trail ", "x \n y\n\nz", "don't we'll", "<|endoftext|> in text", "tab\tand nbsp 　wide", "😀 é́ 中文", "a b " * 3000]
+    texts = ["a  b", "a   b", " lead", "trail ", "x \n y\n\nz", "don't we'll", "<|endoftext|> in text", "tab\tand nbsp 　wide", "😀 é́ 中文", "a b " * 3000, "a\nb.\n" * 5000 + "c"]
     rows = [(100 + i, t) for i, t in enumerate(texts)]
     docs = odd(spark).select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
     check(pack_documents(docs, capacity=64).collect(), [(r[0], r[1]) for r in ODD] + rows, 64)
@@ -100,3 +100,21 @@ def test_ids_and_empty(spark):
     assert pack_documents(empty(spark)).count() == 0
     row = pack_documents(spark.createDataFrame([(1, "ab cd")], "doc_id long, text string"), with_ids=True).first()
     assert len(row["ids"]) == 4 * row["length"] and zlib.crc32(row["ids"]) == row["ids_crc32"]
+
+
+def test_ids_are_the_tokenizers():
+    from hypothesis import example
+
+    from plyweave.llm.packing import _encoder
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = _encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+    @given(st.lists(st.sampled_from(["word", "Ünï", "'s", "don't", ",", ".", "!", "..", "7", " ", "  ", "\n", "\n\n", "\t", " ", " ", "\r", "😀", "é́", "ª", "٣", "a", "x1"]), max_size=12))
+    @settings(max_examples=1500, deadline=None)
+    @example(["a", " ", "word", ",", "\n", ".", "\n", "\n", "a"])
+    def same(parts):
+        text = "".join(parts)
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+    same()
