@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from plyweave.llm.common import materialize, rows_of
 
 #: Pieces of one length that are ranked together.
-PER_GROUP = 50_000
+PER_GROUP = 4_000
 
 
 class CapacityTree:
