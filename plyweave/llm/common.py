@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +41,8 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Ite
         step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def batch_of(**columns: pa.Array | np.ndarray) -> pa.RecordBatch:
+    """A record batch of the named columns."""
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyweave.llm.common import materialize, rows_of
+from plyweave.llm.common import batch_of, materialize, rows_of
 
 #: Bytes that make words (digits, letters, all of non-ASCII), with A-Z as a-z; all others separate.
 _AS_WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 0x20 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -111,14 +111,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            texts = [words_of(t) for t in batch.column("item_text").to_pylist()]
-            ids, short = np.array(batch.column("item_id").to_pylist(), np.int64), [[w] if 0 < len(w) < window else [] for w in texts]
+            texts, ids = [words_of(t) for t in batch.column("item_text").to_pylist()], batch.column("item_id").to_numpy()
             of, fp = fingerprints(texts, window, k, [])
-            rows = [(ids[of], fp, np.zeros(len(of), np.int64))]
-            for i, one in enumerate(short):
-                for w in one:
-                    rows.append((ids[[i]], fingerprints([w], window, k, [len(w)])[1][-1:], np.array([len(w)])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows]).astype(t)) for i, t in enumerate((np.int64, np.uint64, np.int64))], names=["item_id", "fp", "n"]).set_column(1, "fp", pa.array(np.concatenate([r[1] for r in rows]).view(np.int64)))
+            found = [(ids[of], fp, np.zeros(len(of), np.int64))]
+            for i, words in enumerate(texts):
+                if 0 < len(words) < window:  # the last gram of its own length is the whole item
+                    _, fp = fingerprints([words], window, k, [len(words)])
+                    found.append((ids[[i]], fp[-1:], np.array([len(words)])))
+            item_id, fp, n = (np.concatenate(column) for column in zip(*found, strict=True))
+            yield batch_of(item_id=item_id, fp=fp.view(np.int64), n=n)
 
     test = materialize(items.mapInArrow(of_items, "item_id long, fp long, n long").distinct(), "item-fingerprints")
     lengths = sorted(r["n"] for r in test.select("n").distinct().collect() if r["n"])  # fewer than `window` values
@@ -143,14 +144,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
             each: dict[int, set[int]] = {}
             for i, f in zip(of.tolist(), fp.tolist(), strict=True):
                 each.setdefault(i, set()).add(f)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([t if i in each else None for i, t in enumerate(texts)], pa.string()),
-                    pa.array([len(w) for w in split], pa.int64()),
-                    pa.array([list(each.get(i, ())) for i in range(len(texts))], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "text", "n_words", "fps"],
+            yield batch_of(
+                doc_id=batch.column("doc_id"),
+                text=pa.array([t if i in each else None for i, t in enumerate(texts)], pa.string()),
+                n_words=np.array([len(w) for w in split], np.int64),
+                fps=pa.array([list(each.get(i, ())) for i in range(len(texts))], pa.list_(pa.int64())),
             )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -168,7 +166,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
                 hit, found = hits(words_of(text), [(i["item_id"], words_of(i["item_text"])) for i in its or []], window)
                 n_hit.append(int(hit.sum()))
                 ids.append(found)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text", "n_words")), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "n_hit", "item_ids"])
+            kept = {c: batch.column(c) for c in ("doc_id", "text", "n_words")}
+            yield batch_of(**kept, n_hit=np.array(n_hit, np.int64), item_ids=pa.array(ids, pa.list_(pa.int64())))
 
     schema = "doc_id long, text string, n_words long, n_hit long, item_ids array<long>"
     clean = scanned.filter(F.size("fps") == 0).select("doc_id", "text", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("item_ids"))

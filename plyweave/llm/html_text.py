@@ -15,11 +15,12 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyweave.llm.common import materialize, rows_of
+from plyweave.llm.common import batch_of, materialize, rows_of
 
 # Names of HTML elements by how they bear on text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -197,7 +198,8 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, most_bro
         def flush() -> pa.RecordBatch:
             rows = list(seen.items())
             seen.clear()
-            return pa.RecordBatch.from_pydict({"host": pa.array([r[0][0] for r in rows], pa.string()), "tree": pa.array([r[0][1] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64())})
+            host, tree, n = (pa.array(c, t) for c, t in (([r[0][0] for r in rows], pa.string()), ([r[0][1] for r in rows], pa.int64()), ([r[1] for r in rows], pa.int64())))
+            return batch_of(host=host, tree=tree, n=n)
 
         for batch in rows_of(batches):
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
@@ -224,8 +226,11 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, most_bro
 
         def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows_of(batches):
-                rows = [(k, k2, host_of(u), t) for k, k2, u, h in zip(*(batch.column(c).to_pylist() for c in ("key", "key2", "url", "html")), strict=True) for t in {t for _, t in Page(h).subtrees()}]
-                yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("key", pa.int64()), ("key2", pa.int32()), ("host", pa.string()), ("tree", pa.int64())))})
+                found = [{t for _, t in Page(source).subtrees()} for source in batch.column("html").to_pylist()]
+                of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                own = {c: batch.column(c).take(pa.array(of)) for c in ("key", "key2")}
+                hosts = pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string()).take(pa.array(of))
+                yield batch_of(**own, host=hosts, tree=pa.array([t for f in found for t in f], pa.int64()))
 
         own = keyed.mapInArrow(trees, "key long, key2 int, host string, tree long").join(templates, ["host", "tree"], "left_semi")
         own = own.groupBy("key", "key2").agg(F.collect_set("tree").alias("trees"))
@@ -239,7 +244,8 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, most_bro
                 page, of_site = Page(source), set(own) if own is not None else sent.value.get(host_of(url), none)
                 gone = {i for i, tree in page.subtrees() if tree in of_site} if of_site else none
                 texts.append(page.text(gone.__contains__))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            kept = {c: batch.column(c) for c in ("page_id", "url")}
+            yield batch_of(**kept, text=pa.array(texts, pa.string()), n_chars=np.array([len(t) for t in texts], np.int64))
 
     kind = dict(pages.dtypes)["page_id"]
     return with_trees.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")

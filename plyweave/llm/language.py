@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyweave.llm.common import crc_mod, rows_of
+from plyweave.llm.common import batch_of, crc_mod, rows_of
 
 _LETTER = re.compile(r"[^\W\d_]")
 BUCKETS = 4096
@@ -112,10 +112,10 @@ def train(docs: DataFrame, per_language: int = 800, most_languages: int = 200) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            rows = [(i, x, profile(t).astype(np.float32).tobytes()) for i, x, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True) if _LETTER.search(t)]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[1] for r in rows], pa.string()), "profile": pa.array([r[2] for r in rows], pa.binary())})
-
-    from pyspark.sql import Window
+            known = [t is not None and bool(_LETTER.search(t)) for t in batch.column("text").to_pylist()]
+            some = batch.filter(pa.array(known, pa.bool_()))
+            profiles = [profile(t).astype(np.float32).tobytes() for t in some.column("text").to_pylist()]
+            yield batch_of(doc_id=some.column("doc_id"), lang=some.column("lang"), profile=pa.array(profiles, pa.binary()))
 
     got = some.mapInArrow(run, "doc_id long, lang string, profile binary")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "profile")
@@ -145,7 +145,8 @@ def identify(docs: DataFrame, codes: Codes | None, gap: float = 0.2) -> DataFram
                 for i, k in zip(use, best, strict=True):
                     lang[i] = m.languages[k]
                 score[use], doubt[use] = sure, lead < gap
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out")), pa.array(lang, pa.string()), pa.array(score), pa.array(doubt)], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
+            kept = {c: batch.column(c) for c in ("doc_id", "held_out")}
+            yield batch_of(**kept, lang_pred=pa.array(lang, pa.string()), score=score, ambiguous=doubt)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyweave.llm.common import rows_of
+from plyweave.llm.common import batch_of, rows_of
 
 _POSITION = np.uint64((1 << 28) - 1)
 _PAD = bytes(256)
@@ -138,12 +138,14 @@ def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, sample: int
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             whole = b"".join(texts)
             _, _, anchor = anchored(np.frombuffer(whole, np.uint8), np.cumsum([len(t) for t in texts]), span, k)
-            yield pa.RecordBatch.from_arrays([pa.array([whole[a : a + k] for a in anchor.tolist()], pa.binary())], names=["lead"])
+            yield batch_of(lead=pa.array([whole[a : a + k] for a in anchor.tolist()], pa.binary()))
 
     share = min(1.0, sample / sizes["n"])
     some = docs.filter(F.pmod(F.xxhash64("id", "tag"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-    leads = some.mapInArrow(leading, "lead binary").groupBy().agg(F.expr(f"percentile_approx(conv(hex(substr(lead, 1, 7)), 16, 10) + 0L, array({','.join(str(i / buckets) for i in range(1, buckets))}), 10000)").alias("cuts")).first()["cuts"] if buckets > 1 else []
-    splitters = np.array(sorted(set(leads or [])), np.uint64)
+    leads, shares = some.mapInArrow(leading, "lead binary"), [i / buckets for i in range(1, buckets)]
+    number = F.conv(F.hex(F.substring("lead", 1, 7)), 16, 10).cast("long")  # of the seven leading bytes
+    cuts = leads.agg(F.percentile_approx(number, shares, 10_000).alias("cuts")).first()["cuts"] if shares else []
+    splitters = np.array(sorted(set(cuts or [])), np.uint64)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=6)
@@ -209,9 +211,10 @@ def planes(values: np.ndarray) -> bytes:
 
 def sent(d=(), t=(), s=(), e=(), buckets=(), blobs=()) -> pa.RecordBatch:
     """Rows with stretches, or rows with packed suffixes of a bucket."""
-    none, n = pa.nulls(len(d), pa.int32()), len(blobs)
-    numbers = [pa.concat_arrays([pa.array(np.asarray(x, np.int64)), pa.nulls(n, pa.int64())]) for x in (d, t, s, e)]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([none, pa.array(buckets, pa.int32())]), pa.concat_arrays([pa.nulls(len(d), pa.binary()), pa.array(blobs, pa.binary())]), *numbers], names=["bucket", "blob", "id", "tag", "start", "end"])
+    padded = {c: pa.concat_arrays([pa.array(np.asarray(x, np.int64)), pa.nulls(len(blobs), pa.int64())]) for c, x in (("id", d), ("tag", t), ("start", s), ("end", e))}
+    bucket = pa.concat_arrays([pa.nulls(len(d), pa.int32()), pa.array(buckets, pa.int32())])
+    blob = pa.concat_arrays([pa.nulls(len(d), pa.binary()), pa.array(blobs, pa.binary())])
+    return batch_of(bucket=bucket, blob=blob, **padded)
 
 
 def repeats_in(blobs: list[bytes], span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -307,7 +310,7 @@ def remove_repeats(docs: DataFrame, span: int = 100, k: int = 24, sample: int =
         small = zstandard.ZstdCompressor(level=3)
         for batch in rows_of(batches):
             packed = [small.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id", "tag")), pa.array(packed, pa.binary())], names=["doc_id", "id", "tag", "packed"])
+            yield batch_of(**{c: batch.column(c) for c in ("doc_id", "id", "tag")}, packed=pa.array(packed, pa.binary()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -325,7 +328,9 @@ def remove_repeats(docs: DataFrame, span: int = 100, k: int = 24, sample: int =
                 n_removed.append(sum(b - a for a, b in runs))
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 kept.append(b"".join(data[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(data)], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            numbers = {"n_bytes": np.array(n_bytes, np.int64), "n_removed": np.array(n_removed, np.int64)}
+            yield batch_of(doc_id=batch.column("doc_id"), **numbers, spans=pa.array(spans, pairs), kept=pa.array(kept, pa.binary()))
 
     # Texts go to the join packed: Spark's own shuffle compression sees too little of one text to do as well.
     packed = named.mapInArrow(squeeze, "doc_id long, id long, tag long, packed binary")
