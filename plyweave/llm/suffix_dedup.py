@@ -255,7 +255,7 @@ def repeats_in(blobs: list[bytes], span: int, k: int) -> tuple[np.ndarray, np.nd
     # Passages of suffixes with the same leading bytes, by how far before the anchor they start.
     passages = size[which] - span + 1
     high, low = to_anchor[which], to_anchor[which] - passages + 1
-    for offset in range(span - k + 1) if len(which) * 8 > _AT_ONCE else (None,):
+    for offset in range(span - k + 1) if passages.sum() > _AT_ONCE else (None,):
         if offset is None:
             of = np.repeat(np.arange(len(which)), passages)
             step = np.arange(len(of)) - np.repeat(np.cumsum(passages) - passages, passages)
