@@ -12,7 +12,11 @@ suffix with the bytes around it that these passages cover, stands for all of the
 3. Each bucket is sorted by multikey quicksort on 8-byte digits (only ties go on to the next digit). Among suffixes
    that agree in their k leading bytes, equal ones again leave the earliest; the passages of those that are left are
    sorted the same way, by their place around the anchor and then their bytes. All but the earliest are repeats.
-4. Repeats are joined to their documents, united and cut out.
+4. A bucket above a bound is not sorted but dealt anew, by hashes of more and more bytes around the anchor: a suffix is
+   cut into pieces of `width` neighbouring passages at most, by their distance to the anchor, and goes by the bytes that
+   all passages of such a piece have in common. Equal passages have equal such bytes, so they meet. Each task keeps the
+   earliest of its equal pieces, so copies of a passage become one before they are sent; single passages come last.
+5. Repeats are joined to their documents, united and cut out.
 
 Comparisons are of bytes, never of hashes; hashes only choose anchors.
 """
@@ -26,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyweave.llm.common import batch_of, rows_of
+from plyweave.llm.common import batch_of, materialize, rows_of
 
 _POSITION = np.uint64((1 << 28) - 1)
 _PAD = bytes(256)
 #: Passages of one group of suffixes that are sorted at a time, about.
 _AT_ONCE = 1 << 20
+#: Bytes of suffixes, unpacked, that one task sorts as a bucket; larger buckets are dealt anew.
+_BUCKET = 64 << 20
+#: Most passages of a piece, round by round of dealing anew; before them whole suffixes are dealt by their k bytes.
+_WIDTHS = (16, 4, 1)
 
 
 def digits_of(buffer: bytes) -> np.ndarray:
@@ -120,11 +128,12 @@ def united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[new], start[new], reach[np.append(new[1:], len(doc)) - 1] - shift[new]
 
 
-def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, sample: int = 2000, bucket_bytes: int = 6 << 20) -> DataFrame:
+def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, sample: int = 2000, bucket_bytes: int = 6 << 20, most: int = _BUCKET) -> DataFrame:
     """Stretches (id, tag, start, end, of the UTF-8 text) whose bytes lie in a passage that also starts earlier.
 
     id and tag name a document as `_named` does. Splitters come from about `sample` documents; the result doesn't
-    depend on them. A bucket gets the suffixes of about `bucket_bytes` of text.
+    depend on them. A bucket gets the suffixes of about `bucket_bytes` of text; one with more than `most` bytes of
+    suffixes is dealt anew.
     """
     import zstandard
 
@@ -170,38 +179,53 @@ def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, sample: int
             yield sent(d=id_of[d], t=tag_of[d], s=s, e=e)
             bucket = np.searchsorted(splitters, digits[anchor[kept]].astype(np.uint64) >> np.uint64(8), side="right")
             by = np.lexsort((kept, bucket))  # in order of position within a bucket: neighbours overlap, which packs best
-            kept, bucket = kept[by], bucket[by]
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            numbers, blobs = [], []
-            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-                x = kept[a:b]
-                head = np.stack([id_of[doc[x]], tag_of[doc[x]], start[x], size[x], (anchor - begin)[x]]).astype("<i8")
-                body = b"".join([whole[p : p + n] for p, n in zip(begin[x].tolist(), size[x].tolist(), strict=True)])
-                numbers.append(int(bucket[a]))
-                blobs.append(squeeze.compress(np.int64(b - a).tobytes() + b"".join(planes(h) for h in head) + body))
-            yield sent(buckets=numbers, blobs=blobs)
-
-    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, blobs = None, []
+            head = np.stack([id_of[doc], tag_of[doc], start, size, anchor - begin])
+            yield sent(**packed(head, begin, whole, kept[by], bucket[by], squeeze))
+
+    def bucketed(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
+        """Repeats of the buckets, each read whole; one of more than `most` comes out as it is, or is thinned if it is the last round."""
+        number, blobs, held, bound, over = None, [], 0, most, False
         for batch in batches:
-            for number, blob, *old in zip(*(batch.column(c).to_pylist() for c in ("bucket", "blob", "id", "tag", "start", "end")), strict=True):
+            for bucket, blob, *old in zip(*(batch.column(c).to_pylist() for c in ("bucket", "blob", "id", "tag", "start", "end")), strict=True):
                 if blob is None:
                     yield sent(d=[old[0]], t=[old[1]], s=[old[2]], e=[old[3]])
                     continue
-                if number != last and blobs:
-                    yield sent(*repeats_in(blobs, span, k))
-                    blobs = []
-                last = number
+                if bucket != number:
+                    if blobs:
+                        yield sent(*repeats_in(blobs, span, k))
+                    number, blobs, held, bound, over = bucket, [], 0, most, False
                 blobs.append(blob)
+                held += zstandard.frame_content_size(blob)
+                over = over or held > bound and not last
+                if over:
+                    yield sent(buckets=[number] * len(blobs), blobs=blobs)
+                    blobs = []
+                elif held > bound:
+                    yield sent(*repeats_in(blobs, span, k))
+                    blobs = [thinned(blobs)]
+                    held = zstandard.frame_content_size(blobs[0])
+                    bound = max(most, 2 * held)
         if blobs:
             yield sent(*repeats_in(blobs, span, k))
 
-    columns = "bucket int, blob binary, id long, tag long, start long, end long"
+    columns = "bucket int, blob binary, raw long, id long, tag long, start long, end long"
     shipped = docs.select("id", "tag", "text").mapInArrow(local, columns)
     # Repeats found by a task alone travel with the suffixes, spread over the buckets by their document.
     placed = shipped.withColumn("bucket", F.coalesce("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(buckets)).cast("int")))
     sorted_ = placed.repartition("bucket").sortWithinPartitions("bucket")
-    return sorted_.mapInArrow(bucketed, columns).select("id", "tag", "start", "end")
+    found, over = None, materialize(sorted_.mapInArrow(bucketed, columns), "repeats")
+    for width in (span - k + 1, *_WIDTHS):
+        part = over.filter(F.col("blob").isNull()).select("id", "tag", "start", "end")
+        found = part if found is None else found.unionByName(part)
+        over = over.filter(F.col("blob").isNotNull())
+        large = over.agg(F.sum("raw")).first()[0]
+        if not large:
+            return found
+        # Three pieces of a suffix, about, come to a round.
+        placed = over.select("blob").mapInArrow(lambda bs, w=width, n=max(1, -(-12 * large // most)): dealt(bs, span, w, n), columns)
+        last = width == _WIDTHS[-1]
+        over = materialize(placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda bs, at_end=last: bucketed(bs, at_end), columns), "repeats")
+    return found.unionByName(over.select("id", "tag", "start", "end"))
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -210,15 +234,33 @@ def planes(values: np.ndarray) -> bytes:
 
 
 def sent(d=(), t=(), s=(), e=(), buckets=(), blobs=()) -> pa.RecordBatch:
-    """Rows with stretches, or rows with packed suffixes of a bucket."""
+    """Rows with stretches, or rows with packed suffixes of a bucket and their bytes unpacked."""
+    import zstandard
+
     padded = {c: pa.concat_arrays([pa.array(np.asarray(x, np.int64)), pa.nulls(len(blobs), pa.int64())]) for c, x in (("id", d), ("tag", t), ("start", s), ("end", e))}
     bucket = pa.concat_arrays([pa.nulls(len(d), pa.int32()), pa.array(buckets, pa.int32())])
     blob = pa.concat_arrays([pa.nulls(len(d), pa.binary()), pa.array(blobs, pa.binary())])
-    return batch_of(bucket=bucket, blob=blob, **padded)
+    raw = pa.concat_arrays([pa.nulls(len(d), pa.int64()), pa.array([zstandard.frame_content_size(b) for b in blobs], pa.int64())])
+    return batch_of(bucket=bucket, blob=blob, raw=raw, **padded)
 
 
-def repeats_in(blobs: list[bytes], span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id, tag, start, end) of the stretches that repeat an earlier one, among a whole bucket's anchored suffixes."""
+def packed(head: np.ndarray, begin: np.ndarray, whole: bytes, kept: np.ndarray, bucket: np.ndarray, squeeze) -> dict:
+    """Buckets and blobs, for `sent`, of the kept suffixes, which are in order of their buckets."""
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(kept) else np.zeros(1, np.int64)
+    numbers, blobs = [], []
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        x = kept[a:b]
+        body = b"".join([whole[p : p + n] for p, n in zip(begin[x].tolist(), head[3, x].tolist(), strict=True)])
+        numbers.append(int(bucket[a]))
+        blobs.append(squeeze.compress(np.int64(b - a).tobytes() + b"".join(planes(h) for h in head[:, x].astype("<i8", order="C")) + body))
+    return {"buckets": numbers, "blobs": blobs}
+
+
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(head, begin, whole): rows of id, tag, start, size and bytes up to the anchor, their places in `whole`, and the bytes.
+
+    In order of document and start: ties keep the earliest first.
+    """
     import zstandard
 
     heads, bodies = [], []
@@ -229,10 +271,79 @@ def repeats_in(blobs: list[bytes], span: int, k: int) -> tuple[np.ndarray, np.nd
         bodies.append(raw[8 + 40 * n :])
     head = np.concatenate(heads, axis=1)
     whole = b"".join([*bodies, _PAD])
-    del heads, bodies
     begin = np.cumsum(head[3]) - head[3]
-    by = np.lexsort((head[2], head[1], head[0]))  # from here on in order of document and start: ties keep the earliest first
-    (ids, tags, start, size, to_anchor), begin, digits = head[:, by], begin[by], digits_of(whole)
+    by = np.lexsort((head[2], head[1], head[0]))
+    return head[:, by], begin[by], whole
+
+
+def equal_pieces(head: np.ndarray, begin: np.ndarray, whole: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first) of `multikey_sort`: suffixes with the same bytes and the same place of the anchor in them are equal."""
+    digits, size, shape = digits_of(whole), head[3], (head[4] << 10) | head[3]
+    levels = -(-int(size.max()) // 8)
+    return multikey_sort(len(begin), levels + 1, lambda lv, x: masked(digits, begin[x] + 8 * lv - 8, size[x] - 8 * lv + 8) if lv else shape[x].astype(np.uint64))
+
+
+def thinned(blobs: list[bytes]) -> bytes:
+    """One blob with the earliest of equal suffixes; the others are repeats that `repeats_in` finds."""
+    import zstandard
+
+    head, begin, whole = unpacked(blobs)
+    order, first = equal_pieces(head, begin, whole)
+    kept = np.sort(order[first == np.arange(len(first))])
+    return packed(head, begin, whole, kept, np.zeros(len(kept), np.int64), zstandard.ZstdCompressor(level=6))["blobs"][0]
+
+
+def dealt(batches: Iterator[pa.RecordBatch], span: int, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The suffixes of each blob as pieces of at most `width` passages, dealt by the bytes that a piece's passages share.
+
+    Pieces lie on a grid of distances to the anchor: that with number c has the passages that start c * width to
+    c * width + width - 1 bytes before it, which all cover the bytes from c * width before it on, for span - width + 1.
+    """
+    import xxhash
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=6)
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            head, begin, whole = unpacked([blob])
+            high = head[4]
+            low = high - (head[3] - span)
+            n = high // width - low // width + 1
+            of = np.repeat(np.arange(len(n)), n)
+            cell = (low // width)[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            far, near = np.minimum(high[of], cell * width + width - 1), np.maximum(low[of], cell * width)
+            skip = high[of] - far
+            cut, at = np.stack([head[0, of], head[1, of], head[2, of] + skip, far - near + span, far]), begin[of] + skip
+            by = np.lexsort((cut[2], cut[1], cut[0]))
+            cut, at, cell = cut[:, by], at[by], cell[by]
+            order, first = equal_pieces(cut, at, whole)
+            later = np.flatnonzero(first != np.arange(len(first)))
+            this, earliest = order[later], order[first[later]]
+            this = this[(cut[:3, this] != cut[:3, earliest]).any(axis=0)]
+            yield sent(*stretches(cut, this, cut[2, this], cut[2, this] + cut[3, this]))
+            kept = np.sort(order[first == np.arange(len(first))])
+            core = (at + cut[4] - cell * width)[kept].tolist()
+            names = [xxhash.xxh64_intdigest(whole[p : p + span - width + 1], c) % buckets for p, c in zip(core, cell[kept].tolist(), strict=True)]
+            bucket = np.array(names, np.int64)
+            by = np.argsort(bucket, kind="stable")
+            yield sent(**packed(cut, at, whole, kept[by], bucket[by], squeeze))
+
+
+def stretches(head: np.ndarray, which: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, tag, start, end), united, of stretches of the documents that the numbers `which` in `head` (in order) are of."""
+    ids, tags = head[0], head[1]
+    named = np.zeros(len(ids), np.int64)
+    named[1:] = np.cumsum((ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))
+    one = np.zeros(int(named[-1]) + 1, np.int64)
+    one[named] = np.arange(len(ids))
+    d, s, e = united(named[which], start, end)
+    return ids[one[d]], tags[one[d]], s, e
+
+
+def repeats_in(blobs: list[bytes], span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, tag, start, end) of the stretches that repeat an earlier one, among a whole bucket's anchored suffixes."""
+    head, begin, whole = unpacked(blobs)
+    (ids, tags, start, size, to_anchor), digits = head, digits_of(whole)
     anchor = begin + to_anchor
     order, first = multikey_sort(len(begin), -(-k // 8), lambda lv, x: masked(digits, anchor[x] + 8 * lv, k - 8 * lv + np.zeros(len(x), np.int64)))
     count = np.bincount(first, minlength=len(first))
@@ -276,12 +387,7 @@ def repeats_in(blobs: list[bytes], span: int, k: int) -> tuple[np.ndarray, np.nd
         doc, s = doc[real], start[doc[real]] + step[this[real]]
         out.append((doc, s, s + span))
     docs, s, e = (np.concatenate([o[i] for o in out]) for i in range(3))
-    named = np.zeros(len(ids), np.int64)
-    named[1:] = np.cumsum((ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))
-    one = np.zeros(int(named[-1]) + 1, np.int64)
-    one[named] = np.arange(len(ids))
-    d, s, e = united(named[docs], s, e)
-    return ids[one[d]], tags[one[d]], s, e
+    return stretches(head, docs, s, e)
 
 
 def _named(docs: DataFrame) -> DataFrame:

@@ -91,3 +91,25 @@ def test_ties_and_ids(spark):
     rows = [(None, text), (9, text), (9, text), (3, text), (9, text + "!")]
     got = sorted(((r["doc_id"] or 0), r["n_removed"]) for r in digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
     assert got == [(0, 150), (3, 0), (9, 150), (9, 150), (9, 150)]
+
+
+def test_hot_leading_bytes_are_dealt_anew(spark, monkeypatch):
+    """A passage that most documents have, between bytes of their own: no task may sort more than the bound at once."""
+    from plyweave.llm import suffix_dedup
+
+    rng = random.Random(7)
+    own = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    hot = own(260)
+    rows = [(i, own(rng.randint(0, 150)) + (hot[rng.randint(0, 9) :] if i % 3 else own(90)) + own(rng.randint(0, 150))) for i in range(240)]
+    most, rounds = 16_000, []
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name, put=suffix_dedup.materialize: rounds.append(name) or put(df, name))
+    docs = suffix_dedup._named(spark.createDataFrame(rows, "doc_id long, text string").repartition(24))
+    found = suffix_dedup.repeated_passages(docs, most=most).collect()
+    assert len(rounds) > 2
+    gone = {i: bytearray(len(t)) for i, t in rows}
+    for r in found:
+        gone[r["id"]][r["start"] : r["end"]] = b"\1" * (r["end"] - r["start"])
+    want = brute(rows)
+    for i, t in rows:
+        kept = "".join(c for c, g in zip(t, gone[i], strict=True) if not g)
+        assert (sum(gone[i]), hashlib.sha256(kept.encode()).hexdigest()) == want[i][1::2]
