@@ -1,8 +1,8 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, then cut away.
 
-Every element outside the article is named by a hash of its subtree; a host's subtrees are counted over its pages in
-Spark, pre-aggregated in each task, so a host with a third of all pages is no more to shuffle than others. A subtree
-that many pages of its host have is template and goes, as does what markup itself names as no main text (menus,
+Every element outside the article that holds no article is named by a hash of its subtree; a host's subtrees are counted
+over its distinct pages in Spark, pre-aggregated in each task, so a host with a third of all pages is no more to shuffle
+than others. Copies of a page are one vote. A subtree that many pages of its host have is template and goes, as does what markup itself names as no main text (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments). Inside an article or main element only the
 markup's own names count: passages that a site's articles share are text.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
@@ -48,6 +47,12 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def hash_of(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _unwanted(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in _NO_TEXT or (tag == "header" and not in_main):
         return True
@@ -145,15 +150,20 @@ class Page:
             elif name in _HOLDS or name in ("article", "body", "main", "section", "div", "td", "th"):
                 return
 
-    def subtrees(self) -> list[tuple[int, int]]:
-        """(element, hash of its subtree) of the elements outside the article, white space counted as one space."""
-        import xxhash
+    def holds_main(self) -> list[bool]:
+        """Whether each element is an article or main element or has one in it."""
+        out = [tag in ("article", "main") for tag in self.tags]
+        for i in range(len(out) - 1, -1, -1):
+            if out[i] and self.parent[i] >= 0:
+                out[self.parent[i]] = True
+        return out
 
-        out = []
+    def subtrees(self) -> list[tuple[int, int]]:
+        """(element, hash of its subtree) of the elements outside the article that hold none, white space counted as one space."""
+        out, holds = [], self.holds_main()
         for i, tag in enumerate(self.tags):
-            if not self.main[i] and tag not in ("html", "body", "head"):
-                text = " ".join(self.source[self.begin[i] : self.end[i]].split())
-                out.append((i, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)))
+            if not self.main[i] and not holds[i] and tag not in ("html", "body", "head"):
+                out.append((i, hash_of(" ".join(self.source[self.begin[i] : self.end[i]].split()))))
         return out
 
     def text(self, template: Callable[[int], bool]) -> str:
@@ -183,7 +193,8 @@ _CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, most_broadcast: int = 200_000) -> DataFrame:
     """One row per row of `pages`: page_id, url, text, n_chars (code points of text).
 
-    A subtree is a site's template if at least `least_pages` and a `share` of its host's pages have it. Null html is
+    A subtree is a site's template if at least `least_pages` and a `share` of its host's pages have it, pages with equal
+    html counted as one; what holds an article or main element never is. Null html is
     empty, and an empty page has empty text; pages without a host in their url are one host. Rows that repeat a page_id
     are pages of their own. An empty table gives no rows. Other columns are not looked at.
 
@@ -193,24 +204,27 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, most_bro
     plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, int | None]] = Counter()
+        seen: set[tuple[str, int | None, int]] = set()
 
         def flush() -> pa.RecordBatch:
-            rows = list(seen.items())
+            rows = list(seen)
             seen.clear()
-            host, tree, n = (pa.array(c, t) for c, t in (([r[0][0] for r in rows], pa.string()), ([r[0][1] for r in rows], pa.int64()), ([r[1] for r in rows], pa.int64())))
-            return batch_of(host=host, tree=tree, n=n)
+            host, tree, page = (pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64())))
+            return batch_of(host=host, tree=tree, page=page)
 
         for batch in rows_of(batches):
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host = host_of(url)
-                seen[host, None] += 1
-                seen.update((host, tree) for tree in {t for _, t in Page(source).subtrees()})
+                host, page = host_of(url), hash_of(source)
+                if (host, None, page) not in seen:
+                    seen.add((host, None, page))
+                    seen.update((host, tree, page) for _, tree in Page(source).subtrees())
             if len(seen) > 100_000:
                 yield flush()
         yield flush()
 
-    counts = plain.select("url", "html").mapInArrow(count, "host string, tree long, n long").groupBy("host", "tree").agg(F.sum("n").alias("n")).filter((F.col("n") >= least_pages))
+    # Distinct first, so that a template of a large host is counted from many tasks.
+    votes = plain.select("url", "html").mapInArrow(count, "host string, tree long, page long").distinct()
+    counts = votes.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least_pages))
     counts = materialize(counts, "subtree-counts")
     hosts = counts.filter(F.col("tree").isNull()).select("host", F.col("n").alias("pages"))
     templates = counts.filter(F.col("tree").isNotNull()).join(hosts, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "tree")

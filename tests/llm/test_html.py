@@ -60,6 +60,21 @@ def test_templates_of_a_host_go(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_one_vote(spark):
+    wrapped = lambda x: f"<body><div class=wrap><article><p>{x}</p></article></div></body>"
+    bare = lambda x: f"<body><div class=text><p>{x}</p></div><div>all rights</div></body>"
+    pages = [(page("the same" if i < 6 else f"own {i}"), host) for host, page in (("a", wrapped), ("b", bare)) for i in range(12)]
+    df = spark.createDataFrame([(i, f"http://{host}.com/?ref={i}", source, 0, 0) for i, (source, host) in enumerate(pages)], SCHEMA)
+    for most in (1000, 0):
+        got = {r["page_id"]: r["text"] for r in extract(df, most_broadcast=most).collect()}
+        assert [got[i] for i in range(24)] == (["the same"] * 6 + [f"own {i}" for i in range(6, 12)]) * 2
+
+
+def test_wrappers_of_articles_are_no_template(spark):
+    rows = [(i, "http://a.com/", f"<i>{i}</i><div class=wrap><article><p>the same</p></article></div>", 0, 0) for i in range(9)]
+    assert {r["text"] for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {"the same"}
+
+
 def test_passages_shared_by_articles_stay(spark):
     rows = [(i, "http://a.com/", f"<nav>n</nav><article><p>shared passage</p><p>{i}</p></article>", 0, 0) for i in range(10)]
     got = extract(spark.createDataFrame(rows, SCHEMA)).collect()
