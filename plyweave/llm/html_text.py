@@ -3,8 +3,9 @@
 Every element outside the article that holds no article is named by a hash of its subtree; a host's subtrees are counted
 over its distinct pages in Spark, pre-aggregated in each task, so a host with a third of all pages is no more to shuffle
 than others. Copies of a page are one vote. A subtree that many pages of its host have is template and goes, as does what markup itself names as no main text (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments). Inside an article or main element only the
-markup's own names count: passages that a site's articles share are text.
+headers, footers, sidebars, notices, adverts, forms, reader comments). Inside an article or main element boxes (divisions,
+lists, tables and the like) are counted too, over the host's distinct articles: copies of an article are one vote however
+their pages differ. Paragraphs and headings by themselves are not: passages that a site's articles share are text.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ _RAW = frozenset("script style title textarea noscript template iframe noembed n
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _ENDS_P = _BLOCK - {"body", "caption", "html", "legend", "tbody", "tfoot", "thead", "tr"}
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_BOX = frozenset("address center details div dl fieldset figure header hgroup ol section table ul".split())
 _HOLDS = frozenset("ul ol dl table menu select".split())
 _NO_TEXT = frozenset("nav footer aside form button select dialog menu svg canvas audio video object head".split())
 # Words in class, id or role that name something other than main text.
@@ -159,19 +161,34 @@ class Page:
         return out
 
     def subtrees(self) -> list[tuple[int, int]]:
-        """(element, hash of its subtree) of the elements outside the article that hold none, white space counted as one space."""
+        """(element, hash of its subtree), white space counted as one space.
+
+        Of the elements outside the article that hold none, and of the boxes inside it, whose hashes are others.
+        """
         out, holds = [], self.holds_main()
         for i, tag in enumerate(self.tags):
-            if not self.main[i] and not holds[i] and tag not in ("html", "body", "head"):
-                out.append((i, hash_of(" ".join(self.source[self.begin[i] : self.end[i]].split()))))
+            if not holds[i] and (tag in _BOX if self.main[i] else tag not in ("html", "body", "head")):
+                out.append((i, hash_of("main " * self.main[i] + " ".join(self.source[self.begin[i] : self.end[i]].split()))))
         return out
 
+    def main_hash(self) -> int:
+        """Hash of the outermost article and main elements."""
+        outer = [i for i in range(len(self.tags)) if self.main[i] and (self.parent[i] < 0 or not self.main[self.parent[i]])]
+        return hash_of(" ".join(" ".join(self.source[self.begin[i] : self.end[i]].split()) for i in outer))
+
     def text(self, template: Callable[[int], bool]) -> str:
-        """Blocks of main text, one a line. template(element) tells which elements outside the article are the site's."""
+        """Blocks of main text, one a line. template(element) tells which elements are the site's.
+
+        Boxes of an article stay if nothing would be left without them.
+        """
+        found = self._text(template)
+        return found or self._text(lambda i: not self.main[i] and template(i))
+
+    def _text(self, template: Callable[[int], bool]) -> str:
         n, gone = len(self.tags), []
         for i in range(n):
             parent = self.parent[i]
-            gone.append((parent >= 0 and gone[parent]) or self.unwanted[i] or (not self.main[i] and template(i)))
+            gone.append((parent >= 0 and gone[parent]) or self.unwanted[i] or template(i))
         only_main = any(self.main[i] and not gone[i] for i in range(n))
         blocks: list[list[str]] = [[]]
         cut = True
@@ -194,7 +211,8 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, most_bro
     """One row per row of `pages`: page_id, url, text, n_chars (code points of text).
 
     A subtree is a site's template if at least `least_pages` and a `share` of its host's pages have it, pages with equal
-    html counted as one; what holds an article or main element never is. Null html is
+    counted as one, and for what lies in an article or main element pages with equal ones; what holds such an element
+    never is. Null html is
     empty, and an empty page has empty text; pages without a host in their url are one host. Rows that repeat a page_id
     are pages of their own. An empty table gives no rows. Other columns are not looked at.
 
@@ -217,7 +235,9 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, most_bro
                 host, page = host_of(url), hash_of(source)
                 if (host, None, page) not in seen:
                     seen.add((host, None, page))
-                    seen.update((host, tree, page) for _, tree in Page(source).subtrees())
+                    read = Page(source)
+                    article = read.main_hash()
+                    seen.update((host, tree, article if read.main[i] else page) for i, tree in read.subtrees())
             if len(seen) > 100_000:
                 yield flush()
         yield flush()

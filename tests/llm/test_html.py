@@ -75,6 +75,19 @@ def test_wrappers_of_articles_are_no_template(spark):
     assert {r["text"] for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {"the same"}
 
 
+def test_boxes_that_recur_in_articles_go(spark):
+    box = "<div class=x1><p>Join 5,000 readers</p></div>"
+    rows = [(i, "http://a.com/", f"<main><div><p>own {i}</p></div>{box}</main>", 0, 0) for i in range(9)]
+    rows += [(20 + i, "http://b.com/", f"<i>{i}</i><main><div><p>{'copied' if i < 6 else i}</p></div></main>", 0, 0) for i in range(9)]
+    rows += [(40 + i, "http://c.com/", f"<main><hr title={i}><div><p>all there is</p></div></main>", 0, 0) for i in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for most in (1000, 0):
+        got = {r["page_id"]: r["text"] for r in extract(df, most_broadcast=most).collect()}
+        assert [got[i] for i in range(9)] == [f"own {i}" for i in range(9)]
+        assert [got[20 + i] for i in range(9)] == ["copied"] * 6 + ["6", "7", "8"]
+        assert {got[40 + i] for i in range(9)} == {"all there is"}
+
+
 def test_passages_shared_by_articles_stay(spark):
     rows = [(i, "http://a.com/", f"<nav>n</nav><article><p>shared passage</p><p>{i}</p></article>", 0, 0) for i in range(10)]
     got = extract(spark.createDataFrame(rows, SCHEMA)).collect()
