@@ -152,12 +152,13 @@ def free_bits(path: int, radius: int) -> list[int]:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of `docs`: doc_id, tag (hash of the text), fp (long), fingerprint (16 hex digits), component_id.
+    """One row per row of `docs`: doc_id, tag (hash of the text), fp (long), fingerprint (16 hex digits), component_id, component.
 
     component_id is the smallest doc_id that chains of links reach, the row's own included. Null, empty and blank texts
     have fingerprint zero and link like any other. Texts of fewer words than a shingle are one shingle. Rows that share
     a doc_id each give a row and link by each one's text. A row whose doc_id is null gets its own fingerprint and its
-    component's smallest non-null doc_id, null if there is none. An empty table gives no rows.
+    component's smallest non-null doc_id, null if there is none. Components that share a repeated doc_id may have the same
+    component_id; component, a fingerprint of each, tells them apart. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
     by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -166,20 +167,22 @@ def near_duplicates(docs: DataFrame, radius: int = 3, bucket: int = BUCKET) -> D
     parts = connected_components(links(nodes.select("fp", "rep"), radius, bucket))
     named = nodes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "tag", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_print = named.join(smallest, "component").select("fp", "component_id", "component")
+    return prints.join(of_print, "fp").select("doc_id", "tag", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component")
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The rows of `docs`, unchanged, that stand for their component: that with the smallest doc_id.
 
-    If that doc_id has several rows, the text with the smallest hash stays, and of equal rows one. Rows without doc_id
-    all stay, as nothing names them.
+    If that doc_id has several rows in the component, the text with the smallest hash stays, and of equal rows one. Far
+    texts that share a doc_id are of different components, each of which keeps its row. Rows without doc_id all stay,
+    as nothing names them.
     """
     found = near_duplicates(docs, radius).filter(F.col("doc_id").isNotNull())
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tag")).alias("least"))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("least"))
     first = materialize(first.select(F.col("least.doc_id").alias("kept_id"), F.col("least.tag").alias("kept_tag")), "kept")
     kept = docs.join(first, (docs["doc_id"] == first["kept_id"]) & (F.xxhash64(docs["text"]) == first["kept_tag"]), "left_semi")
-    if found.count() != found.select("doc_id").distinct().count():
-        kept = kept.dropDuplicates(["doc_id"])
+    if found.count() != found.select("doc_id", "tag").distinct().count():
+        columns = kept.columns
+        kept = kept.withColumn("_kept_tag", F.xxhash64(kept["text"])).dropDuplicates(["doc_id", "_kept_tag"]).select(*[F.col(f"`{c}`") for c in columns])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -119,3 +119,10 @@ def test_chain_of_edges(spark):
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert got == {i: 40 for i in range(40, 71)} | {3: 3, 4: 4, 5: 4}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_far_texts_that_share_a_doc_id_keep_a_row_each(spark):
+    a, b = ("".join(f"{w}{i} " for i in range(40)) for w in ("one", "two"))
+    rows = [(1, a), (1, b), (1, b), (5, a), (6, b)]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, a), (1, b)]
