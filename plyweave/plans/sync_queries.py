@@ -123,7 +123,15 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = compare.row_diff(source_orders(spark, sf_dir), target_orders(spark, sf_dir), KEYS, 100)
+    return _differences(spark, sf_dir, 100)
+
+
+def row_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _differences(spark, sf_dir, None)
+
+
+def _differences(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
+    found = compare.row_diff(source_orders(spark, sf_dir), target_orders(spark, sf_dir), KEYS, most)
     return found.select("o_orderkey", F.concat_ws(",", "columns").alias("columns"), F.col("source_values")["o_orderstatus"].alias("source_status"), F.col("target_values")["o_orderstatus"].alias("target_status"))
 
 
@@ -249,6 +257,10 @@ ENTRIES = {
         SELECT s.o_orderkey, concat_ws(',', CASE WHEN s.o_orderstatus IS DISTINCT FROM t.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN s.o_totalprice IS DISTINCT FROM t.o_totalprice THEN 'o_totalprice' END) AS columns,
                CASE WHEN s.o_orderstatus IS DISTINCT FROM t.o_orderstatus THEN s.o_orderstatus END AS source_status, CASE WHEN s.o_orderstatus IS DISTINCT FROM t.o_orderstatus THEN t.o_orderstatus END AS target_status
         FROM src_orders s JOIN tgt_orders t ON s.o_orderkey = t.o_orderkey WHERE NOT ({_SAME}) ORDER BY 1 LIMIT 100""")),
+    "row_diff_all": (row_diff_all, with_tables(_DRIFT, f"""
+        SELECT s.o_orderkey, concat_ws(',', CASE WHEN s.o_orderstatus IS DISTINCT FROM t.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN s.o_totalprice IS DISTINCT FROM t.o_totalprice THEN 'o_totalprice' END) AS columns,
+               CASE WHEN s.o_orderstatus IS DISTINCT FROM t.o_orderstatus THEN s.o_orderstatus END AS source_status, CASE WHEN s.o_orderstatus IS DISTINCT FROM t.o_orderstatus THEN t.o_orderstatus END AS target_status
+        FROM src_orders s JOIN tgt_orders t ON s.o_orderkey = t.o_orderkey WHERE NOT ({_SAME})""")),
     "reconcile": (reconcile, with_tables(_DRIFT, _STATUS)),
     "reconcile_summary": (reconcile_summary, with_tables(_DRIFT, f"SELECT status, count(*) AS n_keys FROM ({_STATUS}) GROUP BY 1")),
     "reconcile_by_ranges": (reconcile_by_ranges, "SELECT o_orderkey, CASE WHEN o_orderkey % 3001 = 0 THEN 'only_source' ELSE 'changed' END AS status FROM orders WHERE o_orderkey % 3001 = 0 OR o_orderkey % 4001 = 0"),
