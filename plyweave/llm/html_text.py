@@ -1,22 +1,29 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, then cut away.
 
-Every element outside the article that holds no article is named by a hash of its subtree; a host's subtrees are counted
-over its distinct pages in Spark, pre-aggregated in each task, so a host with a third of all pages is no more to shuffle
-than others. Copies of a page are one vote. A subtree that many pages of its host have is template and goes, as does what markup itself names as no main text (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments). Inside an article or main element boxes (divisions,
-lists, tables and the like) are counted too, over the host's distinct articles: copies of an article are one vote however
-their pages differ. Paragraphs and headings by themselves are not: passages that a site's articles share are text.
+An element's subtree is hashed twice: with its content, and by its shape alone, which is where it stands and what blocks
+it is made of, with their names but without text. Menus, adverts and footers that change from page to page recur by shape. Both hashes are
+counted over a host's distinct pages in Spark (copies of a page are one vote), a page's votes being one row.
+
+1. Content that at least `least_pages` and a `share` of a host's pages have is template. Inside an article or main element only boxes
+   (divisions, lists, tables and the like) are, counted over distinct articles: passages that a site's articles share are text.
+2. What is left over tells where a host's content is: the deepest box whose place in the page holds `left_over` of all characters.
+3. Beside that box, every subtree whose shape `least_pages` of the host's pages have is template, whatever it says.
+
+Counts can't tell about hosts of few pages, pages without the box, subtrees of rare shapes and what stands inside the box.
+There a prior decides: an article or main element is the content, and the names below are none. What HTML's own elements
+say (nav, footer, aside, form and the like) holds everywhere.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +38,18 @@ _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _BOX = frozenset("address center details div dl fieldset figure header hgroup ol section table ul".split())
 _HOLDS = frozenset("ul ol dl table menu select".split())
 _NO_TEXT = frozenset("nav footer aside form button select dialog menu svg canvas audio video object head".split())
-# Words in class, id or role that name something other than main text.
+# The prior, words in class, id or role that name menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 _NO_TEXT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus "
-    "footer form login menu modal nav navbar navigation newsletter notice notices popup promo promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar".split()
+    "menu nav navbar navigation breadcrumbs footer contentinfo sidebar complementary alert banner consent cookie cookies notice popup ad ads advert advertisement promo sponsored "
+    "form login newsletter search signup subscribe share social related comment comments replies respond".split()
 )
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[/a-zA-Z!?][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
+#: What marks the hash of the place of a host's content, and that of a shape, among hashes of subtrees.
+_CONTENT, _SHAPE = "content ", "shape "
 
 
 def host_of(url: str | None) -> str:
@@ -50,21 +60,23 @@ def host_of(url: str | None) -> str:
 
 
 def hash_of(text: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _unwanted(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in _NO_TEXT or (tag == "header" and not in_main):
-        return True
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for name, *values in _NAMES.findall(attributes):
-        words = {w.lower() for w in _WORDS.findall("".join(values))}
-        if words & _NO_TEXT_WORDS or (not in_main and "header" in words and tag not in ("body", "main", "article")) or (name.lower() == "role" and "form" in words):
+def _names(attributes: str) -> list[tuple[str, str]]:
+    return [(name.lower(), "".join(values)) for name, *values in _NAMES.findall(attributes)] if attributes else []
+
+
+def _no_text(tag: str, attributes: str, in_main: bool) -> bool:
+    """Whether HTML itself says that an element has no main text."""
+    return tag in _NO_TEXT or tag in _RAW or (tag == "header" and not in_main) or bool(attributes and _HIDDEN.search(attributes))
+
+
+def _named_no_text(tag: str, names: list[tuple[str, str]], in_main: bool) -> bool:
+    """Whether an element's names say so: the prior."""
+    for name, value in names:
+        words = {w.lower() for w in _WORDS.findall(value)}
+        if words & _NO_TEXT_WORDS or (not in_main and "header" in words and tag not in ("body", "main", "article")) or (name == "role" and "form" in words):
             return tag not in ("body", "html", "main") or bool({"comment", "comments"} & words)
     return False
 
@@ -75,7 +87,9 @@ class Page:
     def __init__(self, source: str) -> None:
         self.source = source
         self.tags: list[str] = []
-        self.unwanted: list[bool] = []
+        self.no_text: list[bool] = []  # by HTML itself
+        self.named: list[bool] = []  # as no text, by the prior
+        self.place: list[int] = []  # hash of the element's and its ancestors' labels
         self.main: list[bool] = []  # is an article or main element, or lies in one
         self.begin: list[int] = []
         self.end: list[int] = []
@@ -121,7 +135,11 @@ class Page:
             in_main = (parent >= 0 and self.main[parent]) or tag in ("article", "main")
             number = len(tags)
             tags.append(tag)
-            self.unwanted.append(_unwanted(tag, found[3].strip(), in_main) or tag in _RAW)
+            names = _names(found[3])
+            self.no_text.append(_no_text(tag, found[3].strip(), in_main))
+            self.named.append(_named_no_text(tag, names, in_main))
+            label = " ".join([tag, *sorted({w.lower() for name, value in names if name != "role" for w in _WORDS.findall(value)})])
+            self.place.append(hash_of(f"{self.place[parent] if parent >= 0 else 0} {label}"))
             self.main.append(in_main)
             self.begin.append(start)
             self.end.append(len(source))
@@ -161,7 +179,7 @@ class Page:
         return out
 
     def subtrees(self) -> list[tuple[int, int]]:
-        """(element, hash of its subtree), white space counted as one space.
+        """(element, hash of its subtree with content), white space counted as one space.
 
         Of the elements outside the article that hold none, and of the boxes inside it, whose hashes are others.
         """
@@ -171,30 +189,103 @@ class Page:
                 out.append((i, hash_of("main " * self.main[i] + " ".join(self.source[self.begin[i] : self.end[i]].split()))))
         return out
 
+    def shapes(self) -> list[tuple[int, int]]:
+        """(element, hash of its place and of the blocks in it), of all but prose; runs of like blocks count as one, inline elements as none."""
+        below: list[list[int]] = [[] for _ in self.tags]  # of blocks: the shapes of the blocks right below, last first
+        block, shape = [], [0] * len(self.tags)
+        for up in self.parent:
+            block.append(up if up < 0 or self.tags[up] in _BLOCK else block[up])
+        for i in range(len(self.tags) - 1, -1, -1):
+            inside = below[i][::-1]
+            shape[i] = hash_of(" ".join([_SHAPE, str(self.place[i]), *(str(x) for j, x in enumerate(inside) if not j or x != inside[j - 1])]))
+            if block[i] >= 0 and self.tags[i] in _BLOCK:
+                below[block[i]].append(shape[i])
+        return [(i, x) for i, x in enumerate(shape) if self.tags[i] not in _PROSE and self.tags[i] not in ("html", "body", "head")]
+
+    def content_places(self) -> list[tuple[int, int]]:
+        """(element, hash of its place) of what may be a host's content: boxes, article and main elements, but not those in an article or main element."""
+        may = ((i, tag, self.parent[i]) for i, tag in enumerate(self.tags))
+        return [(i, hash_of(f"{_CONTENT}{self.place[i]}")) for i, tag, up in may if (tag in _BOX or tag in ("article", "main")) and not (up >= 0 and self.main[up])]
+
     def main_hash(self) -> int:
         """Hash of the outermost article and main elements."""
         outer = [i for i in range(len(self.tags)) if self.main[i] and (self.parent[i] < 0 or not self.main[self.parent[i]])]
         return hash_of(" ".join(" ".join(self.source[self.begin[i] : self.end[i]].split()) for i in outer))
 
-    def text(self, template: Callable[[int], bool]) -> str:
-        """Blocks of main text, one a line. template(element) tells which elements are the site's.
+    def left_over(self, of_site: Container[int]) -> dict[int, tuple[int, int]]:
+        """Characters that are left at each place that may be a host's content, and its depth, without the site's and the prior's; 0 is the whole page."""
+        site = {i for i, tree in self.subtrees() if tree in of_site}
+        gone = self._gone(lambda i: self.named[i] or i in site)
+        own, depth, total = [0] * len(self.tags), [], 0
+        for up in self.parent:
+            depth.append(depth[up] + 1 if up >= 0 else 1)
+        for element, start, end, _ in self.runs:
+            if element < 0 or not gone[element]:
+                size = sum(map(len, self.source[start:end].split()))
+                total += size
+                if element >= 0:
+                    own[element] += size
+        for i in range(len(self.tags) - 1, -1, -1):
+            if self.parent[i] >= 0:
+                own[self.parent[i]] += own[i]
+        out = {0: (total, 0)}
+        for i, at in self.content_places():
+            if own[i]:
+                out[at] = (out.get(at, (0, 0))[0] + own[i], depth[i])
+        return out
+
+    def text(self, template: Callable[[int], bool] = lambda i: False, of_site: Container[int] = frozenset(), by_counts: bool = True) -> str:
+        """Blocks of main text, one a line.
 
-        Boxes of an article stay if nothing would be left without them.
+        template(element) tells which elements are the site's by their content. of_site holds the shapes that recur on
+        the site and the place of its content; without `by_counts` no element goes because of its shape. Boxes of an
+        article stay if nothing would be left without them.
         """
-        found = self._text(template)
-        return found or self._text(lambda i: not self.main[i] and template(i))
-
-    def _text(self, template: Callable[[int], bool]) -> str:
-        n, gone = len(self.tags), []
-        for i in range(n):
-            parent = self.parent[i]
-            gone.append((parent >= 0 and gone[parent]) or self.unwanted[i] or template(i))
-        only_main = any(self.main[i] and not gone[i] for i in range(n))
+        content, gone = [i for i, at in self.content_places() if at in of_site] if of_site else [], self._gone(template)
+        known = any(not gone[i] for i in content)
+        found = self._beside(content, template, of_site, by_counts) if known else self._by_prior(template)
+        return found or self._by_prior(lambda i: not self.main[i] and template(i))
+
+    def _gone(self, more: Callable[[int], bool]) -> list[bool]:
+        """Which elements go, by HTML itself, `more` or with their parents."""
+        gone: list[bool] = []
+        for i, parent in enumerate(self.parent):
+            gone.append((parent >= 0 and gone[parent]) or self.no_text[i] or more(i))
+        return gone
+
+    def _by_prior(self, template: Callable[[int], bool]) -> str:
+        gone = self._gone(lambda i: self.named[i] or template(i))
+        only_main = any(main and not g for main, g in zip(self.main, gone, strict=True))
+        return self._left(lambda element: only_main if element < 0 else gone[element] or only_main and not self.main[element])
+
+    def _beside(self, content: list[int], template: Callable[[int], bool], of_site: Container[int], by_counts: bool) -> str:
+        """Where the site's content is known: beside it shapes decide, and names where a shape is rare; inside it names do."""
+        holds, inside = set(), [False] * len(self.tags)
+        for i in content:
+            inside[i] = True
+            while i >= 0 and i not in holds:
+                holds.add(i)
+                i = self.parent[i]
+        for i, parent in enumerate(self.parent):
+            inside[i] = inside[i] or parent >= 0 and inside[parent]
+        counted = {i for i, shape in self.shapes() if shape in of_site}
+
+        def more(i: int) -> bool:
+            if i in holds:
+                return False
+            if inside[i]:
+                return self.named[i] or template(i)
+            return by_counts and (template(i) or i in counted) or (self.named[i] and i not in counted)
+
+        gone = self._gone(more)
+        return self._left(lambda element: element >= 0 and gone[element])
+
+    def _left(self, gone: Callable[[int], bool]) -> str:
         blocks: list[list[str]] = [[]]
         cut = True
         for element, start, end, broken in self.runs:
             cut = cut or broken
-            if element < 0 and only_main or element >= 0 and (gone[element] or only_main and not self.main[element]):
+            if gone(element):
                 continue
             if cut:
                 blocks.append([])
@@ -207,79 +298,123 @@ class Page:
 _CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 
 
-def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, most_broadcast: int = 200_000) -> DataFrame:
-    """One row per row of `pages`: page_id, url, text, n_chars (code points of text).
-
-    A subtree is a site's template if at least `least_pages` and a `share` of its host's pages have it, pages with equal
-    counted as one, and for what lies in an article or main element pages with equal ones; what holds such an element
-    never is. Null html is
-    empty, and an empty page has empty text; pages without a host in their url are one host. Rows that repeat a page_id
-    are pages of their own. An empty table gives no rows. Other columns are not looked at.
+def votes(pages: DataFrame) -> DataFrame:
+    """host, page, article, trees, boxes, shapes: a row for each distinct page of a host, with the subtrees it votes for.
 
-    Up to `most_broadcast` template subtrees go to every task; more are joined to the pages' subtrees instead. The
-    texts are the same.
+    page and article are hashes of the page and of its article; boxes are subtrees that articles vote for, not pages.
     """
-    plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int | None, int]] = set()
-
-        def flush() -> pa.RecordBatch:
-            rows = list(seen)
-            seen.clear()
-            host, tree, page = (pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64())))
-            return batch_of(host=host, tree=tree, page=page)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host, page = host_of(url), hash_of(source)
-                if (host, None, page) not in seen:
-                    seen.add((host, None, page))
-                    read = Page(source)
-                    article = read.main_hash()
-                    seen.update((host, tree, article if read.main[i] else page) for i, tree in read.subtrees())
-            if len(seen) > 100_000:
-                yield flush()
-        yield flush()
-
-    # Distinct first, so that a template of a large host is counted from many tasks.
-    votes = plain.select("url", "html").mapInArrow(count, "host string, tree long, page long").distinct()
-    counts = votes.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least_pages))
-    counts = materialize(counts, "subtree-counts")
-    hosts = counts.filter(F.col("tree").isNull()).select("host", F.col("n").alias("pages"))
-    templates = counts.filter(F.col("tree").isNotNull()).join(hosts, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "tree")
-    templates = materialize(templates, "templates")
-    if templates.limit(most_broadcast + 1).count() <= most_broadcast:
-        known: dict[str, set[int]] = {}
-        got = templates.toArrow()  # at most most_broadcast rows
+            out: dict[str, list] = {"page": [], "article": [], "trees": [], "boxes": [], "shapes": []}
+            for source in batch.column("html").to_pylist():
+                page = Page(source)
+                found = page.subtrees()
+                got = (hash_of(source), page.main_hash(), {t for i, t in found if not page.main[i]}, {t for i, t in found if page.main[i]}, {t for _, t in page.shapes()})
+                for to, value in zip(out.values(), got, strict=True):
+                    to.append(sorted(value) if isinstance(value, set) else value)
+            host = pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())
+            yield batch_of(host=host, **{c: pa.array(x, pa.int64() if c in ("page", "article") else pa.list_(pa.int64())) for c, x in out.items()})
+
+    plain = pages.select("url", F.coalesce("html", F.lit("")).alias("html"))
+    return plain.mapInArrow(read, "host string, page long, article long, trees array<long>, boxes array<long>, shapes array<long>").dropDuplicates(["host", "page"])
+
+
+def subtree_counts(pages: DataFrame, least_pages: int) -> tuple[DataFrame, DataFrame]:
+    """(host, tree, shape, n: pages with the subtree, at least `least_pages`, by its content or, if `shape`, by that; host, pages of the hosts with as many)."""
+    voted = materialize(votes(pages), "page-votes")
+    hosts = voted.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
+    of_pages = voted.select("host", F.explode(F.concat(F.transform("trees", lambda t: F.struct(t.alias("tree"), F.lit(False).alias("shape"))), F.transform("shapes", lambda t: F.struct(t.alias("tree"), F.lit(True).alias("shape"))))).alias("t"))
+    of_articles = voted.select("host", "article", F.explode("boxes").alias("tree")).distinct().select("host", "tree", F.lit(False).alias("shape"))
+    counts = of_pages.select("host", "t.tree", "t.shape").unionByName(of_articles).groupBy("host", "tree", "shape").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
+    return materialize(counts, "subtree-counts"), materialize(hosts, "hosts")
+
+
+def with_site(plain: DataFrame, known: DataFrame, most: int) -> tuple[DataFrame, Callable[[pa.RecordBatch], Iterator[tuple[Page, str, set[int]]]]]:
+    """`plain` (url, html and more) with a column `trees`, and what reads its batches: each page, its host and the known subtrees of that.
+
+    known: host, tree. They go to the tasks if they are counted to be `most` at most; else each page gets those that are in it, by a join.
+    """
+    if known.limit(most + 1).count() <= most:
+        of: dict[str, set[int]] = {}
+        got = known.toArrow()  # at most `most` rows
         for host, tree in zip(got.column("host").to_pylist(), got.column("tree").to_pylist(), strict=True):
-            known.setdefault(host, set()).add(tree)
-        sent, with_trees = pages.sparkSession.sparkContext.broadcast(known), plain.withColumn("trees", F.lit(None).cast("array<long>"))
+            of.setdefault(host, set()).add(tree)
+        sent, pages = plain.sparkSession.sparkContext.broadcast(of), plain.withColumn("trees", F.lit(None).cast("array<long>"))
     else:
-        keyed = plain.withColumn("key", F.xxhash64("page_id", "url", "html")).withColumn("key2", F.hash("html", "url", "page_id"))
+        keyed = plain.withColumn("key", F.xxhash64("url", "html")).withColumn("key2", F.hash("html", "url"))
 
         def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows_of(batches):
-                found = [{t for _, t in Page(source).subtrees()} for source in batch.column("html").to_pylist()]
+                read = [Page(source) for source in batch.column("html").to_pylist()]
+                found = [{t for _, t in p.subtrees()} | {t for _, t in p.shapes()} | {t for _, t in p.content_places()} for p in read]
                 of = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 own = {c: batch.column(c).take(pa.array(of)) for c in ("key", "key2")}
                 hosts = pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string()).take(pa.array(of))
                 yield batch_of(**own, host=hosts, tree=pa.array([t for f in found for t in f], pa.int64()))
 
-        own = keyed.mapInArrow(trees, "key long, key2 int, host string, tree long").join(templates, ["host", "tree"], "left_semi")
+        own = keyed.mapInArrow(trees, "key long, key2 int, host string, tree long").distinct().join(known, ["host", "tree"], "left_semi")
         own = own.groupBy("key", "key2").agg(F.collect_set("tree").alias("trees"))
-        sent, with_trees = None, keyed.join(own, ["key", "key2"], "left").withColumn("trees", F.coalesce("trees", F.array().cast("array<long>"))).drop("key", "key2")
+        sent, pages = None, keyed.join(own, ["key", "key2"], "left").withColumn("trees", F.coalesce("trees", F.array().cast("array<long>"))).drop("key", "key2")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none: set[int] = set()
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[Page, str, set[int]]]:
+        for url, source, own in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "trees")), strict=True):
+            host = host_of(url)
+            yield Page(source), host, set(own) if own is not None else sent.value.get(host, set())
+
+    return pages, read
+
+
+def templates(pages: DataFrame, least_pages: int, share: float, left_over: float, most_broadcast: int) -> DataFrame:
+    """host, tree: what a host's pages have in common, by content, and, where its content has a place of its own, that place and the shapes."""
+    counts, hosts = subtree_counts(pages, least_pages)
+    same = counts.filter(~F.col("shape")).join(hosts, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "tree")
+    same = materialize(same, "templates")
+    with_trees, read = with_site(pages.select("url", "html"), same, most_broadcast)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("place", pa.int64()), ("depth", pa.int32()), ("chars", pa.int64())]))
+        for batch in rows_of(batches):
+            host, page, found = [], [], []
+            for one, of_host, trees in read(batch):
+                host.append(of_host)
+                page.append(hash_of(one.source))
+                found.append([{"place": at, "depth": depth, "chars": chars} for at, (chars, depth) in one.left_over(trees).items()])
+            yield batch_of(host=pa.array(host, pa.string()), page=pa.array(page, pa.int64()), found=pa.array(found, kind))
+
+    left = with_trees.mapInArrow(places, "host string, page long, found array<struct<place:long,depth:int,chars:long>>").dropDuplicates(["host", "page"])
+    left = left.select("host", F.explode("found").alias("f")).groupBy("host", F.col("f.place").alias("place")).agg(F.max("f.depth").alias("depth"), F.sum("f.chars").alias("chars"))
+    left = materialize(left.join(hosts.select("host"), "host"), "left-over")
+    whole = left.filter(F.col("place") == 0).select("host", F.col("chars").alias("all"))
+    most = left.filter(F.col("place") != 0).join(whole, "host").filter((F.col("chars") > 0) & (F.col("chars") >= left_over * F.col("all")))
+    content = most.groupBy("host").agg(F.max_by("place", F.struct("depth", "chars", "place")).alias("tree"))
+    shapes = counts.filter("shape").select("host", "tree").join(content.select("host"), "host", "left_semi")
+    return materialize(same.unionByName(content.select("host", "tree")).unionByName(shapes).distinct(), "site")
+
+
+def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, left_over: float = 0.8, most_broadcast: int = 200_000, cut_templates: bool = True) -> DataFrame:
+    """One row per row of `pages`: page_id, url, text, n_chars (code points of text).
+
+    See the top of this module for what is a site's template; pages of a host that are equal count as one, and for what lies in
+    an article or main element pages with equal ones; what holds such an element never is template. Null html is
+    empty, and an empty page has empty text; pages without a host in their url are one host. Rows that repeat a page_id
+    are pages of their own. Very long and deeply nested pages are read whole. Places with equally many characters are told apart by
+    depth, then by hash. An empty table gives no rows. Other columns are not looked at, whatever their names.
+
+    Up to `most_broadcast` subtrees go to every task; more are joined to the pages' subtrees instead. The texts are the
+    same. Without `cut_templates` nothing goes that only counts tell: the difference is what templates do.
+    """
+    plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    with_trees, read = with_site(plain, templates(plain, least_pages, share, left_over, most_broadcast), most_broadcast)
+
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             texts = []
-            for url, source, own in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "trees")), strict=True):
-                page, of_site = Page(source), set(own) if own is not None else sent.value.get(host_of(url), none)
-                gone = {i for i, tree in page.subtrees() if tree in of_site} if of_site else none
-                texts.append(page.text(gone.__contains__))
+            for page, _, trees in read(batch):
+                same = {i for i, tree in page.subtrees() if tree in trees} if trees and cut_templates else ()
+                texts.append(page.text(same.__contains__, trees, cut_templates))
             kept = {c: batch.column(c) for c in ("page_id", "url")}
             yield batch_of(**kept, text=pa.array(texts, pa.string()), n_chars=np.array([len(t) for t in texts], np.int64))
 
     kind = dict(pages.dtypes)["page_id"]
-    return with_trees.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
+    return with_trees.mapInArrow(texts_of, f"page_id {kind}, url string, text string, n_chars long")

@@ -5,7 +5,9 @@ import re
 
 import pytest
 
-from plyweave.llm.html_text import Page, extract
+from pyspark.sql import functions as F
+
+from plyweave.llm.html_text import Page, extract, host_of, subtree_counts
 
 SCHEMA = "page_id long, url string, html string, text int, tree int"
 
@@ -101,3 +103,41 @@ def test_whole_table_against_the_articles(spark):
         article = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)[1]
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:h1|p)\b[^>]*>", article))
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def test_subtree_counts_against_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url", "html")
+    rows = [(r["url"], r["html"]) for r in pages.collect()]
+    twice = pages.union(spark.createDataFrame([(u + "#x", h) for u, h in rows[:40]], "url string, html string"))
+    want = {}
+    for host, source in {(host_of(u), h) for u, h in rows}:
+        page = Page(source)
+        for kind, trees in ((False, page.subtrees()), (True, page.shapes())):
+            for i, tree in trees:
+                want.setdefault((host, tree, kind), set()).add(page.main_hash() if not kind and page.main[i] else source)
+    for least in (2, 5):
+        counts, hosts = subtree_counts(twice, least)
+        assert {(r["host"], r["tree"], r["shape"]): r["n"] for r in counts.collect()} == {k: len(v) for k, v in want.items() if len(v) >= least}
+        assert {r["host"] for r in hosts.collect()} == {h for h in map(host_of, dict(rows)) if sum(host_of(u) == h for u, _ in rows) >= least}
+
+
+def test_templates_find_the_text_without_articles(spark):
+    """No element or name tells the content of these pages: what recurs on the host by shape goes, and what is left over is the text."""
+    page = lambda i: f"<div class=a{i}>top {i}</div><div class=k><div>menu {i} <a href=/{i}>x</a></div></div><div class=z><h2>title {i}</h2><p>{'long text ' * 20}{i}</p></div><div class=q>offer {i}</div>"
+    df = spark.createDataFrame([(i, "http://a.com/", page(i), 0, 0) for i in range(8)], SCHEMA)
+    off = {r["page_id"]: r["text"] for r in extract(df, cut_templates=False).collect()}
+    for most in (1000, 0):
+        got = {r["page_id"]: r["text"] for r in extract(df, most_broadcast=most).collect()}
+        assert got == {i: f"title {i}\n{'long text ' * 20}{i}" for i in range(8)}
+    assert all(off[i] == f"top {i}\nmenu {i} x\n{got[i]}\noffer {i}" for i in range(8))
+    other = spark.createDataFrame([(9, "http://a.com/", "<section><p>another layout</p></section>", 0, 0)], SCHEMA)
+    assert [r["text"] for r in extract(df.union(other)).filter("page_id = 9").collect()] == ["another layout"]
+
+
+def test_whole_table_without_articles(spark):
+    """With its article elements renamed, a page of a counted host gives the same text; without templates it doesn't."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "<(/?)article>", "<$1div>"))
+    want, got, off = ({r["page_id"]: r["text"] for r in df.collect()} for df in (extract(pages), extract(bare), extract(pages, cut_templates=False)))
+    assert got == want
+    assert sum(want[i] != off[i] for i in want) > len(want) / 2
