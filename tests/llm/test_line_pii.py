@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -59,6 +60,85 @@ def test_contexts_give_unseen_identifiers_away(spark):
     assert got[5] == "phone:18:35"
 
 
+def found_in(spark, rows):
+    return {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+
+
+def test_addresses_without_digits_and_spaced_numbers(spark):
+    rows = [(i, f"write to jane{'x' * (i % 9)}.doe{'y' * (i // 9)}@mail.example for help") for i in range(30)]
+    rows += [(50 + i, f"or just ring +44 20 7946 {1000 + i} before six") for i in range(30)]
+    rows += [(100, "write to jane(at)mail.example for help"), (101, "write to jane@localhost for help"), (102, "write to someone for help"), (103, "or just ring 020 7946 0958 before six"), (104, "or just ring (020) 7946-0958, before six")]
+    got = found_in(spark, rows)
+    assert (got[100], got[101], got[102]) == ("email:9:29", "email:9:23", "")
+    assert got[103] == "phone:13:26"
+    assert got[3] == "email:9:33" and got[53].startswith("phone:13:")
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    """Known numbers give a context's others away, whose next context gives more away: two rounds; one says less."""
+    rows = [(i, f"call me at +1 (555) 010-{1000 + i} today") for i in range(30)]
+    rows += [(100 + i, f"call me at 7.{i} today and then fax it to 7.{i} please") for i in range(6)]
+    rows += [(200, "then fax it to 9.99 please")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda n: {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_personal_data(df, rounds=n, bar=0.7)).collect()}
+    whole = spans(None)
+    assert whole[103] == "phone:11:14,phone:40:43" and whole[200] == "phone:15:19"
+    assert spans(1)[103] == "phone:11:14,phone:40:43" and spans(1)[200] == ""
+    assert spans(0)[103] == ""
+    assert whole == spans(9)
+
+
+def brute_discover(seeds, candidates, support, bar):
+    """The graph's rounds by loops over sets."""
+    kinds = list(pii.PATTERNS)
+    classes = lambda v: {c for c, p in (("l", "[^\\W\\d_]"), ("d", "[0-9]"), ("m", "[^a-zA-Z0-9]")) if re.search(p, v)}
+    known = {(v, k) for _, v, k in seeds}
+    needs = {k: {c for c in "ldm" if 10 * sum(c in classes(v) for v, x in known if x == k) >= 9 * sum(x == k for _, x in known)} for k in kinds}
+    of = {}
+    for pattern, value in {(p, v) for p, v, *_ in (*seeds, *candidates)}:
+        of.setdefault(pattern, set()).add(value)
+    found = {}
+    while True:
+        seen, doubt = {v for v, _ in known}, {}
+        for values in of.values():
+            for k in kinds:
+                hits = sum((v, k) in known for v in values)
+                confidence = hits / (len(values) + 1)
+                if len(values) >= support and hits >= support and confidence >= bar / 2:
+                    for v in values - seen:
+                        if needs[k] <= classes(v):
+                            doubt[v, k] = doubt.get((v, k), 1) * (1 - confidence)
+        best = {}
+        for (v, k), d in doubt.items():
+            best[v] = max(best.get(v, (-1, 0, "")), (round(1 - d, 9), -kinds.index(k), k))
+        new = {(v, k) for v, (score, _, k) in best.items() if score >= bar}
+        if not new:
+            return found
+        known |= new
+        found |= dict(new)
+
+
+def test_graph_against_brute_force(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        value = lambda kind, i: {"email": f"u{i}@x.y", "ip": f"1.2.3.{i}", "card": f"4000{i}", "phone": f"+{i} 1"}[kind]  # noqa: E731, B023
+        seeds = [(f"p{rng.randint(0, 6) + 3 * n}", value(k, rng.randint(0, 40)), k) for n, k in enumerate(pii.PATTERNS) for _ in range(90)]
+        candidates = [(f"p{rng.randint(0, 24)}", rng.choice([f"c{i}-a", f"c-{i}.b", f"n{i}", f"{i}.{i}"])) for i in (rng.randint(0, 5) for _ in range(60))]
+        got = pii.discover(spark.createDataFrame(seeds, "pattern string, value string, kind string"), spark.createDataFrame(candidates, "pattern string, value string"), support=4, bar=0.6)
+        got = {r["value"]: r["kind"] for r in got.collect()}
+        want = brute_discover(seeds, candidates, 4, 0.6)
+        assert got == want and want
+
+
+def test_text_with_very_many_matches(spark):
+    """Positions are sums over blocks; candidates that touch base spans are told by order, not by pairs."""
+    text = " ".join(f"user{i}@mail{i % 7}.example.com é {i}.5.6.7 x{i}y" for i in range(10_000))
+    got = pii.digest(pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    want = brute(text)
+    assert got["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and got["n_email"] == 10_000
+    assert got["spans"] == want
+
+
 def test_pii_odd_rows(spark):
     got = pii.digest(pii.find_personal_data(odd(spark))).collect()
     assert len(got) == len(ODD)
