@@ -159,6 +159,30 @@ def test_lines_agree_with_sql(spark):
     assert plain(got.toPandas()) == plain(duck(line_dedup.ORACLE_SQL, "/root/testdata/sf0.01"))
 
 
+def test_short_lines_count_too(spark):
+    docs = spark.createDataFrame([(i, f"ok\n\n{i}\n \t", f"s{i}") for i in range(9)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_boilerplate(docs).collect()}
+    assert got == {i: ("ok\n" if not i else "") + f"\n{i}\n \t" for i in range(9)}
+
+
+def test_rows_without_id_keep_one_line(spark):
+    same = [(None, "one line for all", f"s{i}", 1, "x") for i in range(12)]
+    other = [(None, f"one line for some\n{i}", f"s{i}", 2, "y") for i in range(12)]
+    docs = spark.createDataFrame(same + other, "doc_id long, text string, source string, n_lines int, n_removed string")
+    got = line_dedup.remove_boilerplate(docs, n_lines="n_lines", n_removed="n_removed")
+    assert got.columns == ["doc_id", "text", "source", "n_lines", "n_removed"]
+    assert got.agg(F.sum("n_removed"), F.sum("n_lines")).first()[:] == (22, 36)
+    assert line_dedup.digest(got).count() == 24
+    assert line_dedup.remove_boilerplate(docs).filter("text like 'one line for%'").count() == 2
+
+
+def test_the_text_is_shuffled_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = line_dedup.remove_boilerplate(docs)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftOuter") :]
+    assert len(re.findall(r"text#\d+ AS|row#\d+\.text AS|struct\(", join.split("Relation")[0])) <= 1
+
+
 def test_near_the_threshold_counts_are_exact(spark):
     rows = [(i, f"line of {n} sites, long enough", f"s{i % n}") for n in (7, 8, 9, 300) for i in range(2 * n)]
     docs = spark.createDataFrame([(j, t, s) for j, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
