@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from frames import ODD, empty, odd
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ def test_toxicity_on_held_out_rows(spark):
     machine = toxicity.train(spark, docs, labels)
     got = toxicity.score(docs, machine).join(labels, "doc_id").filter("held_out").toPandas()
     hit = got[got.predicted == 1]
+    assert (got[got.toxic == 1].predicted == 1).mean() > 0.88
+    linear = toxicity.score(docs, toxicity.train(spark, docs, labels, factors=0)).join(labels, "doc_id").filter("held_out").toPandas()
+    # No pair tells more than its terms in these rows, so vectors gain nothing; what they cost stays within two rows of 825.
+    assert (got.predicted != got.toxic).sum() <= (linear.predicted != linear.toxic).sum() + 2
     assert (got.predicted == got.toxic).mean() > 0.97
     assert (hit.toxic == 1).mean() > 0.97
     assert set(got.held_out) == {True} and got.score.between(0, 1).all()
@@ -31,6 +37,47 @@ def test_machine_learns_an_interaction():
     assert m.vectors[0] @ m.vectors[1] > 0.1
 
 
+def test_terms_that_tell_nothing_alone():
+    """Texts with both terms or with neither are toxic, among common and rare terms that say nothing: a linear machine can't tell, the pair's vectors do."""
+    rng, rows, y = np.random.default_rng(4), [], []
+    for i in range(1600):
+        a, b = bool(i & 1), bool(i & 2)
+        other = rng.choice(np.arange(100, 300), 20, replace=False)
+        rows.append(np.unique(np.concatenate([[11] * a, [22] * b, other, [1000 + i]])).astype(np.uint32))
+        y.append(float(a == b))
+    y = np.array(y)
+    for term in (11, 22):
+        has = np.array([term in r for r in rows])
+        assert y[has].mean() == y[~has].mean() == 0.5
+    known = toxicity.telling_terms(rows[:1200], y[:1200])
+    assert {11, 22} <= set(known.tolist()) and len(known) < 20
+    right = {}
+    for factors in (4, 0):
+        m = toxicity.fit_machine(rows[:1200], y[:1200], np.ones(1200), factors)
+        p = m.margins([np.searchsorted(m.known, np.intersect1d(r, m.known)) for r in rows[1200:]])
+        right[factors] = ((p > 0) == (y[1200:] > 0)).mean()
+    assert right[4] > 0.99 and right[0] < 0.8
+
+
+def test_whole_query_against_brute_force(spark):
+    """Every score is the logistic function of bias, weights and all pairs of vectors, term by term."""
+    from plyweave.llm import queries
+
+    docs, labels = (queries.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    m = toxicity.train(spark, docs, labels)
+    place = {int(t): i for i, t in enumerate(m.known)}
+    got = {r["doc_id"]: r for r in queries.op10_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        words = set(toxicity._WORD.findall((r["text"] or "").lower()))
+        at = sorted({place[t] for w in words for t in toxicity.word_terms(w) if t in place})
+        z = m.bias + sum(m.weight[i] for i in at) + sum(float(m.vectors[i] @ m.vectors[j]) for i in at for j in at if i < j)
+        row = got[r["doc_id"]]
+        assert abs(row["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+        assert row["predicted"] == (row["score"] >= 0.5) and row["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    again = toxicity.train(spark, docs.repartition(7), labels.repartition(3))
+    assert (again.known == m.known).all() and np.array_equal(again.weight, m.weight) and np.array_equal(again.vectors, m.vectors)
+
+
 def test_margins_are_the_factorization_machines():
     rng = np.random.default_rng(3)
     m = toxicity.FactorizationMachine(np.arange(6, dtype=np.uint32), 0.3, rng.normal(size=6), rng.normal(size=(6, 2)))
