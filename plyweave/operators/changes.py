@@ -58,15 +58,22 @@ def parse_id_mark(text: str | None) -> int:
         return 0
 
 
-def sync_lag(tables: dict[str, tuple[DataFrame, str]], checkpoints: DataFrame) -> DataFrame:
-    """table, hi_source, hi_mark, n_behind (rows beyond the mark) of each table with an id mark, side by side."""
+def sync_lag(tables: dict[str, tuple[DataFrame, str]], checkpoints: DataFrame, kind: str = "id") -> DataFrame:
+    """table, hi_source (its largest value), hi_mark, n_behind (rows beyond the mark) of each table with a mark of `kind` (id or ts).
 
-    def one(name: str, df: DataFrame, column: str) -> DataFrame:
-        mark = checkpoints.filter(F.col("mapping_id") == name).select(F.max("hi_id").alias("hi_mark")).withColumn("_one", F.lit(1))
-        seen = df.select(F.col(column).alias("v"), F.lit(1).alias("_one")).join(F.broadcast(mark), "_one")  # one row
-        return seen.agg(F.max("v").alias("hi_source"), F.max("hi_mark").alias("hi_mark"), F.count_if(F.col("v") > F.coalesce("hi_mark", F.lit(0))).alias("n_behind")).select(F.lit(name).alias("table"), "*")
-
-    return reduce(DataFrame.unionByName, [one(name, df, c) for name, (df, c) in tables.items()])
+    Of a table that is behind only rows beyond the mark are read, where files tell; of others the column. Without a mark
+    an id counts from 0 and a time from the beginning. Three values a table come to the driver.
+    """
+    hi = "hi_id" if kind == "id" else "hi_ts"
+    rows = checkpoints.filter(F.col("mapping_id").isin(list(tables))).groupBy("mapping_id").agg(F.max(hi).alias("hi")).collect()
+    marks, found = {r["mapping_id"]: r["hi"] for r in rows}, []
+    for name, (df, column) in tables.items():
+        mark = marks.get(name)
+        beyond = F.col(column).isNotNull() if mark is None and kind == "ts" else F.col(column) > F.lit(0 if mark is None else mark)
+        top, n = df.filter(beyond).agg(F.max(column), F.count(F.lit(1))).first()
+        found.append((name, top if n else high_water_mark(df, column).first()["hi"], mark, n))
+    value = "long" if kind == "id" else "timestamp_ntz"
+    return checkpoints.sparkSession.createDataFrame(found, f"table string, hi_source {value}, hi_mark {value}, n_behind long")
 
 
 class Checkpoints:
@@ -96,13 +103,17 @@ class SyncResult:
     hi: object
 
 
-def incremental_sync(source: DataFrame, target: VersionedTable, keys: list[str], checkpoints: Checkpoints, mapping_id: str, where: str | None = None, policy: str | None = None, id_column: str | None = None, overlap: str | None = None) -> SyncResult:
+def incremental_sync(source: DataFrame, target: VersionedTable, keys: list[str], checkpoints: Checkpoints, mapping_id: str, where: str | None = None, policy: str | None = None, id_column: str | None = None, overlap: str | None = None, tiebreak: list[str] | None = None, versions: bool = True) -> SyncResult:
     """Pull what changed since the mapping's mark, merge it by key, then store the new mark.
 
     The new mark is the source's largest tracking value before anything is read, so rows that are committed meanwhile
     come next time. Without a mark, or without a target, all filtered rows up to it replace the target. The mark is
     stored last: a crash before that repeats the same keyed merge. `overlap` (an interval such as "10 minutes") reads
     that much before the mark again, for rows that were committed late; merged by key they do no harm.
+
+    Of several versions of a key the latest stays, by the tracking value, then `tiebreak`, then the other columns;
+    `versions` off says that the source has each key once, which saves the full load a shuffle. A target with buckets
+    is rewritten only where the delta has keys.
     """
     column, kind = tracking_column(source.schema, id_column)
     hi, mark, now = high_water_mark(source, column).first()["hi"], checkpoints.get(mapping_id), target.current()
@@ -111,14 +122,12 @@ def incremental_sync(source: DataFrame, target: VersionedTable, keys: list[str],
     lo = None if mark is None else mark["hi_ts"] if kind == "ts" else mark["hi_id"]
     if lo is None or now is None:
         rows = source.filter(predicate(where)) if hi is None else source.filter((F.col(column).isNull() | (F.col(column) <= F.lit(hi))) & predicate(where))
-        n = target.publish(rows)
+        n = target.publish(latest_per_key(rows, keys, column, tiebreak) if versions else rows)
         if hi is not None:
             checkpoints.put(mapping_id, column, kind, hi)
         return SyncResult("full", n, None, hi)
     since = F.lit(lo) - F.expr(f"INTERVAL {overlap}") if overlap and kind == "ts" else F.lit(lo)
     delta = pull_changes(source, column, since, F.lit(hi), where)
-    n = delta.count()
-    if n:
-        target.publish(upsert(now, delta, keys, policy, column))
+    n = target.merge(delta, lambda rows, changed: upsert(rows, changed, keys, policy, column, tiebreak))
     checkpoints.put(mapping_id, column, kind, max(hi, lo))
     return SyncResult("incremental", n, lo, hi)

@@ -30,14 +30,22 @@ def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order_by: str, tiebreak: list[str] | None = None) -> DataFrame:
-    """The row with the largest `order_by` (then tiebreak) of each key; nulls count as smallest.
+    """The row with the largest `order_by` (then tiebreak, then its other columns but maps) of each key; nulls count as smallest.
 
     One aggregate with map-side combining, so a key with very many versions is reduced before the shuffle.
     """
-    order = F.struct(*[F.col(c) for c in [order_by, *(tiebreak or [])]])
+    first = [order_by, *(tiebreak or [])]
+    order = F.struct(*[F.col(c) for c in [*first, *(c for c, kind in df.dtypes if c not in (*first, *keys) and "map<" not in kind)]])
     return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
 
 
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`df`, which fails when it is computed if a key stands on several rows: which of them counts would be left to chance."""
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*df.columns)).alias("_row"))
+    several = F.raise_error(F.concat(F.lit("a key stands on "), F.col("_n"), F.lit(" rows of the delta: order_by must tell the latest")))
+    return found.select(F.when(F.col("_n") > 1, several).otherwise(F.col("_row")).alias("_row")).select("_row.*")
+
+
 def collisions(target: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of the delta that the target has already."""
     return delta.select(*keys).distinct().join(target.select(*keys), keys, "left_semi")
@@ -48,16 +56,15 @@ def upsert(target: DataFrame, delta: DataFrame, keys: list[str], policy: str | N
 
     overwrite: new keys are inserted, existing ones get the delta's row. skip: existing rows stay. error: any existing
     key raises ValueError with the number and a few of the keys, before anything is written. If the delta may hold
-    several versions of a key, `order_by` keeps the latest. Where all columns are keys, overwrite inserts what is absent.
+    several versions of a key, `order_by` keeps the latest; without it a repeated key is an error. Where all columns are keys, overwrite inserts what is absent.
     A small delta's keys are broadcast by the adaptive planner once their size is known; a large one is sort-merged.
     """
     policy = policy_of(policy)
     same_schema(delta, target)
-    delta = with_keys(latest_per_key(delta, keys, order_by, tiebreak) if order_by else delta, keys).select(target.columns)
+    delta = with_keys(latest_per_key(delta, keys, order_by, tiebreak) if order_by else one_per_key(delta, keys), keys).select(target.columns)
     if policy == SKIP:
         return target.unionByName(delta.join(target.select(*keys), keys, "left_anti").select(target.columns))
     if policy == ERROR:
-        delta = delta.cache()
         hit = collisions(target, delta, keys)
         some = hit.limit(6).collect()
         if some:
@@ -101,26 +108,96 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_jdbc(df: DataFrame, url: str, table: str, batch_rows: int = 10_000, **options: str) -> None:
+    """Insert the rows into a JDBC table, which is made if it isn't there; a key that exists is the database's error."""
+    df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch_rows), **options).mode("append").save()
+
+
 def replace_content(spark: SparkSession, df: DataFrame, url: str, table: str, batch_rows: int = 10_000, **options: str) -> None:
     """Truncate a JDBC table and load `df`, keeping the table's own definition."""
     df.write.format("jdbc").options(url=url, dbtable=table, truncate="true", batchsize=str(batch_rows), **options).mode("overwrite").save()
 
 
-def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], partition_by: list[str], policy: str | None = OVERWRITE, order_by: str | None = None) -> None:
+def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], partition_by: list[str], policy: str | None = OVERWRITE, order_by: str | None = None, tiebreak: list[str] | None = None) -> None:
     """Upsert into a partitioned Parquet table by rewriting only the partitions that the delta touches.
 
-    `partition_by` must follow from the keys (as a bucket of one does), so that a key never changes its partition. The
+    `partition_by` must follow from the keys (as a bucket of one does), so that a key never changes its partition; nulls in it are refused. The
     list of touched partitions is bounded by how many the table has. An untouched partition is neither read nor written.
     """
+    delta = with_keys(delta, partition_by)
     touched = delta.select(*partition_by).distinct().collect()
     if not touched:
         return
-    whole = spark.read.parquet(path)
-    match = F.lit(False)
-    for row in touched:
-        one = F.lit(True)
-        for c in partition_by:
-            one = one & F.col(c).eqNullSafe(F.lit(row[c]))
-        match = match | one
-    merged = upsert(whole.filter(match), delta, keys, policy, order_by)
+    whole = spark.read.schema(delta.schema).parquet(path)  # else a partition's type would be guessed from its name
+    for c in partition_by:  # prunes the scan
+        whole = whole.filter(F.col(c).isin([row[c] for row in touched]))
+    if len(partition_by) > 1:
+        whole = whole.join(delta.select(*partition_by).distinct(), partition_by, "left_semi")
+    merged = upsert(whole, delta, keys, policy, order_by, tiebreak)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def execute_jdbc(spark: SparkSession, url: str, statements: list[str], user: str | None = None, password: str | None = None) -> None:
+    """Run statements in one transaction, over one connection of the driver."""
+    manager = spark._jvm.java.sql.DriverManager
+    connection = manager.getConnection(url) if user is None else manager.getConnection(url, user, password)
+    try:
+        connection.setAutoCommit(False)
+        for text in statements:
+            statement = connection.createStatement()
+            statement.execute(text)
+            statement.close()
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def merge_statement(url: str, table: str, staging: str, columns: list[str], keys: list[str], policy: str) -> str:
+    """SQL that merges a staging table into a table: standard MERGE, or MySQL's own form, which needs a unique index on the keys."""
+    rest, listed = [c for c in columns if c not in keys], ", ".join(columns)
+    if url.startswith(("jdbc:mysql:", "jdbc:mariadb:")):
+        change = ", ".join(f"{c} = VALUES({c})" for c in (rest if policy == OVERWRITE and rest else keys[:1]))
+        return f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {staging} ON DUPLICATE KEY UPDATE {change}"
+    update = f" WHEN MATCHED THEN UPDATE SET {', '.join(f'{c} = s.{c}' for c in rest)}" if policy == OVERWRITE and rest else ""
+    return f"MERGE INTO {table} t USING {staging} s ON {' AND '.join(f't.{k} = s.{k}' for k in keys)}{update} WHEN NOT MATCHED THEN INSERT ({listed}) VALUES ({', '.join(f's.{c}' for c in columns)})"
+
+
+def upsert_jdbc(spark: SparkSession, delta: DataFrame, url: str, table: str, keys: list[str], policy: str | None = OVERWRITE, order_by: str | None = None, tiebreak: list[str] | None = None, batch_rows: int = 10_000, **options: str) -> None:
+    """Upsert into a JDBC table: all tasks load a staging table, then the database merges it by one statement, in one transaction.
+
+    Policies and repeated keys are as in `upsert`; under `error` the check for keys that exist is a query before anything is loaded. A failed load leaves the
+    table as it was; the staging table is dropped in any case. Column names are those of the table.
+    """
+    policy, staging = policy_of(policy), f"{table}_staging"
+    delta = with_keys(latest_per_key(delta, keys, order_by, tiebreak) if order_by else one_per_key(delta, keys), keys).select(delta.columns)
+    login = {k: options[k] for k in ("user", "password") if k in options}
+    if policy == ERROR:
+        there = spark.read.format("jdbc").options(url=url, dbtable=table, **login).load()
+        n = collisions(there, delta, keys).count()
+        if n:
+            raise ValueError(f"{n} keys exist already")
+    try:
+        delta.write.format("jdbc").options(url=url, dbtable=staging, batchsize=str(batch_rows), **options).mode("overwrite").save()
+        execute_jdbc(spark, url, [merge_statement(url, table, staging, delta.columns, keys, policy)], **login)
+    finally:
+        execute_jdbc(spark, url, [f"DROP TABLE {staging}"], **login)
+
+
+def merge_into(delta: DataFrame, table: str, keys: list[str], policy: str | None = OVERWRITE, order_by: str | None = None, tiebreak: list[str] | None = None) -> None:
+    """Upsert into a catalog table whose source takes row-level merges, which rewrites only the files that hold the delta's keys.
+
+    Policies and repeated keys are as in `upsert`; `error` asks the table for the keys first.
+    """
+    policy, spark = policy_of(policy), delta.sparkSession
+    delta = with_keys(latest_per_key(delta, keys, order_by, tiebreak) if order_by else one_per_key(delta, keys), keys)
+    if policy == ERROR and (n := collisions(spark.table(table), delta, keys).count()):
+        raise ValueError(f"{n} keys exist already")
+    on = F.lit(True)
+    for k in keys:
+        on = on & (F.col(f"{table}.{k}") == F.col(f"_delta.{k}"))
+    merge = delta.alias("_delta").mergeInto(table, on)
+    merge = merge.whenMatched().updateAll() if policy == OVERWRITE else merge
+    merge.whenNotMatched().insertAll().merge()

@@ -40,7 +40,7 @@ def must_differ(a: str, b: str) -> Column:
 
 def identifier(column: str) -> Column:
     """Broken unless 1 to 64 of letters, digits, underscore and dollar, not beginning with a digit."""
-    return ~F.coalesce(F.col(column).rlike(r"^[A-Za-z_$][A-Za-z0-9_$]{0,63}$"), F.lit(False))
+    return ~F.coalesce(F.col(column).rlike(r"\A[A-Za-z_$][A-Za-z0-9_$]{0,63}\z"), F.lit(False))
 
 
 def in_range(column: str, low: int, high: int) -> Column:

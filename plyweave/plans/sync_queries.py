@@ -21,8 +21,12 @@ LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-plyweave-")
+    """A new folder that driver and executors share: in spark.checkpoint.dir, which only a session in one process may leave unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-plyweave-")
     return f"{base.rstrip('/')}/plyweave-{uuid.uuid4().hex}"
 
 
@@ -77,6 +81,85 @@ def sync_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.sync_lag({"orders": (table(spark, sf_dir, "orders"), "o_orderkey"), "events": (table(spark, sf_dir, "events"), "event_id"), "part": (table(spark, sf_dir, "part"), "p_partkey")}, marks)
 
 
+def sync_lag_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = spark.sql("SELECT 'orders' AS mapping_id, TIMESTAMP_NTZ '1999-01-01' AS hi_ts UNION ALL SELECT 'events', TIMESTAMP_NTZ '2030-01-01' UNION ALL SELECT 'lines', NULL")
+    found = {"orders": (source_orders(spark, sf_dir), "updated_at"), "events": (table(spark, sf_dir, "events"), "ts"), "lines": (table(spark, sf_dir, "lineitem"), "l_shipdate")}
+    return changes.sync_lag(found, marks, "ts")
+
+
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+
+
+def _upper(orders: DataFrame) -> DataFrame:
+    """The columns as the database names them."""
+    return orders.select(*[F.col(c).alias(c.upper()) for c in ORDER_COLUMNS])
+
+
+def _lower(orders: DataFrame) -> DataFrame:
+    return orders.toDF(*[c.lower() for c in orders.columns])
+
+
+def _database(spark: SparkSession, orders: DataFrame) -> str:
+    """The url of a new database in memory that has the given orders."""
+    url = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
+    merge.append_jdbc(_upper(orders), url, "orders")
+    return url
+
+
+def jdbc_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = _database(spark, table(spark, sf_dir, "orders"))
+    return _lower(tables.read_jdbc(spark, url, "orders", "O_ORDERKEY", "o_totalprice > 100000", partitions=4))
+
+
+def jdbc_replace_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drifted target whose content is replaced by the source's."""
+    url = _database(spark, target_orders(spark, sf_dir))
+    merge.replace_content(spark, _upper(source_orders(spark, sf_dir)), url, "orders")
+    return _lower(tables.read_jdbc(spark, url, "orders", "O_ORDERKEY", partitions=4))
+
+
+def jdbc_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = _database(spark, target_orders(spark, sf_dir))
+    merge.upsert_jdbc(spark, _upper(delta_orders(spark, sf_dir)), url, "orders", ["O_ORDERKEY"])
+    return _lower(tables.read_jdbc(spark, url, "orders", "O_ORDERKEY", partitions=4))
+
+
+def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{work_dir(spark)}/orders"
+    for rows in (target_orders(spark, sf_dir), delta_orders(spark, sf_dir)):
+        merge.append(rows, path)
+    return spark.read.parquet(path)
+
+
+def partition_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target by buckets of its key, a delta that touches few of them."""
+    path, bucket = f"{work_dir(spark)}/orders", F.pmod(F.col("o_orderkey"), F.lit(16)).alias("part")
+    target_orders(spark, sf_dir).select("*", bucket).write.partitionBy("part").parquet(path)
+    delta = delta_orders(spark, sf_dir).select("*", bucket).filter("part IN (3, 5)")
+    merge.upsert_partitions(spark, path, delta, KEYS, ["part"])
+    return spark.read.schema(delta.schema).parquet(path)
+
+
+def bucketed_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As incremental_sync, into a table of 16 buckets, of versions of lines: the latest of each order and part by ship date."""
+    root, lines = work_dir(spark), table(spark, sf_dir, "lineitem").withColumnRenamed("l_shipdate", "updated_at")
+    target, marks = VersionedTable(spark, f"{root}/lines", ["l_orderkey"], 16), changes.Checkpoints(spark, f"{root}/checkpoints")
+    for rows in (lines.filter(F.col("updated_at") <= F.lit("1999-01-01").cast("timestamp_ntz")), lines):
+        changes.incremental_sync(rows, target, ["l_orderkey"], marks, "lines", tiebreak=["l_linenumber", "l_partkey", "l_suppkey"])
+    target.vacuum(1)
+    return target.current()
+
+
+def copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy that succeeds and one that fails, by their counts."""
+    path, rows = work_dir(spark), []
+    writes = {"copied": lambda df: df.write.parquet(f"{path}/copy"), "broken": lambda df: df.withColumn("x", F.raise_error(F.lit("boom"))).write.parquet(f"{path}/broken")}
+    for name, write in writes.items():
+        seen = run.copy_metrics(table(spark, sf_dir, "orders"), write, "o_totalprice > 100000", 1000)
+        rows.append((name, *[seen[c] for c in ("total_rows", "filtered_rows", "processed_rows", "failed_rows", "batches")], seen["error"] is not None))
+    return spark.createDataFrame(rows, "copy string, total_rows long, filtered_rows long, processed_rows long, failed_rows long, batches long, has_error boolean")
+
+
 def upsert_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.upsert(target_orders(spark, sf_dir), delta_orders(spark, sf_dir), KEYS)
 
@@ -240,6 +323,24 @@ ENTRIES = {
     "sync_lag": (sync_lag, """
         SELECT 'orders' AS "table", max(o_orderkey) AS hi_source, 4000::BIGINT AS hi_mark, count(*) FILTER (o_orderkey > 4000) AS n_behind FROM orders
         UNION ALL SELECT 'events', max(event_id), 5000, count(*) FILTER (event_id > 5000) FROM events UNION ALL SELECT 'part', max(p_partkey), NULL, count(*) FILTER (p_partkey > 0) FROM part"""),
+    "sync_lag_by_time": (sync_lag_by_time, """
+        SELECT 'orders' AS "table", max(o_orderdate) AS hi_source, TIMESTAMP '1999-01-01' AS hi_mark, count(*) FILTER (o_orderdate > TIMESTAMP '1999-01-01') AS n_behind FROM orders
+        UNION ALL SELECT 'events', max(ts), TIMESTAMP '2030-01-01', 0 FROM events UNION ALL SELECT 'lines', max(l_shipdate), NULL, count(l_shipdate) FROM lineitem"""),
+    "jdbc_range_scan": (jdbc_range_scan, f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders WHERE o_totalprice > 100000"),
+    "jdbc_replace_content": (jdbc_replace_content, f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders"),
+    "jdbc_upsert": (jdbc_upsert, with_tables(_PAIR, f"SELECT {', '.join(ORDER_COLUMNS)} FROM delta_orders UNION ALL SELECT {', '.join(ORDER_COLUMNS)} FROM tgt_orders t WHERE NOT EXISTS (SELECT 1 FROM delta_orders d WHERE d.o_orderkey = t.o_orderkey)")),
+    "append_rows": (append_rows, with_tables(_PAIR, "SELECT * FROM tgt_orders UNION ALL SELECT * FROM delta_orders")),
+    "partition_upsert": (partition_upsert, with_tables(_PAIR, """
+        SELECT *, o_orderkey % 16 AS part FROM (
+          SELECT * FROM delta_orders WHERE o_orderkey % 16 IN (3, 5)
+          UNION ALL SELECT * FROM tgt_orders t WHERE NOT EXISTS (SELECT 1 FROM delta_orders d WHERE d.o_orderkey = t.o_orderkey AND d.o_orderkey % 16 IN (3, 5)))""")),
+    "bucketed_sync": (bucketed_sync, """
+        SELECT * RENAME (l_shipdate AS updated_at) FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1"""),
+    "copy_counts": (copy_counts, """
+        SELECT 'copied' AS copy, count(*) AS total_rows, count(*) FILTER (o_totalprice <= 100000) AS filtered_rows, count(*) FILTER (o_totalprice > 100000) AS processed_rows, 0::BIGINT AS failed_rows,
+               (count(*) FILTER (o_totalprice > 100000) + 999) // 1000 AS batches, false AS has_error FROM orders
+        UNION ALL SELECT 'broken', count(*), count(*) FILTER (o_totalprice <= 100000), 0, count(*) FILTER (o_totalprice > 100000), (count(*) FILTER (o_totalprice > 100000) + 999) // 1000, true FROM orders"""),
     "upsert_overwrite": (upsert_overwrite, with_tables(_PAIR, "SELECT * FROM delta_orders UNION ALL SELECT * FROM tgt_orders t WHERE NOT EXISTS (SELECT 1 FROM delta_orders d WHERE d.o_orderkey = t.o_orderkey)")),
     "upsert_skip": (upsert_skip, with_tables(_PAIR, "SELECT * FROM tgt_orders UNION ALL SELECT * FROM delta_orders d WHERE NOT EXISTS (SELECT 1 FROM tgt_orders t WHERE d.o_orderkey = t.o_orderkey)")),
     "upsert_collisions": (upsert_collisions, with_tables(_PAIR, "SELECT o_orderkey FROM delta_orders WHERE o_orderkey IN (SELECT o_orderkey FROM tgt_orders)")),

@@ -14,28 +14,30 @@ from plyweave.sources.versioned import VersionedTable
 def merge_batch(target: DataFrame | None, batch: DataFrame, keys: list[str], order_by: str, tiebreak: list[str] | None = None, policy: str | None = None, only_newer: bool = False) -> DataFrame:
     """The target after a batch: the latest row of each of its keys is merged. No target: those rows are it.
 
-    only_newer keeps a target row whose tracking value is later, so files that come late can't set it back.
+    only_newer keeps a target row whose tracking value (then tiebreak) is later, so files that come late can't set it back.
     """
     batch = latest_per_key(batch, keys, order_by, tiebreak)
     if target is None:
         return batch
     if only_newer:
-        later = target.select(*keys, F.col(order_by).alias("_theirs"))
-        batch = batch.join(later, keys, "left").filter(F.col("_theirs").isNull() | (F.col(order_by) >= F.col("_theirs"))).select(target.columns)
+        order = F.struct(*[F.col(c) for c in [order_by, *(tiebreak or [])]])
+        later = target.select(*keys, order.alias("_theirs"))
+        batch = batch.join(later, keys, "left").filter(F.col("_theirs").isNull() | (order >= F.col("_theirs"))).select(target.columns)
     return upsert(target, batch, keys, policy)
 
 
 def continuous_sync(spark: SparkSession, source: str, schema: T.StructType, target: VersionedTable, checkpoint: str, keys: list[str], order_by: str, tiebreak: list[str] | None = None, policy: str | None = None, only_newer: bool = True, files_per_batch: int = 1000, once: bool = True) -> StreamingQuery:
     """Follow the Parquet files of `source` and merge them into `target`.
 
-    Delivery is at least once; the merge is by key, so a repeated batch changes nothing. once: end when all files that
+    Delivery is at least once; the merge is by key, so a repeated batch changes nothing. A target with buckets is
+    rewritten only where a batch has keys; `target.vacuum` removes old versions. once: end when all files that
     are there have been taken (the scheduled form); else keep running.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def merge(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            target.update(lambda now: merge_batch(now, batch, keys, order_by, tiebreak, policy, only_newer))
+            target.merge(batch, lambda now, rows: merge_batch(now, rows, keys, order_by, tiebreak, policy, only_newer))
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from plyweave.operators import changes
 from plyweave.plans import run
-from plyweave.sources.versioned import VersionedTable
-from plyweave.streaming.continuous import continuous_sync
+from plyweave.sources.versioned import Conflict, VersionedTable
+from plyweave.streaming.continuous import continuous_sync, merge_batch
 
 SCHEMA = "id long, v string, updated_at timestamp_ntz"
 DAY = [dt.datetime(2024, 1, d) for d in range(1, 9)]
@@ -64,6 +64,56 @@ def test_rounds(spark, tmp_path):
     assert marks.all().count() == 1
 
 
+def test_ties_and_versions_are_deterministic(spark, tmp_path):
+    rows = [(1, "a", DAY[0]), (1, "b", DAY[0]), (2, "x", DAY[0]), (2, "y", None)]
+    for n in range(3):
+        target, marks = VersionedTable(spark, f"{tmp_path}/t{n}"), changes.Checkpoints(spark, f"{tmp_path}/c{n}")
+        changes.incremental_sync(spark.createDataFrame(rows[n:] + rows[:n], SCHEMA), target, ["id"], marks, "m")
+        later = [(1, "p", DAY[2]), (1, "q", DAY[2])]
+        changes.incremental_sync(spark.createDataFrame(later[::-1] if n else later, SCHEMA), target, ["id"], marks, "m")
+        assert sorted((r["id"], r["v"]) for r in target.current().collect()) == [(1, "q"), (2, "x")]
+
+
+def test_buckets_without_changes_keep_their_files(spark, tmp_path):
+    target, marks = VersionedTable(spark, f"{tmp_path}/t", ["id"], 8), changes.Checkpoints(spark, f"{tmp_path}/c")
+    first = [(i, "old", DAY[0]) for i in range(200)]
+    changes.incremental_sync(spark.createDataFrame(first, SCHEMA), target, ["id"], marks, "m")
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    delta = [(7, "new", DAY[1]), (1000, "new", DAY[1])]
+    assert changes.incremental_sync(spark.createDataFrame(delta, SCHEMA), target, ["id"], marks, "m").n_rows == 2
+    rows = {r["id"]: r["v"] for r in target.current().collect()}
+    assert rows == {i: "old" for i in range(200)} | {7: "new", 1000: "new"}
+    last = target.commits().filter("version = 1").collect()
+    assert len(last) == 8 and sum(r["path"].split("/")[1] in str(f) for r in last for f in before if f"/{r['path']}/" in str(f)) >= 6
+    assert all(f.stat().st_mtime_ns == t for f, t in before.items())
+    assert target.vacuum(1) == 1
+    assert {r["id"]: r["v"] for r in target.current().collect()} == rows
+    left = {f for f in before if f.exists()}
+    assert 0 < len(left) <= len(before)
+    target.publish(spark.createDataFrame(first[:3], SCHEMA))
+    target.vacuum(1)
+    assert target.current().count() == 3 and not any(f.exists() for f in before)
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    target = VersionedTable(spark, f"{tmp_path}/t")
+    target.publish(spark.range(3))
+
+    def meanwhile(now):
+        VersionedTable(spark, f"{tmp_path}/t").publish(spark.range(5))
+        return now.union(spark.range(3, 4))
+
+    with pytest.raises(Conflict):
+        target.merge(spark.range(3, 4), lambda now, _: meanwhile(now))
+    assert target.current().count() == 5
+
+
+def test_stream_keeps_rows_with_a_later_tiebreak(spark):
+    schema = "k int, ts int, id int"
+    target, late = spark.createDataFrame([(1, 5, 9)], schema), spark.createDataFrame([(1, 5, 3)], schema)
+    assert merge_batch(target, late, ["k"], "ts", ["id"], only_newer=True).first()[:] == (1, 5, 9)
+
+
 def test_failed_write_keeps_the_old_version(spark, tmp_path):
     target = VersionedTable(spark, f"{tmp_path}/t")
     assert target.current() is None
@@ -93,6 +143,7 @@ def test_plan_resumes_and_stops(spark, tmp_path):
 def test_copy_metrics(spark, tmp_path):
     seen = run.copy_metrics(spark.range(10), lambda df: df.write.parquet(f"{tmp_path}/x"), "id < 7")
     assert (seen["total_rows"], seen["processed_rows"], seen["filtered_rows"]) == (10, 7, 3)
+    assert (seen["failed_rows"], seen["batches"], seen["error"]) == (0, 1, None)
 
 
 def test_stream_keeps_later_rows(spark, tmp_path):

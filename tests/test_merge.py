@@ -73,6 +73,48 @@ def test_latest_version_wins(spark):
     assert as_set(merge.upsert(spark.createDataFrame([(1, "t", 0)], SCHEMA), delta, ["k"], order_by="n")) == [(1, "new", 5), (2, "x", None)]
 
 
+def test_repeated_key_without_order_is_refused(spark):
+    target, delta = spark.createDataFrame([(2, "t", 0)], SCHEMA), spark.createDataFrame([(1, "a", 1), (1, "b", 2)], SCHEMA)
+    for policy in ("overwrite", "skip"):
+        with pytest.raises(Exception, match="order_by must tell the latest"):
+            merge.upsert(target, delta, ["k"], policy).collect()
+        assert as_set(merge.upsert(target, delta, ["k"], policy, order_by="n")) == [(1, "b", 2), (2, "t", 0)]
+
+
+def test_partitions_by_a_bigint(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(40).select("id", F.lit("old").alias("v"), (F.col("id") % 4).alias("p"), F.lit(1).alias("q")).write.partitionBy("p", "q").parquet(path)
+    delta = spark.createDataFrame([(5, "new", 1, 1), (401, "new", 1, 1), (8, "new", 0, 1)], "id long, v string, p long, q int")
+    merge.upsert_partitions(spark, path, delta, ["id"], ["p", "q"])
+    got = spark.read.schema(delta.schema).parquet(path)
+    assert (got.count(), got.filter("v = 'new'").count()) == (41, 3)
+    with pytest.raises(Exception, match="key column p is null"):
+        merge.upsert_partitions(spark, path, spark.createDataFrame([(5, "new", None, 1)], delta.schema), ["id"], ["p", "q"])
+
+
+def test_database_upsert(spark):
+    url = "jdbc:derby:memory:upserts;create=true"
+    read = lambda: sorted(tuple(r) for r in spark.read.format("jdbc").options(url=url, dbtable="T").load().collect())
+    schema = "K int, N int"
+    merge.append_jdbc(spark.createDataFrame([(1, 1), (2, 2)], schema), url, "T")
+    merge.upsert_jdbc(spark, spark.createDataFrame([(2, 20), (3, 30)], schema), url, "T", ["K"])
+    assert read() == [(1, 1), (2, 20), (3, 30)]
+    merge.upsert_jdbc(spark, spark.createDataFrame([(2, 99), (4, 4), (4, 5)], schema), url, "T", ["K"], "skip", order_by="N")
+    assert read() == [(1, 1), (2, 20), (3, 30), (4, 5)]
+    with pytest.raises(ValueError, match="1 keys exist already"):
+        merge.upsert_jdbc(spark, spark.createDataFrame([(1, 7)], schema), url, "T", ["K"], "error")
+    with pytest.raises(Exception):  # noqa: B017  the second statement fails, so the first is undone
+        merge.execute_jdbc(spark, url, ["DELETE FROM T", "DELETE FROM NOWHERE"])
+    assert len(read()) == 4
+    assert merge.merge_statement("jdbc:mysql://h/d", "t", "s", ["k", "a"], ["k"], "skip") == "INSERT INTO t (k, a) SELECT k, a FROM s ON DUPLICATE KEY UPDATE k = VALUES(k)"
+
+
+def test_row_level_merge_is_asked_of_the_source(spark):
+    spark.range(3).selectExpr("id AS k", "'a' AS v").write.mode("overwrite").saveAsTable("plain_table")
+    with pytest.raises(Exception, match="(?i)merge"):
+        merge.merge_into(spark.createDataFrame([(1, "b")], "k long, v string"), "plain_table", ["k"])
+
+
 def test_only_touched_partitions_are_rewritten(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(100).select(F.col("id").cast("int").alias("k"), F.lit("old").alias("v"), (F.col("id") % 4).cast("int").alias("p")).write.partitionBy("p").parquet(path)

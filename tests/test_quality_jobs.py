@@ -52,9 +52,9 @@ def test_key_checks(spark):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([(1, "ok_1", 80), (2, "1bad", 0), (3, None, None), (4, "x" * 65, 65536)], "id int, name string, port int")
+    df = spark.createDataFrame([(1, "ok_1", 80), (2, "1bad", 0), (3, None, None), (4, "x" * 65, 65536), (5, "abc\n", 1)], "id int, name string, port int")
     got = quality.rule_violations(df, ["id"], {"name": quality.identifier("name"), "port": quality.in_range("port", 1, 65535), "blank": quality.required("name")})
-    assert sorted(map(tuple, got.collect())) == [(2, "name"), (2, "port"), (3, "blank"), (3, "name"), (3, "port"), (4, "name"), (4, "port")]
+    assert sorted(map(tuple, got.collect())) == [(2, "name"), (2, "port"), (3, "blank"), (3, "name"), (3, "port"), (4, "name"), (4, "port"), (5, "name")]
 
 
 def job(i, status, minutes, end=None, rows=0, tables_=0):
