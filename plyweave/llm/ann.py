@@ -151,8 +151,9 @@ def search(table: DataFrame, is_query: Column, k: int = 20, bits: int = 256, cov
     once, and a query never finds its own vec_id. Scores are in double precision on the original vectors; ties go to
     the smaller vec_id. Fewer than k other rows: all. No query or an empty table: no rows. Extra columns are ignored.
 
-    The coder is fitted on at most `fit_rows` vectors, the radius on at most `sample_queries` queries, both the first
-    by a hash of vec_id; every row is indexed. Queries go out in blocks of a fixed size.
+    The coder is fitted on at most `fit_rows` vectors, the radius on at most `sample_queries` rows that are no queries
+    (on queries where all are), both the first by a hash of vec_id; every row is indexed. Queries go out in blocks of a
+    fixed size. Very long vectors are read whole.
     """
     spark = table.sparkSession
     data = materialize(valid_vectors(table).distinct(), "vectors")
@@ -190,7 +191,9 @@ def search(table: DataFrame, is_query: Column, k: int = 20, bits: int = 256, cov
         got = df.toArrow().combine_chunks()
         return got.column("vec_id").to_numpy(), np.concatenate([_matrix(b) for b in got.to_batches()])
 
-    trial = _top(run(blocks_of(queries.orderBy(order, "vec_id").limit(sample_queries)), None), k)
+    others = data.filter(~F.coalesce(is_query, F.lit(False)))
+    fitted = queries if others.isEmpty() else others
+    trial = _top(run(blocks_of(fitted.orderBy(order, "vec_id").limit(sample_queries)), None), k)
     far = [r["far"] for r in trial.select("far").collect()]  # at most sample_queries * k numbers
     radius = int(np.quantile(far, covered, method="higher")) if far else 0
     n_blocks = -(-queries.count() // QUERIES)

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths that `materialize` has written, for `scratch`.
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a fresh one if all run in one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,10 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again, so that its lineage ends there and no later job repeats it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """At its end, what `materialize` wrote within is removed, but for what the function it gives has written."""
+    begin, kept = len(_MADE), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        kept.append(_MADE[-1])
+        return out
+
+    yield keep
+    for path in set(_MADE[begin:]) - set(kept):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _MADE[begin:]
+
+
 def crc_mod(id_col: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo `modulus`; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -6,10 +6,11 @@ which equal passages have at the same place. Neighbouring passages mostly share
 suffix with the bytes around it that these passages cover, stands for all of them.
 
 1. Each task sorts its own anchored suffixes and keeps the earliest of equal ones; a passage in a later one is a repeat.
-2. Splitters sampled from the leading bytes of anchored suffixes range-partition what is left. A splitter is compared
-   with the k leading bytes only, so suffixes that agree in those never fall on two sides of a boundary: what a bucket
-   has at its ends need not be compared with its neighbours, and no match is lost there.
-3. Each bucket is sorted by multikey quicksort on 8-byte digits (only ties go on to the next digit). Among suffixes
+2. Splitters range-partition what is left: a sample of suffixes, as large as there are buckets to part, is sorted in Spark
+   by all k leading bytes, and every so many give one. A splitter is compared with the k leading bytes only, so suffixes
+   that agree in those never fall on two sides of a boundary: what would be compared across it always differs, and no
+   match is lost there.
+3. Each bucket is sorted by multikey quicksort on 8-byte digits (three-way partitions; only ties go on to the next digit). Among suffixes
    that agree in their k leading bytes, equal ones again leave the earliest; the passages of those that are left are
    sorted the same way, by their place around the anchor and then their bytes. All but the earliest are repeats.
 4. A bucket above a bound is not sorted but dealt anew, by hashes of more and more bytes around the anchor: a suffix is
@@ -40,6 +41,10 @@ _AT_ONCE = 1 << 20
 _BUCKET = 64 << 20
 #: Most passages of a piece, round by round of dealing anew; before them whole suffixes are dealt by their k bytes.
 _WIDTHS = (16, 4, 1)
+#: Sampled suffixes for each splitter, fewest documents of the sample, and most buckets of the first deal: beyond, buckets grow, and are dealt anew.
+_SAMPLED, _LEAST_DOCS, _BUCKETS = 64, 2000, 1 << 16
+#: Segments of at most this size are sorted whole.
+_SMALL = 64
 
 
 def digits_of(buffer: bytes) -> np.ndarray:
@@ -53,18 +58,53 @@ def masked(digits: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
     return np.where(left > 0, (digits[at].astype(np.uint64) >> shift) << shift, np.uint64(0))
 
 
+def partitioned(key: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The order that sorts by run, then key, equals as they come: quicksort with three-way partitions, all segments of all runs at a time.
+
+    Runs lie together. A pass splits each segment by the median of three of its keys; what equals that is in place.
+    """
+    by, done = np.arange(len(key)), []
+    starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    sizes = np.diff(np.append(starts, len(key)))
+    while len(starts):
+        large = sizes > _SMALL
+        done.append((starts[~large], sizes[~large]))
+        starts, sizes = starts[large], sizes[large]
+        if not len(starts):
+            break
+        begins = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(starts)), sizes)
+        place = np.arange(len(of)) - begins[of] + starts[of]
+        mine = key[by[place]]
+        pivot = np.sort(key[by[np.stack([starts, starts + sizes // 2, starts + sizes - 1])]], axis=0)[1][of]
+        less, more = (mine < pivot).astype(np.int64), (mine > pivot).astype(np.int64)
+        n_less, n_more = np.add.reduceat(less, begins), np.add.reduceat(more, begins)
+        n_same, to = sizes - n_less - n_more, starts[of]
+        for part, before in ((less, 0 * sizes), (1 - less - more, n_less), (more, n_less + n_same)):
+            count = np.cumsum(part)
+            to = to + part * (before[of] + count - 1 - (count[begins] - part[begins])[of])
+        by[to] = by[place]
+        starts, sizes = np.concatenate([starts, starts + n_less + n_same]), np.concatenate([n_less, n_more])
+    starts, sizes = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 2
+    of = np.repeat(np.arange(len(starts)), sizes)
+    place = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of] + starts[of]
+    by[place] = by[place][np.lexsort((key[by[place]], of))]
+    return by
+
+
 def multikey_sort(n: int, levels: int, digit: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(order, first): the n strings sorted, and for each place in that order the place where its run of equals begins.
 
-    digit(level, which) gives a level's digits of some strings. Strings that differ so far are settled; each level sorts
-    only those that are still tied, within their ties. Equal strings keep the order of their numbers.
+    Multikey quicksort: digit(level, which) gives a level's digits of some strings. Strings that differ so far are
+    settled; each level partitions only those that are still tied, within their ties. Equal strings keep the order of
+    their numbers.
     """
     order, first, tied = np.arange(n), np.zeros(n, np.int64), np.arange(n)
     for level in range(levels):
         if not len(tied):
             break
         key, run = digit(level, order[tied]), first[tied]
-        by = np.argsort(key, kind="stable") if not level else np.lexsort((key, run))
+        by = partitioned(key, run)
         order[tied], key = order[tied][by], key[by]
         new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (run[1:] != run[:-1]))))
         sizes = np.diff(np.append(new, len(tied)))
@@ -128,19 +168,8 @@ def united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[new], start[new], reach[np.append(new[1:], len(doc)) - 1] - shift[new]
 
 
-def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, sample: int = 2000, bucket_bytes: int = 6 << 20, most: int = _BUCKET) -> DataFrame:
-    """Stretches (id, tag, start, end, of the UTF-8 text) whose bytes lie in a passage that also starts earlier.
-
-    id and tag name a document as `_named` does. Splitters come from about `sample` documents; the result doesn't
-    depend on them. A bucket gets the suffixes of about `bucket_bytes` of text; one with more than `most` bytes of
-    suffixes is dealt anew.
-    """
-    import zstandard
-
-    sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    if not sizes["n"]:
-        return docs.sparkSession.createDataFrame([], "id long, tag long, start long, end long")
-    buckets = max(1, -(-sizes["bytes"] // bucket_bytes))
+def splitters_of(docs: DataFrame, n_docs: int, n_bytes: int, buckets: int, span: int, k: int) -> np.ndarray:
+    """The k leading bytes at which buckets begin, sorted: from about `_SAMPLED` anchored suffixes for each, of documents picked by a hash."""
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
@@ -149,12 +178,36 @@ def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, sample: int
             _, _, anchor = anchored(np.frombuffer(whole, np.uint8), np.cumsum([len(t) for t in texts]), span, k)
             yield batch_of(lead=pa.array([whole[a : a + k] for a in anchor.tolist()], pa.binary()))
 
-    share = min(1.0, sample / sizes["n"])
+    share = min(1.0, max(_LEAST_DOCS / n_docs, _SAMPLED * buckets * (span - k + 1) / 2 / max(n_bytes, 1)))
     some = docs.filter(F.pmod(F.xxhash64("id", "tag"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-    leads, shares = some.mapInArrow(leading, "lead binary"), [i / buckets for i in range(1, buckets)]
-    number = F.conv(F.hex(F.substring("lead", 1, 7)), 16, 10).cast("long")  # of the seven leading bytes
-    cuts = leads.agg(F.percentile_approx(number, shares, 10_000).alias("cuts")).first()["cuts"] if shares else []
-    splitters = np.array(sorted(set(cuts or [])), np.uint64)
+    leads = materialize(some.mapInArrow(leading, "lead binary"), "leads")
+    step = max(1, leads.count() // buckets)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = step // 2
+        for batch in batches:
+            yield batch.take(pa.array(np.arange((step - passed % step) % step, batch.num_rows, step)))
+            passed += batch.num_rows
+
+    # Ranges of the sample are sorted each by a task; about as many rows as there are buckets come to the driver.
+    ranged = leads.repartitionByRange(max(1, buckets // 64), "lead").sortWithinPartitions("lead")
+    found = ranged.mapInArrow(every, "lead binary").toArrow().column("lead").to_pylist()
+    return np.unique(np.array(found, f"S{k}"))
+
+
+def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, bucket_bytes: int = 6 << 20, most: int = _BUCKET) -> DataFrame:
+    """Stretches (id, tag, start, end, of the UTF-8 text) whose bytes lie in a passage that also starts earlier.
+
+    id and tag name a document as `_named` does. A bucket gets the suffixes of about `bucket_bytes` of text; one with
+    more than `most` bytes of suffixes is dealt anew. The result doesn't depend on how buckets are cut.
+    """
+    import zstandard
+
+    sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not sizes["n"]:
+        return docs.sparkSession.createDataFrame([], "id long, tag long, start long, end long")
+    buckets = min(_BUCKETS, max(1, -(-sizes["bytes"] // bucket_bytes)))
+    splitters = splitters_of(docs, sizes["n"], sizes["bytes"], buckets, span, k) if buckets > 1 else np.zeros(0, f"S{k}")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=6)
@@ -177,7 +230,8 @@ def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, sample: int
             this = this[(id_of[doc[this]] != id_of[doc[earliest]]) | (tag_of[doc[this]] != tag_of[doc[earliest]]) | (start[this] != start[earliest])]
             d, s, e = united(doc[this], start[this], start[this] + size[this])
             yield sent(d=id_of[d], t=tag_of[d], s=s, e=e)
-            bucket = np.searchsorted(splitters, digits[anchor[kept]].astype(np.uint64) >> np.uint64(8), side="right")
+            leads = np.ndarray(len(whole) - k + 1, f"S{k}", whole, strides=(1,))
+            bucket = np.searchsorted(splitters, leads[anchor[kept]], side="right")
             by = np.lexsort((kept, bucket))  # in order of position within a bucket: neighbours overlap, which packs best
             head = np.stack([id_of[doc], tag_of[doc], start, size, anchor - begin])
             yield sent(**packed(head, begin, whole, kept[by], bucket[by], squeeze))
@@ -398,16 +452,17 @@ def _named(docs: DataFrame) -> DataFrame:
     return plain.withColumn("tag", F.xxhash64("text") if repeated > 1 else F.lit(0).cast("long"))
 
 
-def remove_repeats(docs: DataFrame, span: int = 100, k: int = 24, sample: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 100, k: int = 24) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, spans (array of start, end: maximal removed runs), kept (binary).
 
     A byte goes if a string of `span` bytes that covers it also starts earlier: in a smaller doc_id, or in the same text
     at a smaller start, overlaps included; strings are judged on the input. Null texts are empty. Null doc_ids come after
     all others. Rows that share doc_id and text are one document and give equal rows; rows that share the doc_id only are
-    documents in the order of a hash of their texts. An empty table gives no rows. Other columns are not looked at.
+    documents in the order of a hash of their texts. Very long texts are read whole, in blocks. An empty table gives no
+    rows. Other columns are not looked at, whatever their names.
     """
     named = _named(docs)
-    found = repeated_passages(named, span, k, sample)
+    found = repeated_passages(named, span, k)
     per_doc = found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from frames import empty, odd
 
-from plyweave.llm.suffix_dedup import anchored, digest, multikey_sort, remove_repeats
+from plyweave.llm.suffix_dedup import anchored, digest, multikey_sort, partitioned, remove_repeats
 
 
 def brute(rows, span=100):
@@ -36,6 +36,33 @@ def test_multikey_sort_is_stable_and_complete():
         assert tuple(keys[order[first[place]]]) == tuple(keys[i]) and first[place] <= place
 
 
+def test_three_way_partitions_sort():
+    rng = np.random.default_rng(3)
+    for n, values in ((0, 5), (1, 5), (63, 2), (5000, 3), (5000, 10**9), (3000, 1)):
+        run, key = np.sort(rng.integers(0, 4, n)), rng.integers(0, values, n).astype(np.uint64)
+        assert partitioned(key, run).tolist() == np.lexsort((key, run)).tolist()
+
+
+def test_one_lead_on_half_the_suffixes(spark, monkeypatch):
+    """Suffixes that begin alike in seven bytes and more are parted by what follows: no bucket is far above the others."""
+    from plyweave.llm import suffix_dedup
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=12))
+    rows = [(i, " ".join(("the same words " if rng.random() < 0.5 else "") + word() for _ in range(60))) for i in range(150)]
+    docs = suffix_dedup._named(spark.createDataFrame([*rows, (150, rows[3][1]), (151, rows[9][1][100:])], "doc_id long, text string"))
+    monkeypatch.setattr(suffix_dedup, "_LEAST_DOCS", 150)
+    n_bytes = sum(len(t) for _, t in rows)
+    cuts = suffix_dedup.splitters_of(docs, 152, n_bytes, 16, 100, 24)
+    assert len(cuts) >= 8
+    leads = [t[a : a + 24].encode() for _, t in rows for a in anchored(np.frombuffer(t.encode(), np.uint8), np.array([len(t)]), 100, 24)[2].tolist()]
+    sizes = np.bincount(np.searchsorted(cuts, np.array(leads, "S24"), side="right"))
+    assert sizes.max() < 4 * len(leads) / 16
+    assert rows_of(remove_repeats(docs.select("doc_id", "text"))) == brute(docs.select("doc_id", "text").collect())
+    few, many = (sorted(map(tuple, suffix_dedup.repeated_passages(docs, bucket_bytes=b).groupBy("id").agg({"end": "max"}).collect())) for b in (1 << 40, 8_000))
+    assert few == many and len(few) >= 2
+
+
 def test_blocks_give_the_same_anchors():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 100, 5000).astype(np.uint8)
