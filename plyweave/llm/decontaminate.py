@@ -100,7 +100,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     contaminated: n_hit > 0 and share * n_hit >= n_words. `text` is null where nothing is hit (the caller has it).
     Null or empty text has no words and isn't contaminated. Items with null text or no words match nothing; rows of
     `benchmark` that share an item_id are one item with the windows of all. Null item_ids are left out. Rows that share
-    a doc_id, or whose doc_id is null, are judged each by its own text. Other columns are not looked at.
+    a doc_id, or whose doc_id is null, are judged each by its own text; a share of exactly one in `share` is contaminated.
+    Very long texts are read whole. No documents: no rows; no benchmark: nothing is hit. Other columns are not looked at,
+    whatever their names.
 
     While the benchmark has at most `most_broadcast` fingerprints, each task drops a document's other fingerprints
     before the join; beyond that size all are shuffled. The rows are the same.
@@ -179,7 +181,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, unchanged, that aren't contaminated; rows with equal doc_id and text go or stay together."""
+    """The rows of `docs`, unchanged, that aren't contaminated, as `decontaminate` judges odd rows.
+
+    Rows with equal doc_id and text go or stay together. Null and empty texts stay. All columns stay, whatever their names.
+    """
     judged = decontaminate(docs, benchmark).filter("contaminated")
     bad = materialize(judged.select(F.col("doc_id").alias("bad_id"), F.xxhash64("text").alias("bad_tag")).distinct(), "contaminated")
     same = docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["bad_tag"])

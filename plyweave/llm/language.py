@@ -129,7 +129,9 @@ def identify(docs: DataFrame, codes: Codes | None, gap: float = 0.2) -> DataFram
     """doc_id, held_out, lang_pred, score, ambiguous (the best language leads by less than `gap`), for each row of `docs`.
 
     Null texts and texts without a letter, and all texts if no language could be learned, are `und` with score 0 and
-    ambiguous. Each row is judged by its own text, whatever its doc_id. lang, source and doc_id are not looked at.
+    ambiguous. Each row is judged by its own text, whatever its doc_id, so repeated rows are judged alike. Of equally near
+    languages the first by name is predicted. Very long texts are read whole. An empty table gives no rows. lang, source
+    and other columns are not looked at, whatever their names; doc_id only tells held_out, a null one as ''.
     """
     model = docs.sparkSession.sparkContext.broadcast(codes)
 

@@ -139,7 +139,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, ranks_pat
     """One row per piece of each document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     Null text is the empty text (one token, `end_id`). Rows that share a doc_id, null ones too, are packed each on its
-    own. An empty table gives no rows. Other columns of `docs` are not looked at. Pieces of equal length that tie are
+    own. Very long texts are read whole and cut. An empty table gives no rows. Other columns are not looked at. Pieces of equal length that tie are
     ranked by doc_id, then start; which of equal rows comes first doesn't matter, as they are equal.
     """
     if tokenizer_path is None or ranks_path is None:

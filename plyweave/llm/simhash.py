@@ -158,7 +158,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, bucket: int = BUCKET) -> D
     have fingerprint zero and link like any other. Texts of fewer words than a shingle are one shingle. Rows that share
     a doc_id each give a row and link by each one's text. A row whose doc_id is null gets its own fingerprint and its
     component's smallest non-null doc_id, null if there is none. Components that share a repeated doc_id may have the same
-    component_id; component, a fingerprint of each, tells them apart. An empty table gives no rows.
+    component_id; component, a fingerprint of each, tells them apart. A bit that exactly half of the shingles have is 0. Very
+    long texts are read whole. An empty table gives no rows. Other columns are not looked at, whatever their names.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
     by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))

@@ -122,6 +122,22 @@ def test_a_wrong_bit_is_corrected():
     assert lead[0] < 0.2
 
 
+def test_decoding_against_loops():
+    """The nearest codeword by the sum over its bits of trust times logistic loss; of equal ones the first language."""
+    rng = np.random.default_rng(6)
+    code = language.codewords(5)
+    codes = language.Codes(list("abcde"), code, np.zeros((1, code.shape[1])), np.zeros(code.shape[1]), rng.random(code.shape[1]))
+    margins = np.concatenate([rng.normal(0, 2, (200, code.shape[1])), np.zeros((1, code.shape[1]))])
+    best, score, lead = codes.decode(margins)
+    for row, m in enumerate(margins):
+        cost = [sum(float(codes.trust[j]) * np.log1p(np.exp(-m[j] * word[j])) for j in range(len(m))) for word in code]
+        weights = [np.exp(min(cost) - c) for c in cost]
+        first, second = sorted(weights, reverse=True)[:2]
+        assert abs(weights[best[row]] - 1) < 1e-9
+        assert abs(score[row] - first / sum(weights)) < 1e-9 and abs(lead[row] - (first - second) / sum(weights)) < 1e-9
+    assert best[-1] == 0
+
+
 def test_language_odd_rows(spark):
     got = language.identify(odd(spark), language.train(odd(spark))).collect()
     assert len(got) == len(ODD)
