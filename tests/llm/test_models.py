@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 from frames import ODD, empty, odd
 from pyspark.sql import functions as F
 
@@ -197,3 +198,39 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(ann, "QUERIES", 8)
     assert rows() == whole
+
+
+def test_entries_within_reach_are_counted():
+    rng = np.random.default_rng(2)
+    values, reach = rng.integers(0, 1 << 16, (3, 400)), np.array([2, 1, -1])
+    counts = np.stack([np.bincount(v, minlength=1 << 16) for v in values])
+    got = ann._touched(counts, reach)
+    for j in range(3):
+        for v in (*values[j][:20].tolist(), 0, 65535):
+            assert got[j, v] == (np.bitwise_count(values[j] ^ v) <= reach[j]).sum()
+
+
+def clustered(spark, seed=4):
+    """60 tight clusters of 40 vectors and a few vectors alone: learned radii are small, and probes are few."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([np.repeat(rng.normal(size=(60, 32)), 40, axis=0) + 0.02 * rng.normal(size=(2400, 32)), 0.5 * rng.normal(size=(40, 32))])
+    ids = rng.permutation(len(x))
+    return spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"), ids, x
+
+
+@pytest.mark.parametrize("per_group", [100_000, 7])
+def test_index_and_scan_give_the_same(spark, monkeypatch, caplog, per_group):
+    df, ids, x = clustered(spark)
+    monkeypatch.setattr(ann, "PER_GROUP", per_group)
+    rows = lambda share: sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0, probed_share=share).collect()))
+    with caplog.at_level("INFO", "plyweave.llm.ann"):
+        through, over = rows(1e9), rows(0)
+    shares = [r.args[2:] for r in caplog.records if "through the index" in r.msg]
+    assert shares == [(122, 122), (0, 122)]
+    assert through == over
+    want = exact(ids, x, 20)
+    by = {}
+    for q, _, v, _ in through:
+        by.setdefault(q, []).append(v)
+    assert {len(v) for v in by.values()} == {20} and by.keys() == want.keys()
+    assert np.mean([len(set(by[q]) & set(want[q])) / 20 for q in want]) > 0.9
