@@ -78,4 +78,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": contamination.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_decontamination": contamination.ORACLE_SQL, "op3_suffix_dedup": suffix_dedup.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}

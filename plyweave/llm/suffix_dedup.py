@@ -502,3 +502,24 @@ def remove_repeats(docs: DataFrame, span: int = 100, k: int = 24) -> DataFrame:
 def digest(cut: DataFrame) -> DataFrame:
     """The contract's columns of `remove_repeats`' rows."""
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: `digest` of `remove_repeats` over documents with distinct doc_ids. Every 100-byte string is a row here, so it is for small tables.
+ORACLE_SQL = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, p, substring(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM doc)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM starts) WHERE n > 1),
+runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b
+  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS r
+        FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM later))
+  GROUP BY doc_id, r),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS final,
+         string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs) JOIN doc USING (doc_id)
+  GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substring(h, 2 * final + 1) END)) AS kept_sha256
+FROM doc LEFT JOIN cut USING (doc_id)
+"""

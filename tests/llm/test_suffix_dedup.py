@@ -5,7 +5,9 @@ import random
 
 import numpy as np
 from frames import empty, odd
+from oracle import agree
 
+from plyweave.llm import queries, suffix_dedup
 from plyweave.llm.suffix_dedup import anchored, digest, multikey_sort, partitioned, remove_repeats
 
 
@@ -140,3 +142,7 @@ def test_hot_leading_bytes_are_dealt_anew(spark, monkeypatch):
     for i, t in rows:
         kept = "".join(c for c, g in zip(t, gone[i], strict=True) if not g)
         assert (sum(gone[i]), hashlib.sha256(kept.encode()).hexdigest()) == want[i][1::2]
+
+
+def test_query_agrees_with_sql(spark):
+    agree(spark, queries.op3_suffix_dedup, suffix_dedup.ORACLE_SQL)
