@@ -95,16 +95,20 @@ def fit_codes(profiles: np.ndarray, langs: list[str], steps: int = 150) -> Codes
     return Codes(languages, code, w.astype(np.float32), b, np.log((1 - np.clip(wrong, 0.01, 0.49)) / np.clip(wrong, 0.01, 0.49)) / np.log(99))
 
 
-def train(docs: DataFrame, per_language: int = 800, most_languages: int = 200) -> Codes | None:
-    """Fit on at most `per_language` rows of each of the `most_languages` commonest langs; None if there is no such row.
+def train(docs: DataFrame, per_language: int = 800, most_rows: int = 6_000) -> Codes | None:
+    """Fit on at most `per_language` rows of each lang, and about `most_rows` in all; None if there is no such row.
 
-    Rows that are held out, have no lang or no letter are never used. Which rows: the first by a hash of doc_id.
+    Every lang is learned; where there are so many that `per_language` of each were more than `most_rows`, each has an
+    equal share, of one row at least. Rows that are held out, have no lang or no letter are never used. Which rows: the
+    first by a hash of doc_id.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     plain = plain.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    counts = plain.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    # About per_language rows of each: a hash below a bound that its count gives; then cut to size exactly.
-    bounds = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * per_language / r["count"])))]) if counts else None
+    counts = plain.groupBy("lang").count().collect()  # as many rows as languages
+    per_language = max(1, min(per_language, most_rows // max(1, len(counts))))
+    # Somewhat more than per_language rows of each: a hash below a bound that its count gives; then cut to size exactly.
+    enough = max(1.5 * per_language, per_language + 6 * per_language**0.5 + 10)
+    bounds = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, enough / r["count"])))]) if counts else None
     if bounds is None:
         return None
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003

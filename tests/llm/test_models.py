@@ -234,3 +234,14 @@ def test_index_and_scan_give_the_same(spark, monkeypatch, caplog, per_group):
         by.setdefault(q, []).append(v)
     assert {len(v) for v in by.values()} == {20} and by.keys() == want.keys()
     assert np.mean([len(set(by[q]) & set(want[q])) / 20 for q in want]) > 0.9
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(1)
+    letters = [chr(0x4E00 + 7 * i) for i in range(250)]
+    rows = [(4 * n, "".join(rng.choice([letters[n % 250], "x"], 40)), f"l{n % 250:03d}") for n in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    codes = language.train(docs, most_rows=500)
+    assert len(codes.languages) == 250
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, codes).collect()}
+    assert np.mean([got[d] == lang for d, _, lang in rows]) > 0.9
