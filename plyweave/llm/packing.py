@@ -3,13 +3,15 @@
 Documents are tokenized and cut into full windows plus a remainder. The best-fit-decreasing plan depends only on how
 many pieces there are of each length, so it is made from that histogram (as many rows as the capacity, whatever the
 corpus): one step of the plan places a run of equal pieces into a run of equally filled windows. Each piece then
-finds its place by its rank among the pieces of its length; ranks are counted in salted groups, as many for each length
-as its pieces fill, so that a length that a third of all pieces share is still dealt over many tasks.
+finds its place by its rank among the pieces of its length; ranks are counted in salted groups, of n pieces of a length
+about the root of n groups of that size, so that a length that a third of all pieces share is still dealt over many tasks
+and its groups are few enough for one.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -20,9 +22,6 @@ from pyspark.sql import functions as F
 
 from plyweave.llm.common import materialize, rows_of
 
-#: Pieces of one length that are ranked together.
-PER_GROUP = 4_000
-
 
 class CapacityTree:
     """Segment tree over remaining capacities 0..size: how many open windows have each, and the tightest that fits."""
@@ -151,7 +150,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, ranks_pat
     cut = materialize(pieces(docs, tokenizer_path, ranks_path, capacity, end_id, with_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     # At most one row for each length: bounded by the capacity, not by the corpus.
-    salts = F.broadcast(spark.createDataFrame([(length, -(-n // PER_GROUP)) for length, n in histogram.items()], "length long, salts long"))
+    salts = F.broadcast(spark.createDataFrame([(length, math.isqrt(n)) for length, n in histogram.items()], "length long, salts long"))
     salted = cut.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), "salts")).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
