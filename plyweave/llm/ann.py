@@ -324,7 +324,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, bits: int = 256, cov
     far = [r["far"] for r in scan(fitted, None, 1).select("far").collect()]  # at most sample_queries * k numbers
     radius = int(np.quantile(far, covered, method="higher")) if far else 0
 
-    index = materialize(_index_of(coded), "index")
+    index = _index_of(coded)
     m = 4 * len(_words(coder.codes(vectors[:1]))[0])
     counts = _counts_of(index, m)
     touched, reach = spark.sparkContext.broadcast(_touched(counts, _reach(radius, m))), _reach(radius, m)
@@ -341,7 +341,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, bits: int = 256, cov
     cheap = F.col("cost") <= int(probed_share * n_rows)
     n_cheap = costed.filter(cheap).count()
     logging.getLogger(__name__).info("radius %d of %d bits; %d of %d queries through the index", radius, 64 * m // 4, n_cheap, n_queries)
-    ways = [_probed(coded, index, costed.filter(cheap), counts, radius, k)] if n_cheap else []
+    ways = [_probed(coded, materialize(index, "index"), costed.filter(cheap), counts, radius, k)] if n_cheap else []
     if n_cheap < n_queries:
         ways.append(scan(costed.filter(~cheap), radius, n_queries - n_cheap))
     found = materialize(functools.reduce(DataFrame.unionByName, ways), "found")
