@@ -175,15 +175,19 @@ def near_duplicates(docs: DataFrame, radius: int = 3, bucket: int = BUCKET) -> D
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The rows of `docs`, unchanged, that stand for their component: that with the smallest doc_id.
 
-    If that doc_id has several rows in the component, the text with the smallest hash stays, and of equal rows one. Far
-    texts that share a doc_id are of different components, each of which keeps its row. Rows without doc_id all stay,
-    as nothing names them.
+    If that doc_id has several rows in the component, the text with the smallest hash stays, and of rows that share both
+    that whose columns, written as JSON, have the smallest hash. Far texts that share a doc_id are of different
+    components, each of which keeps its row. Rows without doc_id all stay, as nothing names them.
     """
-    found = near_duplicates(docs, radius).filter(F.col("doc_id").isNotNull())
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("least"))
-    first = materialize(first.select(F.col("least.doc_id").alias("kept_id"), F.col("least.tag").alias("kept_tag")), "kept")
-    kept = docs.join(first, (docs["doc_id"] == first["kept_id"]) & (F.xxhash64(docs["text"]) == first["kept_tag"]), "left_semi")
-    if found.count() != found.select("doc_id", "tag").distinct().count():
-        columns = kept.columns
-        kept = kept.withColumn("_kept_tag", F.xxhash64(kept["text"])).dropDuplicates(["doc_id", "_kept_tag"]).select(*[F.col(f"`{c}`") for c in columns])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    found = near_duplicates(docs, radius).filter(F.col("doc_id").isNotNull()).groupBy("component", "doc_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "tag", "n")).alias("least"))
+    first = materialize(first.select(F.col("least.doc_id").alias("kept_id"), F.col("least.tag").alias("kept_tag"), F.col("least.n").alias("kept_n")), "kept")
+    tag = F.xxhash64(docs["text"].cast("string"))
+    of = lambda which: docs.join(first.filter(which), (docs["doc_id"].cast("long") == first["kept_id"]) & (tag == first["kept_tag"]), "left_semi")
+    kept = of("kept_n = 1").unionByName(docs.filter(F.col("doc_id").isNull()))
+    if first.filter("kept_n > 1").isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = of("kept_n > 1").select(F.col("doc_id").alias("kept_id"), F.xxhash64(F.col("text").cast("string")).alias("kept_tag"), row.alias("row"))
+    several = several.groupBy("kept_id", "kept_tag").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.unionByName(several.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

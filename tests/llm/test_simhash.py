@@ -126,3 +126,11 @@ def test_far_texts_that_share_a_doc_id_keep_a_row_each(spark):
     rows = [(1, a), (1, b), (1, b), (5, a), (6, b)]
     got = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in got) == [(1, a), (1, b)]
+
+
+def test_of_rows_with_one_id_and_text_the_same_one_stays(spark):
+    rows = [(1, "one text of many words", f"s{i}", {"k": i}) for i in range(9)] + [(2, None, None, None)] * 3 + [(3, None, "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, m map<string, int>")
+    kept = [sorted(((r["doc_id"], r["text"], r["a.b"], r["m"]) for r in keep_one(docs.orderBy(o).repartition(n)).collect()), key=str) for o, n in (("`a.b`", 1), ("doc_id", 5))]
+    assert kept[0] == kept[1]
+    assert [r[:2] for r in kept[0]] == [(1, "one text of many words"), (2, None)] and kept[0][0] in rows
