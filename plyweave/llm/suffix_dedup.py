@@ -180,16 +180,18 @@ def splitters_of(docs: DataFrame, n_docs: int, n_bytes: int, buckets: int, span:
 
     share = min(1.0, max(_LEAST_DOCS / n_docs, _SAMPLED * buckets * (span - k + 1) / 2 / max(n_bytes, 1)))
     some = docs.filter(F.pmod(F.xxhash64("id", "tag"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-    leads = materialize(some.mapInArrow(leading, "lead binary"), "leads")
-    step = max(1, leads.count() // buckets)
+    leads = materialize(some.mapInArrow(leading, "lead binary").groupBy("lead").agg(F.count(F.lit(1)).alias("n")), "leads")
+    step = max(1, (leads.agg(F.sum("n")).first()[0] or 0) // buckets)
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The leads within whose suffixes, counted on, a multiple of `step` falls."""
         passed = step // 2
         for batch in batches:
-            yield batch.take(pa.array(np.arange((step - passed % step) % step, batch.num_rows, step)))
-            passed += batch.num_rows
+            upto = passed + np.cumsum(batch.column("n").to_numpy())
+            yield batch.select(["lead"]).filter(pa.array((upto - 1) // step > (upto - batch.column("n").to_numpy() - 1) // step))
+            passed = int(upto[-1]) if len(upto) else passed
 
-    # Ranges of the sample are sorted each by a task; about as many rows as there are buckets come to the driver.
+    # Ranges of the sample, each lead once, are sorted each by a task; about as many rows as there are buckets come to the driver.
     ranged = leads.repartitionByRange(max(1, buckets // 64), "lead").sortWithinPartitions("lead")
     found = ranged.mapInArrow(every, "lead binary").toArrow().column("lead").to_pylist()
     return np.unique(np.array(found, f"S{k}"))
