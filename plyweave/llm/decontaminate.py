@@ -76,8 +76,24 @@ def fingerprints(texts: list[list[bytes]], window: int, k: int, lengths: list[in
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def spans(words: list[bytes], window: int, k: int) -> list[tuple[int, int, bytes]]:
+    """(fingerprint, length of the item if it is short, else 0, words): each run of an item's windows that have one fingerprint, as its words."""
+    n = min(window, len(words))
+    if not n:
+        return []
+    codes = np.fromiter((zlib.crc32(w) for w in words), dtype=np.uint64, count=len(words))
+    if len(words) < window:
+        _, fp = fingerprints([words], window, k, [n])
+        return [(int(fp.view(np.int64)[-1]), n, b" ".join(words))]  # the last gram of its own length is the whole item
+    least = _least(_grams(codes, len(words) - np.arange(len(words)), k), window - k + 1)[: len(words) - window + 1]
+    starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    ends = np.append(starts[1:], len(least)) + window - 1
+    fps = least[starts].view(np.int64)
+    return [(f, 0, b" ".join(words[a:b])) for f, a, b in zip(fps.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+
+
 def hits(doc: list[bytes], items: list[tuple[int, list[bytes]]], window: int) -> tuple[np.ndarray, list[int]]:
-    """Extend: which words of `doc` lie in an occurrence of a window of any item, and the items that have one."""
+    """Extend: which words of `doc` lie in an occurrence of a window of any item, and the items that have one. An item may come as several runs."""
     hit, found = np.zeros(len(doc) + 1, np.int64), set()
     wanted: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
     for item_id, words in items:
@@ -113,17 +129,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            texts, ids = [words_of(t) for t in batch.column("item_text").to_pylist()], batch.column("item_id").to_numpy()
-            of, fp = fingerprints(texts, window, k, [])
-            found = [(ids[of], fp, np.zeros(len(of), np.int64))]
-            for i, words in enumerate(texts):
-                if 0 < len(words) < window:  # the last gram of its own length is the whole item
-                    _, fp = fingerprints([words], window, k, [len(words)])
-                    found.append((ids[[i]], fp[-1:], np.array([len(words)])))
-            item_id, fp, n = (np.concatenate(column) for column in zip(*found, strict=True))
-            yield batch_of(item_id=item_id, fp=fp.view(np.int64), n=n)
-
-    test = materialize(items.mapInArrow(of_items, "item_id long, fp long, n long").distinct(), "item-fingerprints")
+            ids = batch.column("item_id").to_pylist()
+            found = [(i, *f) for i, t in zip(ids, batch.column("item_text").to_pylist(), strict=True) for f in spans(words_of(t), window, k)]
+            item_id, fp, n, span = zip(*found, strict=True) if found else ((), (), (), ())
+            yield batch_of(item_id=np.array(item_id, np.int64), fp=np.array(fp, np.int64), n=np.array(n, np.int64), span=pa.array(span, pa.binary()))
+
+    test = materialize(items.mapInArrow(of_items, "item_id long, fp long, n long, span binary").distinct(), "item-fingerprints")
     lengths = sorted(r["n"] for r in test.select("n").distinct().collect() if r["n"])  # fewer than `window` values
     few = test.select("fp").distinct().limit(most_broadcast + 1).count() <= most_broadcast
     known = spark.sparkContext.broadcast(test.select("fp").distinct().toArrow().column("fp").to_numpy() if few else None)
@@ -156,16 +167,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = materialize(plain.mapInArrow(scan, "doc_id long, text string, n_words long, fps array<long>"), "scanned")
     touched = scanned.filter(F.size("fps") > 0).withColumn("key", F.xxhash64("text")).withColumn("sum", F.crc32(F.col("text").cast("binary")))
-    # Equal texts have equal hits, so one row stands for all copies in the joins.
-    pairs = touched.select("key", "sum", F.explode("fps").alias("fp")).distinct().join(test.select("fp", "item_id").distinct(), "fp").select("key", "sum", "item_id").distinct()
-    per_text = pairs.join(items, "item_id").groupBy("key", "sum").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    # Equal texts have equal hits, so one row stands for all copies in the joins. Of an item only the runs that met a text go to it.
+    pairs = touched.select("key", "sum", F.explode("fps").alias("fp")).distinct().join(test.select("fp", "item_id", "span"), "fp").select("key", "sum", "item_id", "span").distinct()
+    per_text = pairs.groupBy("key", "sum").agg(F.collect_list(F.struct("item_id", "span")).alias("items"))
     met = touched.drop("fps").join(per_text, ["key", "sum"], "left").drop("key", "sum")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             n_hit, ids = [], []
             for text, its in zip(batch.column("text").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                hit, found = hits(words_of(text), [(i["item_id"], words_of(i["item_text"])) for i in its or []], window)
+                hit, found = hits(words_of(text), [(i["item_id"], i["span"].split()) for i in its or []], window)
                 n_hit.append(int(hit.sum()))
                 ids.append(found)
             kept = {c: batch.column(c) for c in ("doc_id", "text", "n_words")}

@@ -4,7 +4,7 @@ import random
 
 from frames import ODD, empty, odd
 
-from plyweave.llm.decontaminate import decontaminate, keep_clean, words_of
+from plyweave.llm.decontaminate import decontaminate, fingerprints, keep_clean, spans, words_of
 
 
 def brute(docs, items, window=13):
@@ -70,3 +70,16 @@ def test_filter_keeps_clean_rows(spark):
     kept = keep_clean(odd(spark), items)
     assert kept.columns == odd(spark).columns
     assert kept.count() == len(ODD) - 2
+
+
+def test_runs_of_an_item_cover_its_windows():
+    rng = random.Random(5)
+    for size, vocabulary in ((5, 9), (13, 9), (14, 2), (400, 3), (400, 500)):
+        words = [b"w%d" % rng.randrange(vocabulary) for _ in range(size)]
+        runs = spans(words, 13, 5)
+        n = min(13, size)
+        grams = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (words, *(r[2].split() for r in runs))]
+        assert set().union(*grams[1:]) == grams[0] and all(r[1] == (n if n < 13 else 0) for r in runs)
+        _, fps = fingerprints([words], 13, 5, [n] if n < 13 else [])
+        assert {r[0] for r in runs} == set(fps.astype("int64").tolist())
+        assert sum(len(r[2].split()) for r in runs) < 6 * size + 13
