@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyweave.llm import decontaminate as contamination
-from plyweave.llm import ann, exact_dedup, html_text, language, line_dedup, pii, suffix_dedup, toxicity
+from plyweave.llm import ann, exact_dedup, html_text, language, line_dedup, periodic_runs, pii, suffix_dedup, toxicity
 from plyweave.llm.packing import pack_documents
 from plyweave.llm.simhash import near_duplicates
 
@@ -62,6 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.repeat_tails(table(spark, sf_dir, "documents"))))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
+        "op11_periodic_runs": op11_periodic_runs,
         "op12_exact_dedup": op12_exact_dedup,
     }
 
