@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyweave.llm import decontaminate as contamination
-from plyweave.llm import ann, exact_dedup, html_text, language, line_dedup, periodic_runs, pii, suffix_dedup, toxicity
+from plyweave.llm import ann, exact_dedup, html_text, language, line_dedup, periodic_runs, pii, suffix_dedup, toxicity, whitening
 from plyweave.llm.packing import pack_documents
 from plyweave.llm.simhash import near_duplicates
 
@@ -70,6 +70,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_nearest_neighbours": op1_nearest_neighbours,
@@ -84,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op10_toxicity": op10_toxicity,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_exact_dedup": op12_exact_dedup,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
