@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,19 +25,46 @@ def require_counts(source: DataFrame, target: DataFrame, where: str | None = Non
         raise ValueError(f"row counts differ: {row['source_rows']} in the source, {row['target_rows']} in the target")
 
 
-def _as_text(f: T.StructField, scale: int) -> Column:
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType | T.MapType | T.StructType)
+
+
+def _flat(f: T.StructField) -> Column:
+    """The column; a nested one as JSON with its nulls, map entries in order."""
     c = F.col(f"`{f.name}`")
-    if isinstance(f.dataType, T.FloatType | T.DoubleType):
-        c = c.cast(T.DecimalType(38, scale))  # doubles print differently in other engines
-    elif isinstance(f.dataType, T.TimestampType | T.TimestampNTZType):
-        c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return F.coalesce(c.cast("string"), F.lit("NULL"))
+    c = F.array_sort(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c
+    return F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})) if _nested(f.dataType) else c
+
+
+def _as_text(f: T.StructField, scale: int | None) -> Column:
+    """The value with all its digits, its length before it; a null is '-', so no two different rows read alike."""
+    c = _flat(f)
+    if isinstance(f.dataType, T.FloatType | T.DoubleType) and scale is not None:
+        c = c.cast(T.DecimalType(38, scale))
+    c = F.hex(c) if isinstance(f.dataType, T.BinaryType) else c.cast("string")
+    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+
+
+def row_checksums(df: DataFrame, keys: list[str], exclude: list[str] | None = None, scale: int | None = None) -> DataFrame:
+    """keys and md5 of each row's columns as text, each with its length before it, null as '-'.
+
+    Times and doubles have all their digits; `scale` rounds doubles to so many decimals, for engines that print them otherwise.
+    `exclude` leaves out wide text columns.
+    """
+    used = [f for f in df.schema if f.name not in (exclude or [])]
+    return df.select(*keys, F.md5(F.concat(F.lit(""), *[_as_text(f, scale) for f in used])).alias("checksum"))
 
 
-def row_checksums(df: DataFrame, keys: list[str], exclude: list[str] | None = None, scale: int = 2) -> DataFrame:
-    """keys and md5 of each row's columns as text joined by '|', null as 'NULL'. `exclude` leaves out wide text columns."""
+def content_hash(df: DataFrame, exclude: list[str] | None = None) -> Column:
+    """A 64-bit hash of a row's typed values; which columns are null is hashed too, as a hash of values alone skips nulls."""
     used = [f for f in df.schema if f.name not in (exclude or [])]
-    return df.select(*keys, F.md5(F.concat_ws("|", *[_as_text(f, scale) for f in used])).alias("checksum"))
+    return F.xxhash64(F.lit(len(used)), *[x for f in used for x in (_flat(f), F.col(f"`{f.name}`").isNull())])
+
+
+def content_sum(hashed: Column) -> Column:
+    """An aggregate that is equal for equal rows in any order: sums of three parts of their hashes, which 2^41 rows can't overflow."""
+    part = lambda bits: F.sum(F.shiftrightunsigned(hashed, bits).bitwiseAND(F.lit((1 << 22) - 1)))
+    return F.concat_ws(":", *[part(bits).cast("string") for bits in (0, 22, 44)])
 
 
 def checksum_mismatches(source: DataFrame, target: DataFrame, keys: list[str], exclude: list[str] | None = None) -> DataFrame:
@@ -49,11 +78,11 @@ def checksum_mismatches(source: DataFrame, target: DataFrame, keys: list[str], e
     )
 
 
-def table_fingerprint(df: DataFrame, key: str, chunk: int, exclude: list[str] | None = None) -> DataFrame:
-    """chunk (of `chunk` keys), n_rows, fingerprint (sum of the first 32 bits of row checksums): equal for equal content in any order."""
-    value = F.conv(F.substring("checksum", 1, 8), 16, 10).cast("decimal(20,0)")
-    summed = row_checksums(df, [key], exclude).groupBy(F.floor(F.col(key) / chunk).alias("chunk"))
-    return summed.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).cast("long").alias("fingerprint"))
+def table_fingerprint(df: DataFrame, key: str, chunk: int, exclude: list[str] | None = None, scale: int | None = None) -> DataFrame:
+    """chunk (of `chunk` keys; null keys are one), n_rows, fingerprint (sum of the first 60 bits of row checksums, as text): equal for equal content in any order."""
+    value = F.conv(F.substring("checksum", 1, 15), 16, 10).cast("decimal(20,0)")
+    summed = row_checksums(df, [key], exclude, scale).groupBy(F.floor(F.col(key) / chunk).alias("chunk"))
+    return summed.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).cast("string").alias("fingerprint"))
 
 
 def row_diff(source: DataFrame, target: DataFrame, keys: list[str], most: int | None = 100) -> DataFrame:
@@ -87,13 +116,98 @@ def reconcile_summary(source: DataFrame, target: DataFrame, keys: list[str]) ->
     return reconcile(source, target, keys).groupBy("status").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
-def reconcile_by_ranges(source: DataFrame, target: DataFrame, keys: list[str], chunk_key: str, chunk: int) -> DataFrame:
-    """As `reconcile` without the rows that are the same: only key ranges whose fingerprints differ are joined row by row.
+def _place(df: DataFrame, keys: list[str], chunk_key: str | None) -> Column:
+    """A number by which rows are put into ranges: a whole-number column itself, else a hash of the column or of the keys."""
+    if chunk_key is not None and isinstance(df.schema[chunk_key].dataType, T.IntegralType):
+        return F.col(chunk_key).cast("long")
+    columns = keys if chunk_key is None else [chunk_key]
+    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+
+
+def _intervals(chunks: list[int], size: int) -> list[tuple[int, int]]:
+    """[low, high) of the places of the chunks, neighbours put together."""
+    out: list[tuple[int, int]] = []
+    for c in sorted(chunks):
+        if out and out[-1][1] == c * size:
+            out[-1] = (out[-1][0], (c + 1) * size)
+        else:
+            out.append((c * size, (c + 1) * size))
+    return out
+
 
-    The fingerprints are one small row a range, so where tables mostly agree, hardly anything is shuffled.
+#: Ranges of a level that come to the driver, to narrow the next one, and intervals that are written as a predicate.
+MOST_RANGES, MOST_INTERVALS = 10_000, 200
+
+
+def differing_rows(source: DataFrame, target: DataFrame, keys: list[str], chunk_key: str | None = None, sizes: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of both in ranges whose content differs, and all whose keys are null in part.
+
+    Ranges are of `chunk_key`, if it is of whole numbers, else of a hash of it, or of the keys (any number of any type). `sizes`
+    falls: the sums of the largest ranges are compared first, then those of the next size within ranges that differ.
+    Rows with a null `chunk_key` are a range of their own. Where more than MOST_RANGES differ, nothing finer is tried.
+    At each level both tables are read, filtered by intervals of the key, which reaches the scan if these are few.
+    """
+    sizes = sizes or [1 << 54, 1 << 44]
+    narrow: Callable[[DataFrame], DataFrame] = lambda df: df
+    odd_keys = F.lit(False)
+    for k in keys:
+        odd_keys = odd_keys | F.col(k).isNull()
+    for size in sizes:
+        sums = []
+        for df in (source, target.select(source.columns)):
+            part = narrow(df)
+            chunk = F.floor(_place(part, keys, chunk_key) / F.lit(size)) if size < 1 << 50 else F.shiftright(_place(part, keys, chunk_key), size.bit_length() - 1)
+            sums.append(part.select(chunk.cast("long").alias("chunk"), content_hash(part).alias("h")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), content_sum(F.col("h")).alias("sum")))
+        a, b = (x.alias(name) for x, name in zip(sums, ("a", "b"), strict=True))
+        same = F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.sum").eqNullSafe(F.col("b.sum"))
+        odd = a.join(b, F.col("a.chunk").eqNullSafe(F.col("b.chunk")), "full").filter(~same).select(F.coalesce("a.chunk", "b.chunk").alias("_chunk"))
+        found = [r["_chunk"] for r in odd.limit(MOST_RANGES + 1).collect()]
+        if not found:
+            return source.filter(odd_keys), target.filter(odd_keys)
+        if len(found) > MOST_RANGES:
+            narrow = _joined(odd, keys, chunk_key, size, odd_keys)
+            break
+        spans, nulls = _intervals([c for c in found if c is not None], size), None in found
+        if len(spans) <= MOST_INTERVALS:
+            narrow = _between(spans, nulls, keys, chunk_key, odd_keys)
+        else:
+            # At most MOST_RANGES rows.
+            few = source.sparkSession.createDataFrame([(c,) for c in found], "_chunk long")
+            narrow = _joined(F.broadcast(few), keys, chunk_key, size, odd_keys)
+    return narrow(source), narrow(target)
+
+
+def _between(spans: list[tuple[int, int]], nulls: bool, keys: list[str], chunk_key: str | None, odd_keys: Column) -> Callable[[DataFrame], DataFrame]:
+    def narrow(df: DataFrame) -> DataFrame:
+        place, wanted = _place(df, keys, chunk_key), odd_keys
+        if nulls:
+            wanted = wanted | F.col(chunk_key).isNull()
+        for low, high in spans:
+            inside = place >= F.lit(max(low, -(1 << 63)))
+            wanted = wanted | (inside if high >= 1 << 63 else inside & (place < F.lit(high)))
+        return df.filter(wanted)
+
+    return narrow
+
+
+def _joined(chunks: DataFrame, keys: list[str], chunk_key: str | None, size: int, odd_keys: Column) -> Callable[[DataFrame], DataFrame]:
+    def narrow(df: DataFrame) -> DataFrame:
+        place = _place(df, keys, chunk_key)
+        chunk = F.floor(place / F.lit(size)) if size < 1 << 50 else F.shiftright(place, size.bit_length() - 1)
+        inside = df.filter(~odd_keys).withColumn("_at", chunk.cast("long"))
+        inside = inside.join(chunks, F.col("_at").eqNullSafe(F.col("_chunk")), "left_semi").drop("_at")
+        return inside.unionByName(df.filter(odd_keys))
+
+    return narrow
+
+
+def reconcile_by_ranges(source: DataFrame, target: DataFrame, keys: list[str], chunk_key: str | None = None, chunk: int | None = None, levels: int = 2, fanout: int = 1000) -> DataFrame:
+    """As `reconcile` without the rows that are the same: only ranges whose content differs are joined row by row.
+
+    Sums are exact to the last digit of times and the last bit of doubles. The finest ranges have `chunk` keys, those of each
+    level above `fanout` times as many; without a `chunk_key` (or with one that is no whole number) ranges are of hashes. The sums
+    are one small row a range, so where tables mostly agree, hardly anything is shuffled.
     """
-    a, b = (table_fingerprint(df, chunk_key, chunk) for df in (source, target))
-    odd = a.withColumnsRenamed({"n_rows": "n", "fingerprint": "f"}).join(b, "chunk", "full")
-    odd = odd.filter(~(F.col("n").eqNullSafe(F.col("n_rows")) & F.col("f").eqNullSafe(F.col("fingerprint")))).select("chunk")
-    some = lambda df: df.withColumn("chunk", F.floor(F.col(chunk_key) / chunk)).join(odd, "chunk", "left_semi").drop("chunk")
-    return reconcile(some(source), some(target), keys).filter("status <> 'same'")
+    whole = chunk_key is not None and isinstance(source.schema[chunk_key].dataType, T.IntegralType)
+    sizes = [(chunk or 10_000) * fanout**level for level in range(levels - 1, -1, -1)] if whole else None
+    return reconcile(*differing_rows(source, target, keys, chunk_key, sizes), keys).filter("status <> 'same'")

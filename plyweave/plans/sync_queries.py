@@ -232,6 +232,35 @@ def reconcile_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.reconcile_by_ranges(source, late.filter(F.col("o_orderkey") % 3001 != 0), KEYS, "o_orderkey", 500)
 
 
+def _small_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders with fractions of seconds and customers that aren't known, and a copy that differs by half a second, a thousandth, or a customer."""
+    k = F.col("o_orderkey")
+    later = lambda unit: F.expr(f"INTERVAL '{unit}' SECOND")
+    source = source_orders(spark, sf_dir).withColumns({"updated_at": F.col("updated_at") + later("0.25"), "o_custkey": F.when(k % 10 != 0, F.col("o_custkey"))})
+    target = source.withColumns({
+        "updated_at": F.when(k % 997 == 1, F.col("updated_at") + later("0.5")).otherwise(F.col("updated_at")),
+        "o_totalprice": F.when(k % 991 == 2, F.col("o_totalprice") + 0.001).otherwise(F.col("o_totalprice")),
+        "o_orderstatus": F.when(k % 1010 == 0, None).otherwise(F.col("o_orderstatus")),
+    })
+    return source, target
+
+
+def reconcile_small_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By ranges of a column that may be null."""
+    return compare.reconcile_by_ranges(*_small_changes(spark, sf_dir), KEYS, "o_custkey", 10, levels=3, fanout=10)
+
+
+def reconcile_by_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By hashes of a key of four columns, one of them text."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("string"))
+    shifted = lines.withColumn("l_tax", F.when(F.col("l_orderkey") % 1009 == 5, F.col("l_tax") + 1e-9).otherwise(F.col("l_tax")))
+    return compare.reconcile_by_ranges(lines, shifted.filter("l_orderkey % 2003 <> 7"), LINE_KEYS)
+
+
+def checksums_of_small_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.checksum_mismatches(*_small_changes(spark, sf_dir), KEYS)
+
+
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
@@ -297,7 +326,8 @@ _DRIFT = ["src_orders", "tgt_orders"]
 _PAIR = [*_DRIFT, "delta_orders"]
 _SAME = "s.o_custkey IS NOT DISTINCT FROM t.o_custkey AND s.o_orderstatus IS NOT DISTINCT FROM t.o_orderstatus AND s.o_totalprice IS NOT DISTINCT FROM t.o_totalprice AND s.updated_at IS NOT DISTINCT FROM t.updated_at AND s.o_orderpriority IS NOT DISTINCT FROM t.o_orderpriority"
 _STATUS = f"SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, CASE WHEN t.o_orderkey IS NULL THEN 'only_source' WHEN s.o_orderkey IS NULL THEN 'only_target' WHEN {_SAME} THEN 'same' ELSE 'changed' END AS status FROM src_orders s FULL JOIN tgt_orders t ON s.o_orderkey = t.o_orderkey"
-_MD5 = "md5(concat_ws('|', coalesce(o_orderkey::VARCHAR, 'NULL'), coalesce(o_custkey::VARCHAR, 'NULL'), coalesce(o_orderstatus, 'NULL'), coalesce(o_totalprice::DECIMAL(38,2)::VARCHAR, 'NULL'), coalesce(strftime(updated_at, '%Y-%m-%d %H:%M:%S'), 'NULL'), coalesce(o_orderpriority, 'NULL')))"
+_TEXTS = ["o_orderkey::VARCHAR", "o_custkey::VARCHAR", "o_orderstatus", "o_totalprice::VARCHAR", "updated_at::VARCHAR", "o_orderpriority"]
+_MD5 = "md5(" + " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in _TEXTS) + ")"
 
 
 def _profile_sql() -> str:
@@ -353,7 +383,7 @@ ENTRIES = {
     "checksum_mismatches": (checksum_mismatches, with_tables(_DRIFT, f"""
         SELECT count(*) FILTER (a <> b) AS n_changed, count(*) FILTER (b IS NULL) AS n_only_source, count(*) FILTER (a IS NULL) AS n_only_target
         FROM (SELECT o_orderkey, {_MD5} AS a FROM src_orders) FULL JOIN (SELECT o_orderkey, {_MD5} AS b FROM tgt_orders) USING (o_orderkey)""")),
-    "table_fingerprint": (table_fingerprint, with_tables(_DRIFT, f"SELECT o_orderkey // 1000 AS chunk, count(*) AS n_rows, sum(('0x' || substr({_MD5}, 1, 8))::BIGINT)::BIGINT AS fingerprint FROM tgt_orders GROUP BY 1")),
+    "table_fingerprint": (table_fingerprint, with_tables(_DRIFT, f"SELECT o_orderkey // 1000 AS chunk, count(*) AS n_rows, sum(('0x' || substr({_MD5}, 1, 15))::BIGINT)::VARCHAR AS fingerprint FROM tgt_orders GROUP BY 1")),
     "row_diff": (row_diff, with_tables(_DRIFT, f"""
         SELECT s.o_orderkey, concat_ws(',', CASE WHEN s.o_orderstatus IS DISTINCT FROM t.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN s.o_totalprice IS DISTINCT FROM t.o_totalprice THEN 'o_totalprice' END) AS columns,
                CASE WHEN s.o_orderstatus IS DISTINCT FROM t.o_orderstatus THEN s.o_orderstatus END AS source_status, CASE WHEN s.o_orderstatus IS DISTINCT FROM t.o_orderstatus THEN t.o_orderstatus END AS target_status
@@ -365,6 +395,12 @@ ENTRIES = {
     "reconcile": (reconcile, with_tables(_DRIFT, _STATUS)),
     "reconcile_summary": (reconcile_summary, with_tables(_DRIFT, f"SELECT status, count(*) AS n_keys FROM ({_STATUS}) GROUP BY 1")),
     "reconcile_by_ranges": (reconcile_by_ranges, "SELECT o_orderkey, CASE WHEN o_orderkey % 3001 = 0 THEN 'only_source' ELSE 'changed' END AS status FROM orders WHERE o_orderkey % 3001 = 0 OR o_orderkey % 4001 = 0"),
+    "reconcile_small_changes": (reconcile_small_changes, "SELECT o_orderkey, 'changed' AS status FROM orders WHERE o_orderkey % 997 = 1 OR o_orderkey % 991 = 2 OR o_orderkey % 1010 = 0 AND o_orderstatus IS NOT NULL"),
+    "reconcile_by_hashes": (reconcile_by_hashes, """
+        SELECT l_orderkey, l_linenumber::VARCHAR AS l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 2003 = 7 THEN 'only_source' ELSE 'changed' END AS status
+        FROM lineitem WHERE l_orderkey % 2003 = 7 OR l_orderkey % 1009 = 5"""),
+    "checksums_of_small_changes": (checksums_of_small_changes, """
+        SELECT count(*) FILTER (o_orderkey % 997 = 1 OR o_orderkey % 991 = 2 OR o_orderkey % 1010 = 0 AND o_orderstatus IS NOT NULL) AS n_changed, 0::BIGINT AS n_only_source, 0::BIGINT AS n_only_target FROM orders"""),
     "duplicate_keys": (duplicate_keys, "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1"),
     "orphans": (orphans, with_tables(["mappings"], "SELECT id, sync_config_id FROM mappings WHERE sync_config_id NOT IN (SELECT n_nationkey FROM nation)")),
     "key_violations": (key_violations, """

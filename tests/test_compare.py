@@ -45,3 +45,55 @@ def test_checksums_tell_missing_from_changed(spark):
     t = spark.createDataFrame([(2, None, 2.5), (3, "c", 1.0)], SCHEMA)
     assert tuple(compare.checksum_mismatches(s, t, ["k"]).first()) == (1, 1, 1)
     assert tuple(compare.checksum_mismatches(s, t, ["k"], ["x"]).first()) == (0, 1, 1)
+
+
+def test_the_smallest_changes_are_found(spark):
+    """By a thousandth, half a second, a null for the text 'NULL', and text that moves between columns; also with a null range key."""
+    import datetime as dt
+
+    schema = "k int, c int, a string, b string, x double, t timestamp_ntz, d array<int>"
+    at = dt.datetime(2024, 1, 1, 12, 0, 0)
+    rows = [(i, i % 3 or None, "a", "b", 1.0, at, [1, None]) for i in range(30)]
+    changed = {1: (4, 1.001), 2: (5, at.replace(microsecond=500_000)), 3: (2, "NULL"), 6: (2, "a|b"), 7: (6, [None, 1]), 8: (5, at.replace(microsecond=1))}
+    s = spark.createDataFrame([(*r[:2], None, *r[3:]) if r[0] == 3 else (*r[:2], "a", "b|", *r[4:]) if r[0] == 6 else r for r in rows], schema)
+    t = s.collect()
+    t = spark.createDataFrame([tuple(v if changed.get(r["k"], (-1,))[0] != i else changed[r["k"]][1] for i, v in enumerate(r)) for r in t], schema)
+    t = t.withColumn("b", F.when(F.col("k") == 6, "").otherwise(F.col("b")))
+    want = sorted((k, "changed") for k in changed)
+    assert sorted(map(tuple, compare.reconcile(s, t, ["k"]).filter("status <> 'same'").collect())) == want
+    for key, chunk in (("c", 1), ("k", 4), (None, None), ("a", None)):
+        assert sorted(map(tuple, compare.reconcile_by_ranges(s, t, ["k"], key, chunk, fanout=2).collect())) == want
+    assert tuple(compare.checksum_mismatches(s, t, ["k"]).first()) == (len(want), 0, 0)
+    assert tuple(compare.checksum_mismatches(s, t, ["k"], ["d", "a", "b", "t"], ).first()) == (1, 0, 0)
+
+
+def test_rows_with_null_keys_are_as_in_reconcile(spark):
+    s = spark.createDataFrame([(1, "a", 1.0), (None, "n", 2.0), (2, "b", 1.0)], SCHEMA)
+    t = spark.createDataFrame([(1, "a", 1.0), (None, "n", 2.0), (2, "c", 1.0)], SCHEMA)
+    for key in ("k", None, "v"):
+        got = sorted(map(tuple, compare.reconcile_by_ranges(s, t, ["k"], key, 1).collect()), key=str)
+        assert got == sorted(map(tuple, compare.reconcile(s, t, ["k"]).filter("status <> 'same'").collect()), key=str)
+        assert len(got) == 3
+    # Nothing differs but that null keys match nothing.
+    assert compare.reconcile_by_ranges(s, s, ["k"], "k", 1).count() == 2
+
+
+def test_many_ranges_differ(spark, monkeypatch):
+    """Beyond the bounds ranges are joined, and nothing finer is tried."""
+    s = spark.range(3000).select("id", (F.col("id") % 5).alias("v"))
+    t = s.filter("id % 7 <> 0")
+    want = [(i, "only_source") for i in range(0, 3000, 7)]
+    for most, spans in ((10_000, 3), (50, 3)):
+        monkeypatch.setattr(compare, "MOST_RANGES", most)
+        monkeypatch.setattr(compare, "MOST_INTERVALS", spans)
+        for key in ("id", None):
+            assert sorted(map(tuple, compare.reconcile_by_ranges(s, t, ["id"], key, 2, fanout=10).collect())) == want
+
+
+def test_finer_levels_read_only_what_differs(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 10_000, 1, 4).write.parquet(path)
+    s = spark.read.parquet(path)
+    a, _ = compare.differing_rows(s, s.filter("id <> 4321"), ["id"], "id", [1000, 100])
+    assert sorted(r["id"] for r in a.collect()) == list(range(4300, 4400))
+    assert "GreaterThanOrEqual(id,4300)" in a._jdf.queryExecution().executedPlan().toString()
