@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plyweave.sources.tables import connected
+
 OVERWRITE, SKIP, ERROR = "overwrite", "skip", "error"
 
 
@@ -32,18 +38,22 @@ def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def latest_per_key(df: DataFrame, keys: list[str], order_by: str, tiebreak: list[str] | None = None) -> DataFrame:
     """The row with the largest `order_by` (then tiebreak, then its other columns but maps) of each key; nulls count as smallest.
 
-    One aggregate with map-side combining, so a key with very many versions is reduced before the shuffle.
+    Each task keeps one row a key before the shuffle, so a key with very many versions is reduced first.
     """
     first = [order_by, *(tiebreak or [])]
-    order = F.struct(*[F.col(c) for c in [*first, *(c for c, kind in df.dtypes if c not in (*first, *keys) and "map<" not in kind)]])
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
+    order = [*first, *(c for c, kind in df.dtypes if c not in (*first, *keys) and "map<" not in kind)]
+    ranked = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(f"`{c}`") for c in order])))
+    return ranked.filter("_nth = 1").drop("_nth")
 
 
 def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """`df`, which fails when it is computed if a key stands on several rows: which of them counts would be left to chance."""
-    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*df.columns)).alias("_row"))
-    several = F.raise_error(F.concat(F.lit("a key stands on "), F.col("_n"), F.lit(" rows of the delta: order_by must tell the latest")))
-    return found.select(F.when(F.col("_n") > 1, several).otherwise(F.col("_row")).alias("_row")).select("_row.*")
+    """`df`, which fails when it is computed if a key stands on several rows: which of them counts would be left to chance.
+
+    Only the keys are counted and shuffled, the rows stay where they are.
+    """
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+    several = F.raise_error(F.concat(F.lit("a key stands on "), F.col("n"), F.lit(" rows of the delta: order_by must tell the latest")))
+    return df.filter(most.select(F.when(F.col("n") > 1, several.cast("boolean")).otherwise(F.lit(True)).alias("ok")).scalar())
 
 
 def collisions(target: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,8 +124,38 @@ def append_jdbc(df: DataFrame, url: str, table: str, batch_rows: int = 10_000, *
 
 
 def replace_content(spark: SparkSession, df: DataFrame, url: str, table: str, batch_rows: int = 10_000, **options: str) -> None:
-    """Truncate a JDBC table and load `df`, keeping the table's own definition."""
-    df.write.format("jdbc").options(url=url, dbtable=table, truncate="true", batchsize=str(batch_rows), **options).mode("overwrite").save()
+    """Replace the content of a JDBC table by `df`, keeping the table's own definition, wholly or not at all.
+
+    All tasks load a staging table; then one transaction empties the table and fills it from there. Whatever fails, the old
+    rows stay, and readers never see a part of the new ones.
+    """
+    listed = ", ".join(df.columns)
+    with staged(spark, df, url, table, batch_rows, **options) as staging:
+        execute_jdbc(spark, url, [f"DELETE FROM {table}", f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {staging}"], **_login(options))
+
+
+@contextmanager
+def staged(spark: SparkSession, df: DataFrame, url: str, table: str, batch_rows: int = 10_000, **options: str) -> Iterator[str]:
+    """Load `df` from all tasks into a new table beside `table` and give its name; it is dropped at the end.
+
+    Its name is new each time, so it meets no other table and no other load. What goes wrong is raised as it is: that the
+    staging table can't be dropped then (as when it was never made) is only noted with it.
+    """
+    staging, login = f"{table.rpartition('.')[0]}.stage_{uuid.uuid4().hex[:20]}".lstrip("."), _login(options)
+    try:
+        df.write.format("jdbc").options(url=url, dbtable=staging, batchsize=str(batch_rows), **options).mode("error").save()
+        yield staging
+    except BaseException as error:
+        try:
+            execute_jdbc(spark, url, [f"DROP TABLE {staging}"], **login)
+        except Exception:  # noqa: BLE001  what went wrong first counts
+            error.add_note(f"{staging} could not be dropped")
+        raise
+    execute_jdbc(spark, url, [f"DROP TABLE {staging}"], **login)
+
+
+def _login(options: dict[str, str]) -> dict[str, str]:
+    return {k: options[k] for k in ("user", "password") if k in options}
 
 
 def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], partition_by: list[str], policy: str | None = OVERWRITE, order_by: str | None = None, tiebreak: list[str] | None = None) -> None:
@@ -123,6 +163,8 @@ def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: li
 
     `partition_by` must follow from the keys (as a bucket of one does), so that a key never changes its partition; nulls in it are refused. The
     list of touched partitions is bounded by how many the table has. An untouched partition is neither read nor written.
+    Partitions are overwritten in place, each of its own: a reader may see some of them new and others old, and a failure while
+    they are moved leaves them so (a repeated call mends that). VersionedTable with keys and buckets changes as a whole.
     """
     delta = with_keys(delta, partition_by)
     touched = delta.select(*partition_by).distinct().collect()
@@ -137,22 +179,29 @@ def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: li
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def execute_jdbc(spark: SparkSession, url: str, statements: list[str], user: str | None = None, password: str | None = None) -> None:
-    """Run statements in one transaction, over one connection of the driver."""
-    manager = spark._jvm.java.sql.DriverManager
-    connection = manager.getConnection(url) if user is None else manager.getConnection(url, user, password)
-    try:
+def execute_jdbc(spark: SparkSession, url: str, statements: list[str], user: str | None = None, password: str | None = None, refuse: str | None = None) -> None:
+    """Run statements in one transaction, over one connection of the driver.
+
+    `refuse` is a query that gives one number, asked first in the same transaction: unless it is zero, ValueError.
+    """
+    with connected(spark, url, user, password) as connection:
         connection.setAutoCommit(False)
-        for text in statements:
-            statement = connection.createStatement()
-            statement.execute(text)
-            statement.close()
-        connection.commit()
-    except Exception:
-        connection.rollback()
-        raise
-    finally:
-        connection.close()
+        try:
+            if refuse:
+                rows = connection.createStatement().executeQuery(refuse)
+                rows.next()
+                n = rows.getLong(1)
+                rows.close()
+                if n:
+                    raise ValueError(f"{n} keys exist already")
+            for text in statements:
+                statement = connection.createStatement()
+                statement.execute(text)
+                statement.close()
+            connection.commit()
+        except BaseException:
+            connection.rollback()
+            raise
 
 
 def merge_statement(url: str, table: str, staging: str, columns: list[str], keys: list[str], policy: str) -> str:
@@ -162,28 +211,24 @@ def merge_statement(url: str, table: str, staging: str, columns: list[str], keys
         change = ", ".join(f"{c} = VALUES({c})" for c in (rest if policy == OVERWRITE and rest else keys[:1]))
         return f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {staging} ON DUPLICATE KEY UPDATE {change}"
     update = f" WHEN MATCHED THEN UPDATE SET {', '.join(f'{c} = s.{c}' for c in rest)}" if policy == OVERWRITE and rest else ""
-    return f"MERGE INTO {table} t USING {staging} s ON {' AND '.join(f't.{k} = s.{k}' for k in keys)}{update} WHEN NOT MATCHED THEN INSERT ({listed}) VALUES ({', '.join(f's.{c}' for c in columns)})"
+    return f"MERGE INTO {table} t USING {staging} s ON {_equal(keys)}{update} WHEN NOT MATCHED THEN INSERT ({listed}) VALUES ({', '.join(f's.{c}' for c in columns)})"
 
 
 def upsert_jdbc(spark: SparkSession, delta: DataFrame, url: str, table: str, keys: list[str], policy: str | None = OVERWRITE, order_by: str | None = None, tiebreak: list[str] | None = None, batch_rows: int = 10_000, **options: str) -> None:
     """Upsert into a JDBC table: all tasks load a staging table, then the database merges it by one statement, in one transaction.
 
-    Policies and repeated keys are as in `upsert`; under `error` the check for keys that exist is a query before anything is loaded. A failed load leaves the
-    table as it was; the staging table is dropped in any case. Column names are those of the table.
+    Policies and repeated keys are as in `upsert`; under `error` that transaction asks first for keys that exist. A failed
+    load leaves the table as it was; the staging table is dropped in any case. Column names are those of the table.
     """
-    policy, staging = policy_of(policy), f"{table}_staging"
+    policy = policy_of(policy)
     delta = with_keys(latest_per_key(delta, keys, order_by, tiebreak) if order_by else one_per_key(delta, keys), keys).select(delta.columns)
-    login = {k: options[k] for k in ("user", "password") if k in options}
-    if policy == ERROR:
-        there = spark.read.format("jdbc").options(url=url, dbtable=table, **login).load()
-        n = collisions(there, delta, keys).count()
-        if n:
-            raise ValueError(f"{n} keys exist already")
-    try:
-        delta.write.format("jdbc").options(url=url, dbtable=staging, batchsize=str(batch_rows), **options).mode("overwrite").save()
-        execute_jdbc(spark, url, [merge_statement(url, table, staging, delta.columns, keys, policy)], **login)
-    finally:
-        execute_jdbc(spark, url, [f"DROP TABLE {staging}"], **login)
+    with staged(spark, delta, url, table, batch_rows, **options) as staging:
+        there = f"SELECT COUNT(*) FROM {table} t JOIN {staging} s ON {_equal(keys)}" if policy == ERROR else None
+        execute_jdbc(spark, url, [merge_statement(url, table, staging, delta.columns, keys, policy)], **_login(options), refuse=there)
+
+
+def _equal(keys: list[str]) -> str:
+    return " AND ".join(f"t.{k} = s.{k}" for k in keys)
 
 
 def merge_into(delta: DataFrame, table: str, keys: list[str], policy: str | None = OVERWRITE, order_by: str | None = None, tiebreak: list[str] | None = None) -> None:
@@ -195,9 +240,22 @@ def merge_into(delta: DataFrame, table: str, keys: list[str], policy: str | None
     delta = with_keys(latest_per_key(delta, keys, order_by, tiebreak) if order_by else one_per_key(delta, keys), keys)
     if policy == ERROR and (n := collisions(spark.table(table), delta, keys).count()):
         raise ValueError(f"{n} keys exist already")
+    merge = delta.alias("_delta").mergeInto(table, _matched(table, keys))
+    merge = merge.whenMatched().updateAll() if policy == OVERWRITE else merge
+    merge.whenNotMatched().insertAll().merge()
+
+
+def mirror_into(source: DataFrame, table: str, keys: list[str]) -> None:
+    """Make a catalog table whose source takes row-level merges equal to `source`: rows that differ are updated, new ones inserted, others deleted."""
+    differ = F.lit(False)
+    for c in source.columns:
+        differ = differ if c in keys else differ | ~F.col(f"{table}.{c}").eqNullSafe(F.col(f"_delta.{c}"))
+    rows = with_keys(one_per_key(source, keys), keys)
+    rows.alias("_delta").mergeInto(table, _matched(table, keys)).whenMatched(differ).updateAll().whenNotMatched().insertAll().whenNotMatchedBySource().delete().merge()
+
+
+def _matched(table: str, keys: list[str]) -> Column:
     on = F.lit(True)
     for k in keys:
         on = on & (F.col(f"{table}.{k}") == F.col(f"_delta.{k}"))
-    merge = delta.alias("_delta").mergeInto(table, on)
-    merge = merge.whenMatched().updateAll() if policy == OVERWRITE else merge
-    merge.whenNotMatched().insertAll().merge()
+    return on

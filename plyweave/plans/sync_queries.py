@@ -99,10 +99,10 @@ def _lower(orders: DataFrame) -> DataFrame:
     return orders.toDF(*[c.lower() for c in orders.columns])
 
 
-def _database(spark: SparkSession, orders: DataFrame) -> str:
+def _database(spark: SparkSession, orders: DataFrame, **options: str) -> str:
     """The url of a new database in memory that has the given orders."""
     url = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
-    merge.append_jdbc(_upper(orders), url, "orders")
+    merge.append_jdbc(_upper(orders), url, "orders", **options)
     return url
 
 
@@ -118,6 +118,26 @@ def jdbc_replace_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lower(tables.read_jdbc(spark, url, "orders", "O_ORDERKEY", partitions=4))
 
 
+def jdbc_failed_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load of which one task of four fails, after others have sent their rows: the drifted target stays as it was."""
+    url, k = _database(spark, target_orders(spark, sf_dir)), F.col("o_orderkey")
+    broken = source_orders(spark, sf_dir).repartitionById(4, (k % 4).cast("int"))
+    broken = broken.withColumn("o_totalprice", F.when(k % 4 == 2, F.raise_error(F.lit("boom")).cast("double")).otherwise(F.col("o_totalprice")))
+    try:
+        merge.replace_content(spark, _upper(broken), url, "orders")
+    except Exception as error:  # noqa: BLE001  what the driver raises differs
+        if "boom" not in str(error):
+            raise
+    return _lower(tables.read_jdbc(spark, url, "orders", "O_ORDERKEY", partitions=4))
+
+
+def jdbc_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table most of whose keys are in a hundredth of their span, some null, by a key of text and numbers."""
+    k = F.col("o_orderkey")
+    skewed = table(spark, sf_dir, "orders").withColumns({"o_orderkey": F.when(k % 10 == 3, k * 1000).otherwise(k), "o_orderstatus": F.when(k % 10 != 7, "it's").otherwise("P"), "o_custkey": F.when(k % 10 != 7, F.col("o_custkey"))})
+    return _lower(tables.read_jdbc(spark, _database(spark, skewed, createTableColumnTypes="O_ORDERSTATUS VARCHAR(20)"), "orders", ["O_ORDERSTATUS", "O_ORDERKEY", "O_CUSTKEY"], "o_totalprice > 100000", partitions=8))
+
+
 def jdbc_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = _database(spark, target_orders(spark, sf_dir))
     merge.upsert_jdbc(spark, _upper(delta_orders(spark, sf_dir)), url, "orders", ["O_ORDERKEY"])
@@ -358,6 +378,8 @@ ENTRIES = {
         UNION ALL SELECT 'events', max(ts), TIMESTAMP '2030-01-01', 0 FROM events UNION ALL SELECT 'lines', max(l_shipdate), NULL, count(l_shipdate) FROM lineitem"""),
     "jdbc_range_scan": (jdbc_range_scan, f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders WHERE o_totalprice > 100000"),
     "jdbc_replace_content": (jdbc_replace_content, f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders"),
+    "jdbc_failed_replace": (jdbc_failed_replace, with_tables(_DRIFT, f"SELECT {', '.join(ORDER_COLUMNS)} FROM tgt_orders")),
+    "jdbc_split_scan": (jdbc_split_scan, "SELECT CASE WHEN o_orderkey % 10 = 3 THEN o_orderkey * 1000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 10 <> 7 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 10 <> 7 THEN 'it''s' ELSE 'P' END AS o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 100000"),
     "jdbc_upsert": (jdbc_upsert, with_tables(_PAIR, f"SELECT {', '.join(ORDER_COLUMNS)} FROM delta_orders UNION ALL SELECT {', '.join(ORDER_COLUMNS)} FROM tgt_orders t WHERE NOT EXISTS (SELECT 1 FROM delta_orders d WHERE d.o_orderkey = t.o_orderkey)")),
     "append_rows": (append_rows, with_tables(_PAIR, "SELECT * FROM tgt_orders UNION ALL SELECT * FROM delta_orders")),
     "partition_upsert": (partition_upsert, with_tables(_PAIR, """

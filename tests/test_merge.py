@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plyweave.operators import compare, merge
+from plyweave.sources import tables
 
 SCHEMA = "k int, v string, n int"
 rows = st.lists(st.tuples(st.integers(0, 8), st.sampled_from(["a", "b", None]), st.integers(0, 3)), max_size=8, unique_by=lambda r: r[0])
@@ -135,3 +136,101 @@ def test_small_delta_is_broadcast(spark, tmp_path):
     merged = merge.upsert(spark.read.parquet(path), spark.read.parquet(f"{path}-delta"), ["id"])
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def database(spark, name, rows, schema="K int, N int"):
+    url = f"jdbc:derby:memory:{name};create=true"
+    merge.append_jdbc(spark.createDataFrame(rows, schema), url, "T")
+    return url, lambda table="T": sorted(tuple(r) for r in spark.read.format("jdbc").options(url=url, dbtable=table).load().collect())
+
+
+def tables_of(spark, url):
+    names = spark.read.format("jdbc").options(url=url, query="SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T'").load().collect()
+    return sorted(r[0] for r in names)
+
+
+def broken(spark):
+    """Of 1,000 rows a quarter fails, the last task's."""
+    df = spark.range(0, 1000, 1, 4).selectExpr("cast(id as int) AS K", "cast(id as int) AS N")
+    return df.withColumn("N", F.when(F.col("K") < 750, F.col("N")).otherwise(F.raise_error(F.lit("boom")).cast("int")))
+
+
+def test_a_failed_replacement_leaves_all_rows(spark):
+    rows = [(i, -i) for i in range(1000)]
+    url, read = database(spark, "atomic", rows)
+    with pytest.raises(Exception, match="boom"):
+        merge.replace_content(spark, broken(spark), url, "T")
+    assert read() == rows and tables_of(spark, url) == ["T"]
+    # The load succeeds, the transaction doesn't: a text that the table's column can't take.
+    with pytest.raises(Exception, match="(?i)invalid|convert|type"):
+        merge.replace_content(spark, spark.createDataFrame([(1, "x")], "K int, N string"), url, "T")
+    assert read() == rows and tables_of(spark, url) == ["T"]
+    merge.replace_content(spark, spark.createDataFrame([(5, 6)], "K int, N int"), url, "T")
+    assert read() == [(5, 6)] and tables_of(spark, url) == ["T"]
+
+
+def test_staging_meets_no_other_table(spark):
+    url, read = database(spark, "staging", [(1, 1)])
+    merge.append_jdbc(spark.createDataFrame([(9, 9)], "K int, N int"), url, "T_staging")
+    merge.upsert_jdbc(spark, spark.createDataFrame([(1, 2), (3, 3)], "K int, N int"), url, "T", ["K"])
+    assert read() == [(1, 2), (3, 3)] and read("T_staging") == [(9, 9)]
+    with pytest.raises(ValueError, match="2 keys exist already"):
+        merge.upsert_jdbc(spark, spark.createDataFrame([(1, 7), (3, 7), (4, 7)], "K int, N int"), url, "T", ["K"], "error")
+    assert read() == [(1, 2), (3, 3)] and tables_of(spark, url) == ["T", "T_STAGING"]
+
+
+def test_the_first_error_is_told(spark):
+    url, _ = database(spark, "first", [(1, 1)])
+    with pytest.raises(Exception, match="boom") as caught:
+        merge.upsert_jdbc(spark, broken(spark), url, "T", ["K"])
+    assert "DROP TABLE" not in str(caught.value)
+    with pytest.raises(Exception, match="(?i)driver|suitable"):
+        merge.upsert_jdbc(spark, spark.createDataFrame([(1, 1)], "K int, N int"), "jdbc:nowhere:x", "T", ["K"])
+
+
+def test_ranges_have_equally_many_rows(spark):
+    """90 % of the rows in 1 % of the keys' span: no task reads over twice the mean, and none is lost."""
+    rows = [(i, i) for i in range(9000)] + [(900_000 + 900 * i, i) for i in range(900)] + [(None, i) for i in range(100)]
+    url, _ = database(spark, "spread", rows)
+    for key in ("K", ["K", "N"]):
+        df = tables.read_jdbc(spark, url, "T", key, partitions=8)
+        sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(sizes) == 8 and max(sizes) < 2 * 10_000 / 8
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(rows, key=str)
+    assert tables.read_jdbc(spark, url, "T", "K", "K < 10", partitions=8).count() == 10
+
+
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [("string", "concat(char(39), char(65 + id % 50), id)"), ("timestamp", "timestamp_seconds(id * 7777.5)"), ("date", "date_add(date'2000-01-01', cast(id as int))"), ("decimal(12,3)", "id / 8"), ("double", "id / 7 - 9")],
+)
+def test_keys_of_other_types_split(spark, kind, value):
+    df = spark.range(400).selectExpr(f"cast({value} as {kind}) AS K", "cast(id as int) AS N")
+    url = f"jdbc:derby:memory:kind{kind[:4]};create=true"
+    merge.append_jdbc(df, url, "T", **({"createTableColumnTypes": "K VARCHAR(40)"} if kind == "string" else {}))
+    got = tables.read_jdbc(spark, url, "T", ["K", "N"], partitions=5)
+    assert got.rdd.getNumPartitions() == 5
+    assert sorted(r["N"] for r in got.collect()) == list(range(400))
+
+
+def test_one_value_is_one_range(spark):
+    url, _ = database(spark, "onevalue", [(7, i) for i in range(50)])
+    got = tables.read_jdbc(spark, url, "T", "K", partitions=4)
+    assert got.rdd.getNumPartitions() == 1 and got.count() == 50
+    assert tables.range_predicates(["a", "b"], [("1", "'x'")]) == ["(a IS NULL OR b IS NULL OR (a < 1 OR (a = 1 AND b < 'x')))", "(a IS NOT NULL AND b IS NOT NULL AND NOT (a < 1 OR (a = 1 AND b < 'x')))"]
+
+
+def test_mirror_by_row_level_merge_is_asked_of_the_source(spark):
+    spark.range(3).selectExpr("id AS k", "'a' AS v").write.mode("overwrite").saveAsTable("plain_mirror")
+    with pytest.raises(Exception, match="(?i)merge"):
+        merge.mirror_into(spark.createDataFrame([(1, "b")], "k long, v string"), "plain_mirror", ["k"])
+
+
+def test_rows_of_a_delta_with_different_keys_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "big")
+    spark.range(20_000).select("id", F.lit("x").alias("v")).write.parquet(path)
+    spark.range(50).select("id", F.lit("y").alias("v")).write.parquet(f"{path}-delta")
+    merged = merge.upsert(spark.read.parquet(path), spark.read.parquet(f"{path}-delta"), ["id"])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "+- Sort" not in plan and "hashpartitioning(id#" in plan
+    assert merged.filter("v = 'y'").count() == 50
