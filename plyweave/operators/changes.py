@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plyweave.operators.merge import latest_per_key, upsert
+from plyweave.sources import files
 from plyweave.sources.tables import predicate
-from plyweave.sources.versioned import VersionedTable, read_if_there
+from plyweave.sources.versioned import VersionedTable
 
 # Names of tracking columns, best first; those of one line rank alike.
 TRACKING = [["updated_at"], ["modified_at"], ["last_modified"], ["update_time", "modify_time"]]
@@ -77,22 +81,51 @@ def sync_lag(tables: dict[str, tuple[DataFrame, str]], checkpoints: DataFrame, k
 
 
 class Checkpoints:
-    """Marks by mapping, in an append-only Parquet table of which the latest row counts."""
+    """Marks by mapping, for what has no commit of its own and for comparing many mappings (`sync_lag`).
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    A mark is a small file, made only if there is none of its number, so of two writers one sees the other's mark and
+    begins again; a mark never moves back. Each write removes all but the last two files of its mapping.
+    """
 
-    def all(self) -> DataFrame:
-        rows = read_if_there(self.spark, self.path, _CHECKPOINT)
-        return latest_per_key(rows, ["mapping_id"], "updated_at", ["hi_ts", "hi_id"])
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
 
-    def get(self, mapping_id: str):
-        return self.all().filter(F.col("mapping_id") == mapping_id).first()
+    def _folder(self, mapping_id: str) -> str:
+        return f"{self.path}/{hashlib.sha256(mapping_id.encode()).hexdigest()[:32]}"
 
-    def put(self, mapping_id: str, column: str, kind: str, hi) -> None:
-        row = [(mapping_id, column, kind, hi if kind == "ts" else None, None if kind == "ts" else hi)]
-        df = self.spark.createDataFrame(row, "mapping_id string, column string, kind string, hi_ts timestamp_ntz, hi_id long")
-        df.withColumn("updated_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self.path)
+    def all(self) -> DataFrame:
+        """The last mark of each mapping."""
+        rows = self.spark.createDataFrame([], f"{_CHECKPOINT}, number long")
+        if files.exists(self.spark, self.path):
+            stored = self.spark.read.schema(f"{_CHECKPOINT}, number long").option("recursiveFileLookup", "true").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(self.path)
+            rows = rows.unionByName(stored)
+        return latest_per_key(rows, ["mapping_id"], "number").drop("number")
+
+    def _last(self, mapping_id: str) -> tuple[int, dict | None]:
+        found = files.names(self.spark, self._folder(mapping_id))
+        return (int(found[-1].split(".")[0]), json.loads(files.read(self.spark, f"{self._folder(mapping_id)}/{found[-1]}"))) if found else (-1, None)
+
+    def get(self, mapping_id: str) -> dict | None:
+        """mapping_id, column, kind, hi_ts and hi_id of the last mark."""
+        row = self._last(mapping_id)[1]
+        return row and row | {"hi_ts": row["hi_ts"] and dt.datetime.fromisoformat(row["hi_ts"])}
+
+    def put(self, mapping_id: str, column: str, kind: str, hi, back: bool = False) -> None:
+        """Move the mark to `hi`, unless it is there or further already. `back` moves it anyway, so that rows are pulled again."""
+        while True:
+            number, old = self._last(mapping_id)
+            text = hi.isoformat(timespec="microseconds") if kind == "ts" else None
+            if old and not back and (old["column"], old["kind"]) == (column, kind) and (old["hi_ts"] >= text if kind == "ts" else old["hi_id"] >= hi):
+                return
+            row = {"mapping_id": mapping_id, "column": column, "kind": kind, "hi_ts": text, "hi_id": None if kind == "ts" else hi, "number": number + 1}
+            row["updated_at"] = dt.datetime.now(dt.timezone.utc).isoformat(timespec="milliseconds")
+            try:
+                files.create(self.spark, f"{self._folder(mapping_id)}/{number + 1:012d}.json", json.dumps(row))
+            except files.Conflict:
+                continue
+            for name in files.names(self.spark, self._folder(mapping_id))[:-2]:
+                files.delete(self.spark, f"{self._folder(mapping_id)}/{name}")
+            return
 
 
 @dataclass
@@ -107,27 +140,38 @@ def incremental_sync(source: DataFrame, target: VersionedTable, keys: list[str],
     """Pull what changed since the mapping's mark, merge it by key, then store the new mark.
 
     The new mark is the source's largest tracking value before anything is read, so rows that are committed meanwhile
-    come next time. Without a mark, or without a target, all filtered rows up to it replace the target. The mark is
-    stored last: a crash before that repeats the same keyed merge. `overlap` (an interval such as "10 minutes") reads
-    that much before the mark again, for rows that were committed late; merged by key they do no harm.
+    come next time. Without a mark, or without a target, all filtered rows up to it replace the target. The mark is a part
+    of the data's commit: both are there or neither, and of two syncs that start from one version the second fails, so
+    it can't set the mark back. `checkpoints` gets it afterwards, for reports; its mark is used where the target has none. `overlap` (an
+    interval such as "10 minutes") reads that much before the mark again, for rows that were committed late; merged by key they do no harm.
 
     Of several versions of a key the latest stays, by the tracking value, then `tiebreak`, then the other columns;
     `versions` off says that the source has each key once, which saves the full load a shuffle. A target with buckets
     is rewritten only where the delta has keys.
     """
     column, kind = tracking_column(source.schema, id_column)
-    hi, mark, now = high_water_mark(source, column).first()["hi"], checkpoints.get(mapping_id), target.current()
+    hi, now = high_water_mark(source, column).first()["hi"], target.current()
     if hi is None and now is not None:
         return SyncResult("nothing", 0, None, None)
-    lo = None if mark is None else mark["hi_ts"] if kind == "ts" else mark["hi_id"]
+    lo = _mark(target.mark(mapping_id), column, kind)
+    if lo is None and (kept := checkpoints.get(mapping_id)):
+        lo = kept["hi_ts"] if kind == "ts" else kept["hi_id"]
+    top = hi if lo is None or now is None else max(hi, lo)
+    marks = {} if top is None else {mapping_id: {"column": column, "kind": kind, "hi": top.isoformat() if kind == "ts" else top}}
     if lo is None or now is None:
         rows = source.filter(predicate(where)) if hi is None else source.filter((F.col(column).isNull() | (F.col(column) <= F.lit(hi))) & predicate(where))
-        n = target.publish(latest_per_key(rows, keys, column, tiebreak) if versions else rows)
-        if hi is not None:
-            checkpoints.put(mapping_id, column, kind, hi)
-        return SyncResult("full", n, None, hi)
-    since = F.lit(lo) - F.expr(f"INTERVAL {overlap}") if overlap and kind == "ts" else F.lit(lo)
-    delta = pull_changes(source, column, since, F.lit(hi), where)
-    n = target.merge(delta, lambda rows, changed: upsert(rows, changed, keys, policy, column, tiebreak))
-    checkpoints.put(mapping_id, column, kind, max(hi, lo))
-    return SyncResult("incremental", n, lo, hi)
+        mode, lo, n = "full", None, target.publish(latest_per_key(rows, keys, column, tiebreak) if versions else rows, marks=marks)
+    else:
+        since = F.lit(lo) - F.expr(f"INTERVAL {overlap}") if overlap and kind == "ts" else F.lit(lo)
+        delta = pull_changes(source, column, since, F.lit(hi), where)
+        mode, n = "incremental", target.merge(delta, lambda rows, changed: upsert(rows, changed, keys, policy, column, tiebreak), marks=marks)
+    if top is not None:
+        checkpoints.put(mapping_id, column, kind, top)
+    return SyncResult(mode, n, lo, hi)
+
+
+def _mark(stored: dict | None, column: str, kind: str):
+    """What a commit has as the mark of this column, as a value."""
+    if not stored or (stored["column"], stored["kind"]) != (column, kind):
+        return None
+    return dt.datetime.fromisoformat(stored["hi"]) if kind == "ts" else stored["hi"]

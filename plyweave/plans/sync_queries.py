@@ -14,7 +14,7 @@ from plyweave.plans import run
 from plyweave.plans.fixtures import mappings, source_orders, table, target_orders, with_tables
 from plyweave.sources import tables
 from plyweave.sources.versioned import VersionedTable
-from plyweave.streaming.continuous import continuous_sync
+from plyweave.streaming.continuous import continuous_sync, take_batch
 
 KEYS = ["o_orderkey"]
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -144,6 +144,47 @@ def jdbc_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lower(tables.read_jdbc(spark, url, "orders", "O_ORDERKEY", partitions=4))
 
 
+def mirror_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of 64 buckets made equal to its source, from which a fiftieth of the keys differ by changes, deletes and inserts."""
+    return _mirrored(spark, sf_dir)[0].current()
+
+
+def mirror_bucket_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(_mirrored(spark, sf_dir)[1].items()), "action string, n_rows long")
+
+
+def _mirrored(spark: SparkSession, sf_dir: str) -> tuple[VersionedTable, dict[str, int]]:
+    source, k = source_orders(spark, sf_dir), F.col("o_orderkey")
+    target = VersionedTable(spark, f"{work_dir(spark)}/orders", KEYS, 64)
+    stale = source.withColumn("o_totalprice", F.when(k % 150 == 1, F.col("o_totalprice") + 0.001).otherwise(F.col("o_totalprice")))
+    target.publish(stale.filter("o_orderkey % 150 <> 2").unionByName(source.filter("o_orderkey % 150 = 3").withColumn("o_orderkey", k + 10_000_000)))
+    return target, target.mirror(source)
+
+
+def range_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of growing events into a table of 16 ranges of their id, the newest of which are cut as they grow."""
+    root, events = work_dir(spark), table(spark, sf_dir, "events")
+    target, marks = VersionedTable(spark, f"{root}/events", ["event_id"], 16, "range"), changes.Checkpoints(spark, f"{root}/checkpoints")
+    most = events.agg(F.max("event_id")).first()[0]
+    for share in (0.4, 0.6, 1.0):
+        changes.incremental_sync(events.filter(F.col("event_id") <= int(most * share)), target, ["event_id"], marks, "events", id_column="event_id", versions=False)
+    return target.current()
+
+
+def marks_with_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last commits of two synced tables have as marks, and the checkpoints have too."""
+    root = work_dir(spark)
+    marks, rows = changes.Checkpoints(spark, f"{root}/checkpoints"), []
+    for name, df, keys, id_column in (("orders", source_orders(spark, sf_dir), KEYS, None), ("events", table(spark, sf_dir, "events"), ["event_id"], "event_id")):
+        target = VersionedTable(spark, f"{root}/{name}", keys, 4)
+        for part in (df.filter(F.col(keys[0]) % 3 == 0), df):
+            changes.incremental_sync(part, target, keys, marks, name, id_column=id_column)
+        mark = target.mark(name)
+        rows.append((name, mark["column"], mark["kind"], str(mark["hi"]).replace("T", " "), target.current().count()))
+    kept = marks.all().select(F.col("mapping_id").alias("table"), F.coalesce(F.col("hi_id").cast("string"), F.col("hi_ts").cast("string")).alias("hi_kept"))
+    return spark.createDataFrame(rows, "table string, column string, kind string, hi string, n_rows long").join(kept, "table")
+
+
 def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_dir(spark)}/orders"
     for rows in (target_orders(spark, sf_dir), delta_orders(spark, sf_dir)):
@@ -171,13 +212,18 @@ def bucketed_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A copy that succeeds and one that fails, by their counts."""
-    path, rows = work_dir(spark), []
-    writes = {"copied": lambda df: df.write.parquet(f"{path}/copy"), "broken": lambda df: df.withColumn("x", F.raise_error(F.lit("boom"))).write.parquet(f"{path}/broken")}
+    """A copy by four tasks that succeeds, and one of which a task fails, by their counts and by the rows that this task has not written."""
+    path, key = work_dir(spark), F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").repartitionById(4, (key % 4).cast("int"))
+    broken = F.when(key % 4 == 2, F.raise_error(F.lit("boom")).cast("long")).otherwise(key)
+    writes = {"copied": lambda df: df.write.parquet(f"{path}/copy"), "broken": lambda df: df.withColumn("o_custkey", broken).write.parquet(f"{path}/broken")}
+    rows = []
     for name, write in writes.items():
-        seen = run.copy_metrics(table(spark, sf_dir, "orders"), write, "o_totalprice > 100000", 1000)
-        rows.append((name, *[seen[c] for c in ("total_rows", "filtered_rows", "processed_rows", "failed_rows", "batches")], seen["error"] is not None))
-    return spark.createDataFrame(rows, "copy string, total_rows long, filtered_rows long, processed_rows long, failed_rows long, batches long, has_error boolean")
+        seen = run.copy_metrics(orders, write, "o_totalprice > 100000", "o_orderkey")
+        lost = [t for t in seen["tasks"] if t["status"] == "FAILED"]
+        whole = [seen[c] for c in ("processed_rows", "failed_rows", "batches")] if not lost else [None] * 3
+        rows.append((name, seen["total_rows"], seen["filtered_rows"], *whole, seen["error"] is not None, *([lost[0][c] for c in ("task", "failed_rows", "first_key", "last_key")] if lost else [None] * 4)))
+    return spark.createDataFrame(rows, "copy string, total_rows long, filtered_rows long, processed_rows long, failed_rows long, batches long, has_error boolean, task long, task_rows long, first_key long, last_key long")
 
 
 def upsert_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +360,7 @@ def chunk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds: a full one over what there was by 1999, then the changes since."""
     root, source = work_dir(spark), source_orders(spark, sf_dir)
-    target, marks = VersionedTable(spark, f"{root}/orders"), changes.Checkpoints(spark, f"{root}/checkpoints")
+    target, marks = VersionedTable(spark, f"{root}/orders", KEYS, 8), changes.Checkpoints(spark, f"{root}/checkpoints")
     early = source.filter(F.col("updated_at") <= F.lit("1999-01-01").cast("timestamp_ntz"))
     early = early.withColumn("o_totalprice", F.col("o_totalprice") + 1)
     for rows in (early, source):
@@ -332,11 +378,34 @@ def sync_tables_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.groupBy("mapping_id", "status", "mode").agg(F.count(F.lit(1)).alias("n_runs"), F.max("n_rows").alias("n_rows"))
 
 
+def sync_tables_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six mappings, three at a time, their keys, buckets and ranges from the plan; two rounds over growing tables; what each has in the end."""
+    root, stamp = work_dir(spark), F.lit("2024-01-01").cast("timestamp_ntz")
+    kinds = [("orders", "incremental", ["o_orderkey"], 8, "hash"), ("events", "incremental", ["event_id"], 8, "range"), ("part", "full", ["p_partkey"], 4, "hash"), ("customer", "full", ["c_custkey"], 0, None), ("nowhere", "full", ["x"], 2, "hash"), ("supplier", "full", ["s_suppkey"], 3, "range")]
+    plan = spark.createDataFrame([(f"m{i}", k[0], f"{k[0]}_copy", k[1], k[2], None, True, i, k[3], k[4]) for i, k in enumerate(kinds)], "mapping_id string, source_table string, target_table string, sync_mode string, keys array<string>, where_clause string, enabled boolean, sort_order int, buckets int, layout string").withColumn("created_at", stamp)
+    ids = {"m0": "o_orderkey", "m1": "event_id"}
+    for r in ("r1", "r2"):
+        read = lambda name, r=r: table(spark, sf_dir, name).filter("o_orderkey % 4 <> 0" if r == "r1" and name == "orders" else "true")
+        report = run.sync_tables(plan, read, root, r, id_columns=ids, at_once=3)
+    sizes = [(f"m{i}", VersionedTable(spark, f"{root}/tables/{k[0]}_copy").current().count()) for i, k in enumerate(kinds) if k[0] != "nowhere"]
+    found = report.select("position", "mapping_id", "status", "mode", "n_rows")
+    return found.join(spark.createDataFrame(sizes, "mapping_id string, in_target long"), "mapping_id", "left")
+
+
+def replayed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in four batches of a stream, each delivered twice, as after a crash, under the policy that refuses keys that exist."""
+    events, target = table(spark, sf_dir, "events"), VersionedTable(spark, f"{work_dir(spark)}/events", ["event_id"], 4)
+    for number in (0, 1, 1, 0, 2, 3, 3):
+        take_batch(target, events.filter(F.col("event_id") % 4 == number), ("stream", number), ["event_id"], "ts", policy="error", only_newer=False)
+    versions = target.commits().select("version").distinct().count()
+    return target.current().groupBy((F.col("event_id") % 4).alias("batch")).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_versions", F.lit(versions).cast("long"))
+
+
 def continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, merged by user and type: the latest of each stays."""
     root, events = work_dir(spark), table(spark, sf_dir, "events")
     events.repartition(4, "event_id").write.parquet(f"{root}/in")
-    target = VersionedTable(spark, f"{root}/latest")
+    target = VersionedTable(spark, f"{root}/latest", ["user_id", "event_type"], 8)
     query = continuous_sync(spark, f"{root}/in", events.schema, target, f"{root}/checkpoint", ["user_id", "event_type"], "ts", ["event_id"], files_per_batch=2)
     query.awaitTermination()
     return target.current()
@@ -389,10 +458,20 @@ ENTRIES = {
     "bucketed_sync": (bucketed_sync, """
         SELECT * RENAME (l_shipdate AS updated_at) FROM lineitem
         QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1"""),
+    "mirror_buckets": (mirror_buckets, with_tables(["src_orders"], "SELECT * FROM src_orders")),
+    "mirror_bucket_actions": (mirror_bucket_actions, """
+        SELECT * FROM (
+          SELECT CASE o_orderkey % 150 WHEN 1 THEN 'update' WHEN 2 THEN 'insert' ELSE 'keep' END AS action, count(*) AS n_rows FROM orders GROUP BY 1
+          UNION ALL SELECT 'delete', count(*) FROM orders WHERE o_orderkey % 150 = 3) WHERE n_rows > 0"""),
+    "range_sync": (range_sync, "SELECT * FROM events"),
+    "marks_with_data": (marks_with_data, """
+        SELECT 'orders' AS "table", 'updated_at' AS "column", 'ts' AS kind, max(o_orderdate)::VARCHAR AS hi, count(*) FILTER (o_orderkey % 3 = 0 OR o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 3 = 0)) AS n_rows, max(o_orderdate)::VARCHAR AS hi_kept FROM orders
+        UNION ALL SELECT 'events', 'event_id', 'id', max(event_id)::VARCHAR, count(*) FILTER (event_id % 3 = 0 OR event_id > (SELECT max(event_id) FROM events WHERE event_id % 3 = 0)), max(event_id)::VARCHAR FROM events"""),
     "copy_counts": (copy_counts, """
         SELECT 'copied' AS copy, count(*) AS total_rows, count(*) FILTER (o_totalprice <= 100000) AS filtered_rows, count(*) FILTER (o_totalprice > 100000) AS processed_rows, 0::BIGINT AS failed_rows,
-               (count(*) FILTER (o_totalprice > 100000) + 999) // 1000 AS batches, false AS has_error FROM orders
-        UNION ALL SELECT 'broken', count(*), count(*) FILTER (o_totalprice <= 100000), 0, count(*) FILTER (o_totalprice > 100000), (count(*) FILTER (o_totalprice > 100000) + 999) // 1000, true FROM orders"""),
+               4::BIGINT AS batches, false AS has_error, NULL::BIGINT AS task, NULL::BIGINT AS task_rows, NULL::BIGINT AS first_key, NULL::BIGINT AS last_key FROM orders
+        UNION ALL SELECT 'broken', count(*), count(*) FILTER (o_totalprice <= 100000), NULL, NULL, NULL, true, 2, count(*) FILTER (o_totalprice > 100000 AND o_orderkey % 4 = 2),
+               min(o_orderkey) FILTER (o_totalprice > 100000 AND o_orderkey % 4 = 2), max(o_orderkey) FILTER (o_totalprice > 100000 AND o_orderkey % 4 = 2) FROM orders"""),
     "upsert_overwrite": (upsert_overwrite, with_tables(_PAIR, "SELECT * FROM delta_orders UNION ALL SELECT * FROM tgt_orders t WHERE NOT EXISTS (SELECT 1 FROM delta_orders d WHERE d.o_orderkey = t.o_orderkey)")),
     "upsert_skip": (upsert_skip, with_tables(_PAIR, "SELECT * FROM tgt_orders UNION ALL SELECT * FROM delta_orders d WHERE NOT EXISTS (SELECT 1 FROM tgt_orders t WHERE d.o_orderkey = t.o_orderkey)")),
     "upsert_collisions": (upsert_collisions, with_tables(_PAIR, "SELECT o_orderkey FROM delta_orders WHERE o_orderkey IN (SELECT o_orderkey FROM tgt_orders)")),
@@ -442,5 +521,11 @@ ENTRIES = {
     "sync_tables_report": (sync_tables_report, """
         SELECT 'm1' AS mapping_id, 'completed' AS status, 'full' AS mode, 1::BIGINT AS n_runs, count(*) AS n_rows FROM nation
         UNION ALL SELECT 'm2', 'failed', 'full', 2, 0 UNION ALL SELECT 'm3', 'completed', 'full', 1, count(*) FROM orders WHERE o_totalprice > 100000"""),
+    "sync_tables_at_once": (sync_tables_at_once, """
+        SELECT 0 AS position, 'm0' AS mapping_id, 'completed' AS status, 'incremental' AS mode, count(*) FILTER (o_orderkey > (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 4 <> 0)) AS n_rows,
+               count(*) FILTER (o_orderkey % 4 <> 0 OR o_orderkey > (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 4 <> 0)) AS in_target FROM orders
+        UNION ALL SELECT 1, 'm1', 'completed', 'incremental', 0, count(*) FROM events UNION ALL SELECT 2, 'm2', 'completed', 'full', count(*), count(*) FROM part
+        UNION ALL SELECT 3, 'm3', 'completed', 'full', count(*), count(*) FROM customer UNION ALL SELECT 4, 'm4', 'failed', 'full', 0, NULL UNION ALL SELECT 5, 'm5', 'completed', 'full', count(*), count(*) FROM supplier"""),
+    "replayed_batches": (replayed_batches, "SELECT event_id % 4 AS batch, count(*) AS n_rows, 4::BIGINT AS n_versions FROM events GROUP BY 1"),
     "continuous_sync": (continuous, "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,15 +30,26 @@ def merge_batch(target: DataFrame | None, batch: DataFrame, keys: list[str], ord
 def continuous_sync(spark: SparkSession, source: str, schema: T.StructType, target: VersionedTable, checkpoint: str, keys: list[str], order_by: str, tiebreak: list[str] | None = None, policy: str | None = None, only_newer: bool = True, files_per_batch: int = 1000, once: bool = True) -> StreamingQuery:
     """Follow the Parquet files of `source` and merge them into `target`.
 
-    Delivery is at least once; the merge is by key, so a repeated batch changes nothing. A target with buckets is
-    rewritten only where a batch has keys; `target.vacuum` removes old versions. once: end when all files that
-    are there have been taken (the scheduled form); else keep running.
+    Each batch makes one version at most: the commit says which batch of which stream it has, so a batch that is
+    delivered again (the stream ended after the commit, before it noted that) is left out, whatever the policy. The batch is read
+    once and kept while it is merged. A target with buckets is rewritten only where a batch has keys; `target.vacuum` removes old
+    versions. once: end when all files that are there have been taken (the scheduled form); else keep running.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            target.merge(batch, lambda now, rows: merge_batch(now, rows, keys, order_by, tiebreak, policy, only_newer))
+    def merge(batch: DataFrame, number: int) -> None:
+        # The query's own id: it stays as long as its checkpoint, and a new checkpoint begins a new one.
+        name = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        take_batch(target, batch, (name, number), keys, order_by, tiebreak, policy, only_newer)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def take_batch(target: VersionedTable, batch: DataFrame, number: tuple[str, int], keys: list[str], order_by: str, tiebreak: list[str] | None = None, policy: str | None = None, only_newer: bool = True) -> int:
+    """Merge a batch, named by its stream and number, once; returns its rows, 0 if the table has had it."""
+    kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return target.merge(kept, lambda now, rows: merge_batch(now, rows, keys, order_by, tiebreak, policy, only_newer), batch=number)
+    finally:
+        kept.unpersist()
