@@ -6,8 +6,10 @@ counted over a host's distinct pages in Spark (copies of a page are one vote), a
 
 1. Content that at least `least_pages` and a `share` of a host's pages have is template. Inside an article or main element only boxes
    (divisions, lists, tables and the like) are, counted over distinct articles: passages that a site's articles share are text.
-2. What is left over tells where a host's content is: the deepest box whose place in the page holds `left_over` of all characters.
-3. Beside that box, every subtree whose shape `least_pages` of the host's pages have is template, whatever it says.
+2. What is left over tells where a host's content is: the deepest box whose place in the page holds `least_left` of all characters.
+3. Beside that box, a subtree goes by its shape, whatever it says, if `least_pages` of the host's pages have the shape and what they have in it
+   reads like a template: the same on most pages, or mostly links, or a few words that are no sentence. Prose that differs
+   from page to page (a lead before the text, a question before its answer) stays.
 
 Counts can't tell about hosts of few pages, pages without the box, subtrees of rare shapes and what stands inside the box.
 There a prior decides: an article or main element is the content, and the names below are none. What HTML's own elements
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Container, Iterator
 from urllib.parse import urlsplit
 
@@ -48,6 +51,10 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
+_SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"')\]\u201d\u2019\u00bb]*(?:\s|\Z)")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A few words: what the elements of a shape have on average at most, without links, if they are no text.
+FEW_WORDS = 5
 #: What marks the hash of the place of a host's content, and that of a shape, among hashes of subtrees.
 _CONTENT, _SHAPE = "content ", "shape "
 
@@ -202,6 +209,30 @@ class Page:
                 below[block[i]].append(shape[i])
         return [(i, x) for i, x in enumerate(shape) if self.tags[i] not in _PROSE and self.tags[i] not in ("html", "body", "head")]
 
+    def said(self) -> dict[int, tuple[int, int, int, bool]]:
+        """For each shape what its elements say: hash of their text, words, those of them in links, and whether there is a sentence or a heading."""
+        count, begins = len(self.runs), [r[1] for r in self.runs]
+        link, heads = [], [0]
+        for tag, up in zip(self.tags, self.parent, strict=True):
+            link.append(tag == "a" or up >= 0 and link[up])
+            heads.append(heads[-1] + (tag in _HEADINGS))
+        words, linked, ends, hashes = [0], [0], [0], []
+        for element, start, end, _ in self.runs:
+            text = entities.unescape(" ".join(self.source[start:end].split())) if not (element >= 0 and self.tags[element] in _RAW) else ""
+            n = text.count(" ") + 1 if text else 0
+            words.append(words[-1] + n)
+            linked.append(linked[-1] + (n if element >= 0 and link[element] else 0))
+            ends.append(ends[-1] + (1 if _SENTENCE_END.search(text) else 0))
+            hashes.append(text)
+        out: dict[int, tuple[int, int, int, bool]] = {}
+        for i, shape in self.shapes():
+            a, b = bisect_left(begins, self.begin[i]), bisect_left(begins, self.end[i], hi=count)
+            inner = bisect_left(self.begin, self.end[i])
+            had = out.get(shape, (0, 0, 0, False))
+            text = hash_of(f"{had[0]} " + " ".join(t for t in hashes[a:b] if t))
+            out[shape] = (text, had[1] + words[b] - words[a], had[2] + linked[b] - linked[a], had[3] or ends[b] > ends[a] or heads[inner] > heads[i])
+        return out
+
     def content_places(self) -> list[tuple[int, int]]:
         """(element, hash of its place) of what may be a host's content: boxes, article and main elements, but not those in an article or main element."""
         may = ((i, tag, self.parent[i]) for i, tag in enumerate(self.tags))
@@ -212,38 +243,29 @@ class Page:
         outer = [i for i in range(len(self.tags)) if self.main[i] and (self.parent[i] < 0 or not self.main[self.parent[i]])]
         return hash_of(" ".join(" ".join(self.source[self.begin[i] : self.end[i]].split()) for i in outer))
 
-    def left_over(self, of_site: Container[int]) -> dict[int, tuple[int, int]]:
-        """Characters that are left at each place that may be a host's content, and its depth, without the site's and the prior's; 0 is the whole page."""
-        site = {i for i, tree in self.subtrees() if tree in of_site}
-        gone = self._gone(lambda i: self.named[i] or i in site)
-        own, depth, total = [0] * len(self.tags), [], 0
-        for up in self.parent:
-            depth.append(depth[up] + 1 if up >= 0 else 1)
+    def skeleton(self) -> list[tuple[int, int | None, bool, int, int | None]]:
+        """(parent, subtree's hash, whether it goes by HTML or the prior, characters of its own, its place if it may be the content) of each element.
+
+        The first is the whole page; parents are counted from there.
+        """
+        tree, place = dict(self.subtrees()), dict(self.content_places())
+        own = [0] * (len(self.tags) + 1)
         for element, start, end, _ in self.runs:
-            if element < 0 or not gone[element]:
-                size = sum(map(len, self.source[start:end].split()))
-                total += size
-                if element >= 0:
-                    own[element] += size
-        for i in range(len(self.tags) - 1, -1, -1):
-            if self.parent[i] >= 0:
-                own[self.parent[i]] += own[i]
-        out = {0: (total, 0)}
-        for i, at in self.content_places():
-            if own[i]:
-                out[at] = (out.get(at, (0, 0))[0] + own[i], depth[i])
+            own[element + 1] += sum(map(len, self.source[start:end].split()))
+        out: list[tuple[int, int | None, bool, int, int | None]] = [(-1, None, False, own[0], None)]
+        out += [(self.parent[i] + 1, tree.get(i), self.no_text[i] or self.named[i], own[i + 1], place.get(i)) for i in range(len(self.tags))]
         return out
 
-    def text(self, template: Callable[[int], bool] = lambda i: False, of_site: Container[int] = frozenset(), by_counts: bool = True) -> str:
+    def text(self, template: Callable[[int], bool] = lambda i: False, of_site: Container[int] = frozenset()) -> str:
         """Blocks of main text, one a line.
 
-        template(element) tells which elements are the site's by their content. of_site holds the shapes that recur on
-        the site and the place of its content; without `by_counts` no element goes because of its shape. Boxes of an
-        article stay if nothing would be left without them.
+        template(element) tells which elements are the site's by their content. of_site holds the shapes that are
+        the site's and the place of its content. Boxes of an article stay if nothing would be left without them. Without both
+        the prior decides alone.
         """
         content, gone = [i for i, at in self.content_places() if at in of_site] if of_site else [], self._gone(template)
         known = any(not gone[i] for i in content)
-        found = self._beside(content, template, of_site, by_counts) if known else self._by_prior(template)
+        found = self._beside(content, template, of_site) if known else self._by_prior(template)
         return found or self._by_prior(lambda i: not self.main[i] and template(i))
 
     def _gone(self, more: Callable[[int], bool]) -> list[bool]:
@@ -258,8 +280,8 @@ class Page:
         only_main = any(main and not g for main, g in zip(self.main, gone, strict=True))
         return self._left(lambda element: only_main if element < 0 else gone[element] or only_main and not self.main[element])
 
-    def _beside(self, content: list[int], template: Callable[[int], bool], of_site: Container[int], by_counts: bool) -> str:
-        """Where the site's content is known: beside it shapes decide, and names where a shape is rare; inside it names do."""
+    def _beside(self, content: list[int], template: Callable[[int], bool], of_site: Container[int]) -> str:
+        """Where the site's content is known: what is the site's by content or, beside it, by shape goes, and what the names say."""
         holds, inside = set(), [False] * len(self.tags)
         for i in content:
             inside[i] = True
@@ -268,16 +290,8 @@ class Page:
                 i = self.parent[i]
         for i, parent in enumerate(self.parent):
             inside[i] = inside[i] or parent >= 0 and inside[parent]
-        counted = {i for i, shape in self.shapes() if shape in of_site}
-
-        def more(i: int) -> bool:
-            if i in holds:
-                return False
-            if inside[i]:
-                return self.named[i] or template(i)
-            return by_counts and (template(i) or i in counted) or (self.named[i] and i not in counted)
-
-        gone = self._gone(more)
+        shaped = {i for i, shape in self.shapes() if shape in of_site and not inside[i]}
+        gone = self._gone(lambda i: i not in holds and (self.named[i] or template(i) or i in shaped))
         return self._left(lambda element: element >= 0 and gone[element])
 
     def _left(self, gone: Callable[[int], bool]) -> str:
@@ -298,36 +312,69 @@ class Page:
 _CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 
 
+def left_over(skeleton: list[tuple[int, int | None, bool, int, int | None]], of_site: Container[int]) -> dict[int, tuple[int, int]]:
+    """Characters that are left at each place that may be a host's content, and its depth, without the site's and the prior's; 0 is the whole page."""
+    gone, depth, size = [], [], []
+    for up, tree, goes, own, _ in skeleton:
+        gone.append(up >= 0 and gone[up] or goes or tree is not None and tree in of_site)
+        depth.append(depth[up] + 1 if up >= 0 else 0)
+        size.append(0 if gone[-1] else own)
+    for i in range(len(skeleton) - 1, 0, -1):
+        size[skeleton[i][0]] += size[i]
+    out = {0: (size[0], 0)}
+    for i, (*_, place) in enumerate(skeleton):
+        if place is not None and size[i]:
+            out[place] = (out.get(place, (0, 0))[0] + size[i], depth[i])
+    return out
+
+
+_SAID = pa.list_(pa.struct([("tree", pa.int64()), ("text", pa.int64()), ("words", pa.int64()), ("linked", pa.int64()), ("prose", pa.bool_())]))
+_PARTS = {"parent": pa.int32(), "tree": pa.int64(), "goes": pa.bool_(), "own": pa.int64(), "place": pa.int64()}
+
+
 def votes(pages: DataFrame) -> DataFrame:
-    """host, page, article, trees, boxes, shapes: a row for each distinct page of a host, with the subtrees it votes for.
+    """host, page, article, trees, boxes, shapes and its skeleton's columns: a row for each distinct page of a host, with the subtrees it votes for.
 
-    page and article are hashes of the page and of its article; boxes are subtrees that articles vote for, not pages.
+    page and article are hashes of the page and of its article; boxes are subtrees that articles vote for, not pages;
+    of shapes there is what their elements say.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            out: dict[str, list] = {"page": [], "article": [], "trees": [], "boxes": [], "shapes": []}
+            out: dict[str, list] = {c: [] for c in ("page", "article", "trees", "boxes", "shapes", *_PARTS)}
             for source in batch.column("html").to_pylist():
                 page = Page(source)
-                found = page.subtrees()
-                got = (hash_of(source), page.main_hash(), {t for i, t in found if not page.main[i]}, {t for i, t in found if page.main[i]}, {t for _, t in page.shapes()})
-                for to, value in zip(out.values(), got, strict=True):
-                    to.append(sorted(value) if isinstance(value, set) else value)
+                skeleton = page.skeleton()
+                found = [(page.main[i - 1], part[1]) for i, part in enumerate(skeleton) if part[1] is not None]
+                said = [dict(zip(("tree", "text", "words", "linked", "prose"), (shape, *x), strict=True)) for shape, x in page.said().items()]
+                row = (hash_of(source), page.main_hash(), sorted({t for main, t in found if not main}), sorted({t for main, t in found if main}), said, *zip(*skeleton, strict=True))
+                for to, value in zip(out.values(), row, strict=True):
+                    to.append(list(value) if isinstance(value, tuple) else value)
+            kinds = {"page": pa.int64(), "article": pa.int64(), "trees": pa.list_(pa.int64()), "boxes": pa.list_(pa.int64()), "shapes": _SAID} | {c: pa.list_(k) for c, k in _PARTS.items()}
             host = pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())
-            yield batch_of(host=host, **{c: pa.array(x, pa.int64() if c in ("page", "article") else pa.list_(pa.int64())) for c, x in out.items()})
+            yield batch_of(host=host, **{c: pa.array(x, kinds[c]) for c, x in out.items()})
 
-    plain = pages.select("url", F.coalesce("html", F.lit("")).alias("html"))
-    return plain.mapInArrow(read, "host string, page long, article long, trees array<long>, boxes array<long>, shapes array<long>").dropDuplicates(["host", "page"])
+    schema = "host string, page long, article long, trees array<long>, boxes array<long>, shapes array<struct<tree:long,text:long,words:long,linked:long,prose:boolean>>"
+    schema += ", parent array<int>, tree array<long>, goes array<boolean>, own array<long>, place array<long>"
+    return pages.select("url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(read, schema).dropDuplicates(["host", "page"])
 
 
-def subtree_counts(pages: DataFrame, least_pages: int) -> tuple[DataFrame, DataFrame]:
-    """(host, tree, shape, n: pages with the subtree, at least `least_pages`, by its content or, if `shape`, by that; host, pages of the hosts with as many)."""
-    voted = materialize(votes(pages), "page-votes")
+def subtree_counts(voted: DataFrame, least_pages: int) -> tuple[DataFrame, DataFrame]:
+    """(host, tree, shape, n: pages with the subtree, at least `least_pages`, by its content or, if `shape`, by that, is_site; host, pages of the hosts with as many).
+
+    is_site: of shapes, whether what the pages have in it reads like a template.
+    """
     hosts = voted.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
-    of_pages = voted.select("host", F.explode(F.concat(F.transform("trees", lambda t: F.struct(t.alias("tree"), F.lit(False).alias("shape"))), F.transform("shapes", lambda t: F.struct(t.alias("tree"), F.lit(True).alias("shape"))))).alias("t"))
-    of_articles = voted.select("host", "article", F.explode("boxes").alias("tree")).distinct().select("host", "tree", F.lit(False).alias("shape"))
-    counts = of_pages.select("host", "t.tree", "t.shape").unionByName(of_articles).groupBy("host", "tree", "shape").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
-    return materialize(counts, "subtree-counts"), materialize(hosts, "hosts")
+    of_pages = voted.select("host", F.explode("trees").alias("tree"))
+    of_articles = voted.select("host", "article", F.explode("boxes").alias("tree")).distinct().select("host", "tree")
+    trees = of_pages.unionByName(of_articles).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).select("host", "tree", F.lit(False).alias("shape"), "n", F.lit(True).alias("is_site"))
+    said = voted.select("host", F.explode("shapes").alias("s")).select("host", "s.*")
+    # First by what is said, so that different texts are counted without collecting them.
+    said = said.groupBy("host", "tree", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.count_if("prose").alias("prose"))
+    said = said.groupBy("host", "tree").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.sum("prose").alias("prose"))
+    like = (2 * F.col("texts") <= F.col("n")) | (2 * F.col("linked") >= F.col("words")) | ((F.col("words") - F.col("linked") <= FEW_WORDS * F.col("n")) & (2 * F.col("prose") < F.col("n")))
+    shapes = said.select("host", "tree", F.lit(True).alias("shape"), "n", like.alias("is_site"))
+    return materialize(trees.unionByName(shapes).filter(F.col("n") >= least_pages), "subtree-counts"), materialize(hosts, "hosts")
 
 
 def with_site(plain: DataFrame, known: DataFrame, most: int) -> tuple[DataFrame, Callable[[pa.RecordBatch], Iterator[tuple[Page, str, set[int]]]]]:
@@ -365,54 +412,71 @@ def with_site(plain: DataFrame, known: DataFrame, most: int) -> tuple[DataFrame,
     return pages, read
 
 
-def templates(pages: DataFrame, least_pages: int, share: float, left_over: float, most_broadcast: int) -> DataFrame:
-    """host, tree: what a host's pages have in common, by content, and, where its content has a place of its own, that place and the shapes."""
-    counts, hosts = subtree_counts(pages, least_pages)
+def _known_trees(voted: DataFrame, known: DataFrame, most: int) -> tuple[DataFrame, Callable[[str], set[int]]]:
+    """`voted` with a column `known`: the known subtrees (host, tree) of each page, if they are more than `most`; else what gives a host's."""
+    if known.limit(most + 1).count() > most:
+        own = voted.select("host", "page", F.explode(F.concat("trees", "boxes")).alias("tree")).join(known, ["host", "tree"], "left_semi")
+        return voted.join(own.groupBy("host", "page").agg(F.collect_set("tree").alias("known")), ["host", "page"], "left"), lambda host: set()
+    of: dict[str, set[int]] = {}
+    got = known.toArrow()  # at most `most` rows
+    for host, tree in zip(got.column("host").to_pylist(), got.column("tree").to_pylist(), strict=True):
+        of.setdefault(host, set()).add(tree)
+    sent = voted.sparkSession.sparkContext.broadcast(of)
+    return voted.withColumn("known", F.lit(None).cast("array<long>")), lambda host: sent.value.get(host, set())
+
+
+def templates(pages: DataFrame, least_pages: int, share: float, least_left: float, most_broadcast: int) -> DataFrame:
+    """host, tree: what a host's pages have in common, by content, and, where its content has a place of its own, that place and the shapes that are the site's."""
+    voted = materialize(votes(pages), "page-votes")
+    counts, hosts = subtree_counts(voted, least_pages)
     same = counts.filter(~F.col("shape")).join(hosts, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "tree")
     same = materialize(same, "templates")
-    with_trees, read = with_site(pages.select("url", "html"), same, most_broadcast)
+    with_known, of_host = _known_trees(voted.join(hosts.select("host"), "host", "left_semi"), same, most_broadcast)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("place", pa.int64()), ("depth", pa.int32()), ("chars", pa.int64())]))
         for batch in rows_of(batches):
-            host, page, found = [], [], []
-            for one, of_host, trees in read(batch):
-                host.append(of_host)
-                page.append(hash_of(one.source))
-                found.append([{"place": at, "depth": depth, "chars": chars} for at, (chars, depth) in one.left_over(trees).items()])
-            yield batch_of(host=pa.array(host, pa.string()), page=pa.array(page, pa.int64()), found=pa.array(found, kind))
-
-    left = with_trees.mapInArrow(places, "host string, page long, found array<struct<place:long,depth:int,chars:long>>").dropDuplicates(["host", "page"])
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("host", "known", *_PARTS)]
+            for host, own, *parts in zip(*columns, strict=True):
+                left = left_over(list(zip(*parts, strict=True)), set(own) if own else of_host(host))
+                found.append([{"place": at, "depth": depth, "chars": chars} for at, (chars, depth) in left.items()])
+            yield batch_of(host=batch.column("host"), found=pa.array(found, kind))
+
+    left = with_known.select("host", "known", *_PARTS).mapInArrow(places, "host string, found array<struct<place:long,depth:int,chars:long>>")
     left = left.select("host", F.explode("found").alias("f")).groupBy("host", F.col("f.place").alias("place")).agg(F.max("f.depth").alias("depth"), F.sum("f.chars").alias("chars"))
-    left = materialize(left.join(hosts.select("host"), "host"), "left-over")
+    left = materialize(left, "left-over")
     whole = left.filter(F.col("place") == 0).select("host", F.col("chars").alias("all"))
-    most = left.filter(F.col("place") != 0).join(whole, "host").filter((F.col("chars") > 0) & (F.col("chars") >= left_over * F.col("all")))
+    most = left.filter(F.col("place") != 0).join(whole, "host").filter((F.col("chars") > 0) & (F.col("chars") >= least_left * F.col("all")))
     content = most.groupBy("host").agg(F.max_by("place", F.struct("depth", "chars", "place")).alias("tree"))
-    shapes = counts.filter("shape").select("host", "tree").join(content.select("host"), "host", "left_semi")
+    shapes = counts.filter("shape AND is_site").select("host", "tree").join(content.select("host"), "host", "left_semi")
     return materialize(same.unionByName(content.select("host", "tree")).unionByName(shapes).distinct(), "site")
 
 
-def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, left_over: float = 0.8, most_broadcast: int = 200_000, cut_templates: bool = True) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.3, least_left: float = 0.8, most_broadcast: int = 200_000, cut_templates: bool = True) -> DataFrame:
     """One row per row of `pages`: page_id, url, text, n_chars (code points of text).
 
     See the top of this module for what is a site's template; pages of a host that are equal count as one, and for what lies in
     an article or main element pages with equal ones; what holds such an element never is template. Null html is
     empty, and an empty page has empty text; pages without a host in their url are one host. Rows that repeat a page_id
-    are pages of their own. Very long and deeply nested pages are read whole. Places with equally many characters are told apart by
-    depth, then by hash. An empty table gives no rows. Other columns are not looked at, whatever their names.
+    are pages of their own. Very long and deeply nested pages are read whole. Of the places that hold `least_left` of what
+    is left the deepest counts, of equally deep ones that with most characters, then the greatest hash. An empty table gives no rows. Other columns are not looked at, whatever their names.
 
     Up to `most_broadcast` subtrees go to every task; more are joined to the pages' subtrees instead. The texts are the
-    same. Without `cut_templates` nothing goes that only counts tell: the difference is what templates do.
+    same. Without `cut_templates` the prior decides alone, and nothing is counted: the difference is what templates do.
     """
     plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    with_trees, read = with_site(plain, templates(plain, least_pages, share, left_over, most_broadcast), most_broadcast)
+    if cut_templates:
+        with_trees, read = with_site(plain, templates(plain, least_pages, share, least_left, most_broadcast), most_broadcast)
+    else:
+        with_trees, read = with_site(plain, plain.sparkSession.createDataFrame([], "host string, tree long"), most_broadcast)
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             texts = []
             for page, _, trees in read(batch):
-                same = {i for i, tree in page.subtrees() if tree in trees} if trees and cut_templates else ()
-                texts.append(page.text(same.__contains__, trees, cut_templates))
+                same = {i for i, tree in page.subtrees() if tree in trees} if trees else ()
+                texts.append(page.text(same.__contains__, trees))
             kept = {c: batch.column(c) for c in ("page_id", "url")}
             yield batch_of(**kept, text=pa.array(texts, pa.string()), n_chars=np.array([len(t) for t in texts], np.int64))
 
