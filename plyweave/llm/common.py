@@ -6,14 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Paths that `materialize` has written, for `scratch`.
-_MADE: list[str] = []
+#: Paths that `materialize` has written within the `scratch` that is open, in this thread or task.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,26 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again, so that its lineage ends there and no later job repeats it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """At its end, what `materialize` wrote within is removed, but for what the function it gives has written."""
-    begin, kept = len(_MADE), []
+    """At its end, what `materialize` wrote within is removed, but for what the function it gives has written; after an error all of it.
+
+    What other threads write is theirs. What is kept belongs to the `scratch` around this one, if there is one.
+    """
+    around, made, kept = _MADE.get(), [], []
+    token = _MADE.set(made)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = materialize(df, name)
-        kept.append(_MADE[-1])
+        kept.append(made[-1])
         return out
 
-    yield keep
-    for path in set(_MADE[begin:]) - set(kept):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _MADE[begin:]
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _MADE.reset(token)
+        for path in set(made) - set(kept):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if around is not None:
+            around.extend(kept)
 
 
 def crc_mod(id_col: str, modulus: int) -> Column:
