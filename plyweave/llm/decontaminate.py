@@ -2,8 +2,9 @@
 
 Both sides are cut into words and hashed in k-grams; of every `window - k + 1` consecutive k-gram hashes the smallest
 is a fingerprint. Two texts that share `window` words share all k-grams of that span and so its fingerprint: no such
-span is missed. Documents' and items' fingerprints are joined, and where they meet, the hit is extended word by word
-against the item, so the result is exact; a hash collision costs time only.
+span is missed. Documents' and items' fingerprints are joined, and where they meet, the hit is extended: the document's
+windows of that fingerprint are compared word by word with the items' windows, each different window once however many
+items have it, so the result is exact; a hash collision costs time only.
 
 Items of fewer words than a window are matched whole: each length below it that the benchmark has is a fingerprint
 family of its own, whose k-gram is the whole item.
@@ -57,6 +58,11 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def _short(codes: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of the n words from each word on, in the family of items that have just n."""
+    return _grams(codes, left, n) ^ np.uint64(n * 0xD6E8FEB86659FD93 % 2**64)
+
+
 def fingerprints(texts: list[list[bytes]], window: int, k: int, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(number of the text, fingerprint) of each winnowed k-gram of all texts, and of each gram of the given short lengths."""
     counts = np.array([len(w) for w in texts], dtype=np.int64)
@@ -70,44 +76,27 @@ def fingerprints(texts: list[list[bytes]], window: int, k: int, lengths: list[in
     keep = np.flatnonzero((left >= window) & (np.concatenate(([True], (least[1:] != least[:-1]) | (of[1:] != of[:-1])))))
     found = [(of[keep], least[keep])]
     for n in lengths:
-        gram = _grams(codes, left, n) ^ np.uint64(n) * np.uint64(0xD6E8FEB86659FD93)
+        gram = _short(codes, left, n)
         at = np.flatnonzero(left >= n)
         found.append((of[at], gram[at]))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def spans(words: list[bytes], window: int, k: int) -> list[tuple[int, int, bytes]]:
-    """(fingerprint, length of the item if it is short, else 0, words): each run of an item's windows that have one fingerprint, as its words."""
-    n = min(window, len(words))
-    if not n:
+def windows_of(words: list[bytes], window: int, k: int, lengths: list[int], only: set[int] | None = None) -> list[tuple[int, int, int, bytes]]:
+    """(fingerprint, start, words, text) of each window, and of each gram of the given short lengths; of `only` these fingerprints, if given."""
+    if not words:
         return []
-    codes = np.fromiter((zlib.crc32(w) for w in words), dtype=np.uint64, count=len(words))
-    if len(words) < window:
-        _, fp = fingerprints([words], window, k, [n])
-        return [(int(fp.view(np.int64)[-1]), n, b" ".join(words))]  # the last gram of its own length is the whole item
-    least = _least(_grams(codes, len(words) - np.arange(len(words)), k), window - k + 1)[: len(words) - window + 1]
-    starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    ends = np.append(starts[1:], len(least)) + window - 1
-    fps = least[starts].view(np.int64)
-    return [(f, 0, b" ".join(words[a:b])) for f, a, b in zip(fps.tolist(), starts.tolist(), ends.tolist(), strict=True)]
-
-
-def hits(doc: list[bytes], items: list[tuple[int, list[bytes]]], window: int) -> tuple[np.ndarray, list[int]]:
-    """Extend: which words of `doc` lie in an occurrence of a window of any item, and the items that have one. An item may come as several runs."""
-    hit, found = np.zeros(len(doc) + 1, np.int64), set()
-    wanted: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
-    for item_id, words in items:
-        n = min(window, len(words))
-        for at in range(len(words) - n + 1) if n else ():
-            wanted.setdefault(n, {}).setdefault(tuple(words[at : at + n]), set()).add(item_id)
-    for n, grams in wanted.items():
-        firsts = {g[0] for g in grams}
-        for at in range(len(doc) - n + 1):
-            if doc[at] in firsts and (ids := grams.get(tuple(doc[at : at + n]))):
-                found |= ids
-                hit[at] += 1
-                hit[at + n] -= 1
-    return np.cumsum(hit)[:-1] > 0, sorted(found, key=str)
+    codes, left = np.fromiter((zlib.crc32(w) for w in words), dtype=np.uint64, count=len(words)), len(words) - np.arange(len(words))
+    wanted = None if only is None else np.fromiter(only, dtype=np.int64, count=len(only))
+    out = []
+    for n in [window, *lengths]:
+        if len(words) < n:
+            continue
+        fp = _least(_grams(codes, left, k), window - k + 1) if n == window else _short(codes, left, n)
+        fp = fp[: len(words) - n + 1].view(np.int64)
+        at = np.arange(len(fp)) if wanted is None else np.flatnonzero(np.isin(fp, wanted))
+        out += [(f, i, n, b" ".join(words[i : i + n])) for f, i in zip(fp[at].tolist(), at.tolist(), strict=True)]
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, share: int = 20, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -129,13 +118,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            ids = batch.column("item_id").to_pylist()
-            found = [(i, *f) for i, t in zip(ids, batch.column("item_text").to_pylist(), strict=True) for f in spans(words_of(t), window, k)]
-            item_id, fp, n, span = zip(*found, strict=True) if found else ((), (), (), ())
-            yield batch_of(item_id=np.array(item_id, np.int64), fp=np.array(fp, np.int64), n=np.array(n, np.int64), span=pa.array(span, pa.binary()))
-
-    test = materialize(items.mapInArrow(of_items, "item_id long, fp long, n long, span binary").distinct(), "item-fingerprints")
-    lengths = sorted(r["n"] for r in test.select("n").distinct().collect() if r["n"])  # fewer than `window` values
+            found = []
+            for i, t in zip(batch.column("item_id").to_pylist(), batch.column("item_text").to_pylist(), strict=True):
+                words = words_of(t)
+                n = min(window, len(words))
+                found += [(i, fp, size, gram) for fp, _, size, gram in windows_of(words, window, k, [n] if 0 < n < window else [])]
+            item_id, fp, n, gram = zip(*found, strict=True) if found else ((), (), (), ())
+            yield batch_of(item_id=np.array(item_id, np.int64), fp=np.array(fp, np.int64), n=np.array(n, np.int64), gram=pa.array(gram, pa.binary()))
+
+    test = materialize(items.mapInArrow(of_items, "item_id long, fp long, n long, gram binary").distinct(), "item-windows")
+    lengths = sorted(r["n"] for r in test.select("n").distinct().collect() if r["n"] < window)  # fewer than `window` values
     few = test.select("fp").distinct().limit(most_broadcast + 1).count() <= most_broadcast
     known = spark.sparkContext.broadcast(test.select("fp").distinct().toArrow().column("fp").to_numpy() if few else None)
 
@@ -167,24 +159,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = materialize(plain.mapInArrow(scan, "doc_id long, text string, n_words long, fps array<long>"), "scanned")
     touched = scanned.filter(F.size("fps") > 0).withColumn("key", F.xxhash64("text")).withColumn("sum", F.crc32(F.col("text").cast("binary")))
-    # Equal texts have equal hits, so one row stands for all copies in the joins. Of an item only the runs that met a text go to it.
-    pairs = touched.select("key", "sum", F.explode("fps").alias("fp")).distinct().join(test.select("fp", "item_id", "span"), "fp").select("key", "sum", "item_id", "span").distinct()
-    per_text = pairs.groupBy("key", "sum").agg(F.collect_list(F.struct("item_id", "span")).alias("items"))
-    met = touched.drop("fps").join(per_text, ["key", "sum"], "left").drop("key", "sum")
+    with_fps = touched.select("key", "sum", "text", "fps")
+    if not few:
+        meets = touched.select("key", "sum", F.explode("fps").alias("fp")).distinct().join(test.select("fp").distinct(), "fp", "left_semi")
+        with_fps = with_fps.drop("fps").join(meets.groupBy("key", "sum").agg(F.collect_list("fp").alias("fps")), ["key", "sum"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            n_hit, ids = [], []
-            for text, its in zip(batch.column("text").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                hit, found = hits(words_of(text), [(i["item_id"], i["span"].split()) for i in its or []], window)
-                n_hit.append(int(hit.sum()))
-                ids.append(found)
-            kept = {c: batch.column(c) for c in ("doc_id", "text", "n_words")}
-            yield batch_of(**kept, n_hit=np.array(n_hit, np.int64), item_ids=pa.array(ids, pa.list_(pa.int64())))
-
-    schema = "doc_id long, text string, n_words long, n_hit long, item_ids array<long>"
-    clean = scanned.filter(F.size("fps") == 0).select("doc_id", "text", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("item_ids"))
-    both = clean.unionByName(met.mapInArrow(extend, schema))
+            found = [windows_of(words_of(t), window, k, lengths, set(f)) for t, f in zip(batch.column("text").to_pylist(), batch.column("fps").to_pylist(), strict=True)]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            _, at, n, gram = zip(*(w for f in found for w in f), strict=True) if len(of) else ((), (), (), ())
+            yield batch_of(key=batch.column("key").take(of), sum=batch.column("sum").take(of), at=np.array(at, np.int64), n=np.array(n, np.int64), gram=pa.array(gram, pa.binary()))
+
+    # Equal texts have equal windows, so one row stands for all copies in the joins, and one for each window whatever items have it.
+    own = with_fps.mapInArrow(extend, "key long, sum long, at long, n long, gram binary").distinct()
+    met = materialize(own.join(test.select("gram").distinct(), "gram", "left_semi"), "windows-met")
+    step = lambda s, w: F.struct(F.greatest(s["end"], w["at"] + w["n"]).alias("end"), (s["n"] + F.greatest(F.lit(0), w["at"] + w["n"] - F.greatest(s["end"], w["at"]))).alias("n"))
+    spans = F.array_sort(F.collect_list(F.struct("at", "n")))
+    n_hit = met.groupBy("key", "sum").agg(spans.alias("spans")).select("key", "sum", F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), step)["n"].alias("n_hit"))
+    ids = met.select("key", "sum", "gram").distinct().join(test.select("gram", "item_id").distinct(), "gram").select("key", "sum", "item_id").distinct()
+    ids = ids.groupBy("key", "sum").agg(F.collect_list("item_id").alias("item_ids"))
+    none = F.array().cast("array<long>")
+    clean = scanned.filter(F.size("fps") == 0).select("doc_id", "text", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids"))
+    hit = touched.drop("fps").join(n_hit.join(ids, ["key", "sum"]), ["key", "sum"], "left")
+    by_text = F.transform(F.array_sort(F.transform("item_ids", lambda i: F.struct(i.cast("string").alias("text"), i.alias("id")))), lambda i: i["id"])
+    hit = hit.select("doc_id", "text", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(by_text, none).alias("item_ids"))
+    both = clean.unionByName(hit)
     return both.select(
         "doc_id", "text", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),

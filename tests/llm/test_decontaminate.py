@@ -4,7 +4,7 @@ import random
 
 from frames import ODD, empty, odd
 
-from plyweave.llm.decontaminate import decontaminate, fingerprints, keep_clean, spans, words_of
+from plyweave.llm.decontaminate import decontaminate, fingerprints, keep_clean, windows_of, words_of
 
 
 def brute(docs, items, window=13):
@@ -72,14 +72,35 @@ def test_filter_keeps_clean_rows(spark):
     assert kept.count() == len(ODD) - 2
 
 
-def test_runs_of_an_item_cover_its_windows():
+def test_windows_and_their_fingerprints():
     rng = random.Random(5)
     for size, vocabulary in ((5, 9), (13, 9), (14, 2), (400, 3), (400, 500)):
         words = [b"w%d" % rng.randrange(vocabulary) for _ in range(size)]
-        runs = spans(words, 13, 5)
         n = min(13, size)
-        grams = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (words, *(r[2].split() for r in runs))]
-        assert set().union(*grams[1:]) == grams[0] and all(r[1] == (n if n < 13 else 0) for r in runs)
-        _, fps = fingerprints([words], 13, 5, [n] if n < 13 else [])
-        assert {r[0] for r in runs} == set(fps.astype("int64").tolist())
-        assert sum(len(r[2].split()) for r in runs) < 6 * size + 13
+        lengths = [n] if n < 13 else []
+        found = windows_of(words, 13, 5, lengths)
+        assert [(at, size, gram) for _, at, size, gram in found] == [(i, n, b" ".join(words[i : i + n])) for i in range(len(words) - n + 1)]
+        _, fps = fingerprints([words], 13, 5, lengths)
+        assert {w[0] for w in found} == set(fps.astype("int64").tolist())
+        some = {w[0] for w in found[::3]}
+        assert windows_of(words, 13, 5, lengths, some) == [w for w in found if w[0] in some]
+        # Equal windows have equal fingerprints wherever they stand.
+        around = [b"x"] * 20 + words + [b"y"] * 20
+        by_gram = {w[3]: w[0] for w in windows_of(around, 13, 5, lengths)}
+        assert all(by_gram[gram] == fp for fp, _, _, gram in found)
+
+
+def test_many_items_with_one_prompt(spark):
+    """20,000 items begin alike: a document with that beginning meets each of its own windows once, not once for each item."""
+    from pyspark.sql import functions as F
+
+    prompt = "read the following question with care and choose the best of the answers given below"
+    items = spark.range(20_000).select(F.col("id").alias("item_id"), F.concat(F.lit(prompt + " "), F.sha2(F.col("id").cast("string"), 224), F.lit(" more")).alias("text"))
+    docs = spark.createDataFrame([(1, f"before it {prompt} and after"), (2, prompt.upper() + "!"), (3, "nothing of it")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate(docs, items).collect()}
+    n = len(prompt.split())
+    assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [(n, 20_000, True), (n, 20_000, True), (0, 0, False)]
+    assert got[1]["item_ids"] == sorted(range(20_000), key=str)
+    words = words_of(f"before it {prompt} and after")
+    fps = {w[0] for w in windows_of(words_of(prompt), 13, 5, [])}
+    assert sum(len(w[3]) for w in windows_of(words, 13, 5, [], fps)) < 1500
