@@ -17,7 +17,7 @@ from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyweave.llm.common import materialize, rows_of
@@ -114,32 +114,38 @@ def _encoder(tokenizer_path: str, ranks_path: str):
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
-    """Tokenize every whole text (null: empty), add `end_id`, cut into windows of `capacity` and one remainder."""
+    """Tokenize every whole text (null: empty), add `end_id`, cut into windows of `capacity` and one remainder. nth numbers a task's documents."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _encoder(tokenizer_path, ranks_path), int(end_id).to_bytes(4, "little")
+        encode, end, nth = _encoder(tokenizer_path, ranks_path), int(end_id).to_bytes(4, "little"), 0
         for batch in rows_of(batches):
             out: dict[str, list] = {k: [] for k in names}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "") + end
+                ids, nth = encode(text or "") + end, nth + 1
                 for at in range(0, len(ids), 4 * capacity):
                     part = ids[at : at + 4 * capacity]
-                    row = (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part)
+                    row = (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, nth, part)
                     for name, value in zip(names, row, strict=False):
                         out[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[k], pa.binary() if k == "ids" else pa.int64()) for k in names], names=names)
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"] + ["ids"] * with_ids
     schema = ", ".join(f"{k} {'binary' if k == 'ids' else 'long'}" for k in names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
 
+def salt_of() -> Column:
+    """What deals the pieces of a length over groups: their document and content, and without a doc_id their place too."""
+    return F.xxhash64("doc_id", "start", "ids_crc32", F.when(F.col("doc_id").isNull(), F.col("nth")))
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, ranks_path: str | None = None, capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """One row per piece of each document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     Null text is the empty text (one token, `end_id`). Rows that share a doc_id, null ones too, are packed each on its
     own. Very long texts are read whole and cut. An empty table gives no rows. Other columns are not looked at. Pieces of equal length that tie are
-    ranked by doc_id, then start; which of equal rows comes first doesn't matter, as they are equal.
+    ranked by hashes, doc_id, start, ids_crc32 and doc_tokens; which of rows that agree in all these comes first doesn't matter. Rows
+    without doc_id are dealt by their place in the table too, so many equal ones are no hot group.
     """
     if tokenizer_path is None or ranks_path is None:
         import public_tokenizers
@@ -151,11 +157,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, ranks_pat
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     # At most one row for each length: bounded by the capacity, not by the corpus.
     salts = F.broadcast(spark.createDataFrame([(length, math.isqrt(n)) for length, n in histogram.items()], "length long, salts long"))
-    salted = cut.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), "salts")).drop("salts")
+    salted = cut.join(salts, "length").withColumn("salt", F.pmod(salt_of(), "salts")).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     groups = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "start")
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(groups, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     steps = best_fit_decreasing(histogram, capacity)

@@ -9,9 +9,10 @@ import public_tokenizers
 from frames import ODD, empty, odd
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plyweave.llm.packing import CapacityTree, best_fit_decreasing, pack_documents
+from plyweave.llm.packing import CapacityTree, best_fit_decreasing, pack_documents, pieces, salt_of
 
 
 def one_by_one(lengths, capacity):
@@ -102,6 +103,18 @@ def test_ids_and_empty(spark):
     assert len(row["ids"]) == 4 * row["length"] and zlib.crc32(row["ids"]) == row["ids_crc32"]
 
 
+def test_rows_without_ids_are_dealt_out(spark):
+    """Equal rows without an id, and rows that share an id, are many rank groups, and windows are the same each time."""
+    rows = [(None, "")] * 500 + [(None, f"w{i % 3}") for i in range(400)] + [(7, f"t{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    one, two = (sorted(map(tuple, pack_documents(docs, capacity=64).collect()), key=str) for _ in range(2))
+    assert one == two
+    check(pack_documents(docs, capacity=64).collect(), rows, 64)
+    cut = pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), 64, 1)
+    groups = cut.groupBy("length", F.pmod(salt_of(), F.lit(20))).count().collect()
+    assert max(r["count"] for r in groups) < 120
+
+
 def test_ids_are_the_tokenizers():
     from hypothesis import example
 
