@@ -18,6 +18,7 @@ say (nav, footer, aside, form and the like) holds everywhere.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from bisect import bisect_left
@@ -51,7 +52,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
-_SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"')\]\u201d\u2019\u00bb]*(?:\s|\Z)")
+_SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"')\]\u201d\u2019\u00bb]*(?:[\s&]|\Z)")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A few words: what the elements of a shape have on average at most, without links, if they are no text.
 FEW_WORDS = 5
@@ -209,6 +210,12 @@ class Page:
                 below[block[i]].append(shape[i])
         return [(i, x) for i, x in enumerate(shape) if self.tags[i] not in _PROSE and self.tags[i] not in ("html", "body", "head")]
 
+    @functools.cached_property
+    def said_in_runs(self) -> list[tuple[str, int]]:
+        """Text, white space as one space, and words of each run."""
+        parts = [self.source[start:end].split() for _, start, end, _ in self.runs]
+        return [(" ".join(p), len(p)) for p in parts]
+
     def said(self) -> dict[int, tuple[int, int, int, bool]]:
         """For each shape what its elements say: hash of their text, words, those of them in links, and whether there is a sentence or a heading."""
         count, begins = len(self.runs), [r[1] for r in self.runs]
@@ -217,9 +224,7 @@ class Page:
             link.append(tag == "a" or up >= 0 and link[up])
             heads.append(heads[-1] + (tag in _HEADINGS))
         words, linked, ends, hashes = [0], [0], [0], []
-        for element, start, end, _ in self.runs:
-            text = entities.unescape(" ".join(self.source[start:end].split())) if not (element >= 0 and self.tags[element] in _RAW) else ""
-            n = text.count(" ") + 1 if text else 0
+        for (element, *_), (text, n) in zip(self.runs, self.said_in_runs, strict=True):
             words.append(words[-1] + n)
             linked.append(linked[-1] + (n if element >= 0 and link[element] else 0))
             ends.append(ends[-1] + (1 if _SENTENCE_END.search(text) else 0))
@@ -250,8 +255,8 @@ class Page:
         """
         tree, place = dict(self.subtrees()), dict(self.content_places())
         own = [0] * (len(self.tags) + 1)
-        for element, start, end, _ in self.runs:
-            own[element + 1] += sum(map(len, self.source[start:end].split()))
+        for (element, *_), (text, n) in zip(self.runs, self.said_in_runs, strict=True):
+            own[element + 1] += len(text) - max(n - 1, 0)
         out: list[tuple[int, int | None, bool, int, int | None]] = [(-1, None, False, own[0], None)]
         out += [(self.parent[i] + 1, tree.get(i), self.no_text[i] or self.named[i], own[i + 1], place.get(i)) for i in range(len(self.tags))]
         return out
