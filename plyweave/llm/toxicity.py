@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyweave.llm.common import crc_mod, rows_of
+from plyweave.llm.common import crc_mod, materialize, rows_of
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6)
@@ -130,7 +130,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarr
     return FactorizationMachine(known, float(b), w, v)
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, most_terms: int) -> DataFrame:
+def labelled_terms(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int) -> DataFrame:
     """doc_id, toxic, terms (of the whole text, sorted, 32 bits each): the rows to learn from, one for each doc_id."""
     known = labels.filter(F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter("toxic in (0, 1)")
@@ -143,21 +143,26 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, most_toxic: int, most_cle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            rows = [terms(t)[:most_terms].tobytes() for t in batch.column("text").to_pylist()]
+            rows = [terms(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "terms"])
 
     return sample.mapInArrow(run, "doc_id long, toxic int, terms binary")
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 6000, most_terms: int = 8192, factors: int = 4, seed: int = 7) -> FactorizationMachine:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 6000, most_terms: int = 20_000_000, factors: int = 4, seed: int = 7) -> FactorizationMachine:
     """Fit on at most `most_toxic` + `most_clean` labelled documents, the first by a hash of doc_id, none of them held out.
 
-    Of a document that has more terms than `most_terms`, those with the smallest hashes are learned from (scoring takes all). A row counts as its class's
+    Each is learned from with all its terms; where these would be more than `most_terms` in all, the sample has fewer documents. A row counts as its class's
     share of all labelled rows, so the scores fit the labels' own rates. A doc_id that is labelled more than once is toxic
     if any row says so; of several texts that share one, that with the smallest hash is learned from. Null doc_ids, and labels
     that are null or neither 0 nor 1, are none. No labels, or none of one class: the machine has no terms. Other columns are not looked at.
     """
-    got = labelled_terms(docs, labels, most_toxic, most_clean, most_terms).toArrow().sort_by("doc_id")  # bounded by the three parameters
+    learned = materialize(labelled_terms(docs, labels, most_toxic, most_clean), "learned-terms").withColumn("order", F.xxhash64("doc_id"))
+    sizes = learned.select("order", (F.octet_length("terms") / 4).alias("n")).toArrow().sort_by("order")  # bounded by the number of documents
+    within = np.cumsum(sizes.column("n").to_numpy()) <= most_terms
+    if not within.all():
+        learned = learned.filter(F.col("order") <= (sizes.column("order")[int(within.sum()) - 1].as_py() if within.any() else -(1 << 63)))
+    got = learned.drop("order").toArrow().sort_by("doc_id")  # bounded by the three parameters
     known = labels.filter(F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}
     y = got.column("toxic").to_numpy().astype(np.float64)

@@ -87,6 +87,24 @@ def test_margins_are_the_factorization_machines():
     assert np.allclose(m.margins(rows), want)
 
 
+def test_whole_texts_are_learned_from(spark, monkeypatch):
+    """A long text's terms all count, wherever their hashes lie; a bound on all terms takes documents, not parts of them."""
+    long = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) + "zzzz" for i in range(9000))
+    rows = [(i, f"{long if i % 40 == 0 else 'plain words here'} {'vileword' if i % 2 else 'kindword'}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_machine", lambda rows, *a, fit=toxicity.fit_machine, **k: seen.append(rows) or fit(rows, *a, **k))
+    machine = toxicity.train(spark, docs, labels)
+    assert max(map(len, seen[0])) > 27_000 and len(seen[0]) > 280
+    got = toxicity.score(docs, machine).join(labels, "doc_id").filter("predicted = toxic").count()
+    assert got == 400
+    toxicity.train(spark, docs, labels, most_terms=40_000)
+    assert 0 < len(seen[1]) < len(seen[0]) and sum(map(len, seen[1])) <= 40_000
+    assert {len(r) for r in seen[1]} <= {len(r) for r in seen[0]}
+    assert toxicity.train(spark, docs, labels, most_terms=0) is not None
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (5, 0), (None, 1), (6, None), (4, 0)], "doc_id long, toxic int")
     machine = toxicity.train(spark, odd(spark), labels)
