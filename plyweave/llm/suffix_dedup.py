@@ -41,7 +41,7 @@ _AT_ONCE = 1 << 20
 _BUCKET = 64 << 20
 #: Most passages of a piece, round by round of dealing anew; before them whole suffixes are dealt by their k bytes.
 _WIDTHS = (16, 4, 1)
-#: Sampled suffixes for each splitter, fewest documents of the sample, and most buckets of the first deal: beyond, buckets grow, and are dealt anew.
+#: Sampled suffixes for each splitter, fewest documents of the sample, and most buckets of the first deal: where more are wanted, each is cut by splitters of its own.
 _SAMPLED, _LEAST_DOCS, _BUCKETS = 64, 2000, 1 << 16
 #: Segments of at most this size are sorted whole.
 _SMALL = 64
@@ -168,8 +168,13 @@ def united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[new], start[new], reach[np.append(new[1:], len(doc)) - 1] - shift[new]
 
 
-def splitters_of(docs: DataFrame, n_docs: int, n_bytes: int, buckets: int, span: int, k: int) -> np.ndarray:
-    """The k leading bytes at which buckets begin, sorted: from about `_SAMPLED` anchored suffixes for each, of documents picked by a hash."""
+def splitters_of(docs: DataFrame, n_docs: int, n_bytes: int, buckets: int, span: int, k: int, most: int | None = None) -> tuple[np.ndarray, DataFrame | None]:
+    """The k leading bytes at which buckets begin, sorted, and (bucket, leads) of those within each where there are more than `most` in all.
+
+    From about `_SAMPLED` anchored suffixes for each, of documents picked by a hash.
+    """
+    most = most or _BUCKETS
+    within = -(-buckets // most)
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
@@ -184,17 +189,29 @@ def splitters_of(docs: DataFrame, n_docs: int, n_bytes: int, buckets: int, span:
     step = max(1, (leads.agg(F.sum("n")).first()[0] or 0) // buckets)
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The leads within whose suffixes, counted on, a multiple of `step` falls."""
-        passed = step // 2
+        """The leads within whose suffixes, counted on, a multiple of `step` falls, and whether each is one of the first level."""
+        passed, given = step // 2, 0
         for batch in batches:
             upto = passed + np.cumsum(batch.column("n").to_numpy())
-            yield batch.select(["lead"]).filter(pa.array((upto - 1) // step > (upto - batch.column("n").to_numpy() - 1) // step))
-            passed = int(upto[-1]) if len(upto) else passed
+            cut = batch.select(["lead"]).filter(pa.array((upto - 1) // step > (upto - batch.column("n").to_numpy() - 1) // step))
+            yield batch_of(lead=cut.column("lead"), coarse=(np.arange(cut.num_rows) + given) % within == within // 2)
+            passed, given = (int(upto[-1]) if len(upto) else passed), given + cut.num_rows
+
+    # Ranges of the sample, each lead once, are sorted each by a task; of the first level no more rows than `most`, about, come to the driver.
+    ranged = leads.repartitionByRange(max(1, buckets // (64 * within)), "lead").sortWithinPartitions("lead").mapInArrow(every, "lead binary, coarse boolean")
+    ranged = ranged if within == 1 else materialize(ranged, "splitters")
+    coarse = np.unique(np.array(ranged.filter("coarse").select("lead").toArrow().column("lead").to_pylist(), f"S{k}"))
+    if within == 1:
+        return coarse, None
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.searchsorted(coarse, np.array(batch.column("lead").to_pylist(), f"S{k}"), side="right")
+            yield batch_of(bucket=found.astype(np.int32), lead=batch.column("lead"))
 
-    # Ranges of the sample, each lead once, are sorted each by a task; about as many rows as there are buckets come to the driver.
-    ranged = leads.repartitionByRange(max(1, buckets // 64), "lead").sortWithinPartitions("lead")
-    found = ranged.mapInArrow(every, "lead binary").toArrow().column("lead").to_pylist()
-    return np.unique(np.array(found, f"S{k}"))
+    # About `within` leads a bucket.
+    fine = ranged.filter("NOT coarse").mapInArrow(placed, "bucket int, lead binary").groupBy("bucket").agg(F.sort_array(F.collect_set("lead")).alias("leads"))
+    return coarse, materialize(fine, "inner-splitters")
 
 
 def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, bucket_bytes: int = 6 << 20, most: int = _BUCKET) -> DataFrame:
@@ -208,8 +225,8 @@ def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, bucket_byte
     sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if not sizes["n"]:
         return docs.sparkSession.createDataFrame([], "id long, tag long, start long, end long")
-    buckets = min(_BUCKETS, max(1, -(-sizes["bytes"] // bucket_bytes)))
-    splitters = splitters_of(docs, sizes["n"], sizes["bytes"], buckets, span, k) if buckets > 1 else np.zeros(0, f"S{k}")
+    buckets = max(1, -(-sizes["bytes"] // bucket_bytes))
+    splitters, inner = splitters_of(docs, sizes["n"], sizes["bytes"], buckets, span, k) if buckets > 1 else (np.zeros(0, f"S{k}"), None)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=6)
@@ -267,9 +284,13 @@ def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, bucket_byte
     columns = "bucket int, blob binary, raw long, id long, tag long, start long, end long"
     shipped = docs.select("id", "tag", "text").mapInArrow(local, columns)
     # Repeats found by a task alone travel with the suffixes, spread over the buckets by their document.
-    placed = shipped.withColumn("bucket", F.coalesce("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(buckets)).cast("int")))
-    sorted_ = placed.repartition("bucket").sortWithinPartitions("bucket")
-    found, over = None, materialize(sorted_.mapInArrow(bucketed, columns), "repeats")
+    n_first = len(splitters) + 1
+    placed = shipped.withColumn("bucket", F.coalesce("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(n_first)).cast("int")))
+    if inner is not None:
+        most_leads = inner.agg(F.max(F.size("leads"))).first()[0] or 0
+        cut = placed.join(inner, "bucket", "left").mapInArrow(lambda bs: recut(bs, k, most_leads + 1), columns)
+        placed, n_first = cut, n_first * (most_leads + 1)
+    found, over = None, materialize(by_bucket(placed, n_first).mapInArrow(bucketed, columns), "repeats")
     for width in (span - k + 1, *_WIDTHS):
         part = over.filter(F.col("blob").isNull()).select("id", "tag", "start", "end")
         found = part if found is None else found.unionByName(part)
@@ -278,12 +299,39 @@ def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, bucket_byte
         if not large:
             return found
         # Three pieces of a suffix, about, come to a round.
-        placed = over.select("blob").mapInArrow(lambda bs, w=width, n=max(1, -(-12 * large // most)): dealt(bs, span, w, n), columns)
+        n_anew = max(1, -(-12 * large // most))
+        placed = over.select("blob").mapInArrow(lambda bs, w=width, n=n_anew: dealt(bs, span, w, n), columns)
         last = width == _WIDTHS[-1]
-        over = materialize(placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda bs, at_end=last: bucketed(bs, at_end), columns), "repeats")
+        over = materialize(by_bucket(placed, n_anew).mapInArrow(lambda bs, at_end=last: bucketed(bs, at_end), columns), "repeats")
     return found.unionByName(over.select("id", "tag", "start", "end"))
 
 
+def by_bucket(placed: DataFrame, buckets: int) -> DataFrame:
+    """Each bucket in one task, in order, and the buckets dealt to the tasks in turn, so that no two meet while others have none."""
+    tasks = min(buckets, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return placed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket")
+
+
+def recut(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The suffixes of each first-level bucket, by the splitters (`leads`) within it: bucket b becomes the buckets from b * width on."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=6)
+    for batch in batches:
+        rest = np.flatnonzero(batch.column("blob").is_null().to_numpy(zero_copy_only=False))
+        if len(rest):
+            kept = batch.take(pa.array(rest))
+            yield batch_of(**{c: pa.array(kept.column(c).to_numpy() * width, pa.int32()) if c == "bucket" else kept.column(c) for c in ("bucket", "blob", "raw", "id", "tag", "start", "end")})
+        for bucket, blob, leads in zip(*(batch.column(c).to_pylist() for c in ("bucket", "blob", "leads")), strict=True):
+            if blob is None:
+                continue
+            head, begin, whole = unpacked([blob])
+            heads = np.ndarray(len(whole) - k + 1, f"S{k}", whole, strides=(1,))[begin + head[4]]
+            at = bucket * width + np.searchsorted(np.array(leads or [], f"S{k}"), heads, side="right")
+            by = np.argsort(at, kind="stable")
+            yield sent(**packed(head, begin, whole, by, at[by], squeeze))
+
+
 def planes(values: np.ndarray) -> bytes:
     """Numbers as bytes, all lowest ones first, then all second ones: packs well."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()

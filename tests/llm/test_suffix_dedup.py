@@ -6,6 +6,7 @@ import random
 import numpy as np
 from frames import empty, odd
 from oracle import agree
+from pyspark.sql import functions as F
 
 from plyweave.llm import queries, suffix_dedup
 from plyweave.llm.suffix_dedup import anchored, digest, multikey_sort, partitioned, remove_repeats
@@ -55,7 +56,8 @@ def test_one_lead_on_half_the_suffixes(spark, monkeypatch):
     docs = suffix_dedup._named(spark.createDataFrame([*rows, (150, rows[3][1]), (151, rows[9][1][100:])], "doc_id long, text string"))
     monkeypatch.setattr(suffix_dedup, "_LEAST_DOCS", 150)
     n_bytes = sum(len(t) for _, t in rows)
-    cuts = suffix_dedup.splitters_of(docs, 152, n_bytes, 16, 100, 24)
+    cuts, inner = suffix_dedup.splitters_of(docs, 152, n_bytes, 16, 100, 24)
+    assert inner is None
     assert len(cuts) >= 8
     leads = [t[a : a + 24].encode() for _, t in rows for a in anchored(np.frombuffer(t.encode(), np.uint8), np.array([len(t)]), 100, 24)[2].tolist()]
     sizes = np.bincount(np.searchsorted(cuts, np.array(leads, "S24"), side="right"))
@@ -65,6 +67,25 @@ def test_one_lead_on_half_the_suffixes(spark, monkeypatch):
     assert few == many and len(few) >= 2
 
 
+def test_two_levels_of_splitters(spark, monkeypatch):
+    """Few first-level buckets: splitters within them cut on, so that none is over the bound and nothing is dealt anew."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    named, rounds = suffix_dedup._named(docs), []
+    all_of = lambda **kw: sorted(map(tuple, suffix_dedup.repeated_passages(named, **kw).select("id", "start", "end").distinct().collect()))
+    united = lambda rows: {i: suffix_dedup.united(*np.array([r for r in rows if r[0] == i]).T)[1:] for i in {r[0] for r in rows}}
+    want = united(all_of(bucket_bytes=1 << 40))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(suffix_dedup, "_BUCKETS", 3)
+    cuts, inner = suffix_dedup.splitters_of(named, docs.count(), n_bytes, 24, 100, 24)
+    held = {r["bucket"]: r["leads"] for r in inner.collect()}
+    assert 1 <= len(cuts) <= 5 and set(held) <= set(range(len(cuts) + 1)) and 10 < len(cuts) + sum(map(len, held.values())) < 40
+    assert all(np.searchsorted(cuts, np.array(leads, "S24"), side="right").tolist() == [b] * len(leads) and leads == sorted(leads) for b, leads in held.items())
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name, put=suffix_dedup.materialize: rounds.append(name) or put(df, name))
+    got = united(all_of(bucket_bytes=n_bytes // 24))
+    assert rounds.count("repeats") == 1 and "inner-splitters" in rounds
+    assert got.keys() == want.keys() and all(np.array_equal(got[i], want[i]) for i in want)
+
+
 def test_blocks_give_the_same_anchors():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 100, 5000).astype(np.uint8)
