@@ -145,7 +145,7 @@ def jdbc_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mirror_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of 64 buckets made equal to its source, from which a fiftieth of the keys differ by changes, deletes and inserts."""
+    """A table of 64 ranges made equal to its source, from which it differs among the smallest keys and beyond the largest: by changes, deletes and inserts."""
     return _mirrored(spark, sf_dir)[0].current()
 
 
@@ -155,9 +155,9 @@ def mirror_bucket_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mirrored(spark: SparkSession, sf_dir: str) -> tuple[VersionedTable, dict[str, int]]:
     source, k = source_orders(spark, sf_dir), F.col("o_orderkey")
-    target = VersionedTable(spark, f"{work_dir(spark)}/orders", KEYS, 64)
-    stale = source.withColumn("o_totalprice", F.when(k % 150 == 1, F.col("o_totalprice") + 0.001).otherwise(F.col("o_totalprice")))
-    target.publish(stale.filter("o_orderkey % 150 <> 2").unionByName(source.filter("o_orderkey % 150 = 3").withColumn("o_orderkey", k + 10_000_000)))
+    target = VersionedTable(spark, f"{work_dir(spark)}/orders", KEYS, 64, "range")
+    stale = source.withColumn("o_totalprice", F.when((k % 15 == 1) & (k < 1000), F.col("o_totalprice") + 0.001).otherwise(F.col("o_totalprice")))
+    target.publish(stale.filter("NOT (o_orderkey % 15 = 2 AND o_orderkey < 1000)").unionByName(source.filter("o_orderkey % 15 = 3 AND o_orderkey < 1000").withColumn("o_orderkey", k + 10_000_000)))
     return target, target.mirror(source)
 
 
@@ -461,8 +461,8 @@ ENTRIES = {
     "mirror_buckets": (mirror_buckets, with_tables(["src_orders"], "SELECT * FROM src_orders")),
     "mirror_bucket_actions": (mirror_bucket_actions, """
         SELECT * FROM (
-          SELECT CASE o_orderkey % 150 WHEN 1 THEN 'update' WHEN 2 THEN 'insert' ELSE 'keep' END AS action, count(*) AS n_rows FROM orders GROUP BY 1
-          UNION ALL SELECT 'delete', count(*) FROM orders WHERE o_orderkey % 150 = 3) WHERE n_rows > 0"""),
+          SELECT CASE WHEN o_orderkey >= 1000 THEN 'keep' WHEN o_orderkey % 15 = 1 THEN 'update' WHEN o_orderkey % 15 = 2 THEN 'insert' ELSE 'keep' END AS action, count(*) AS n_rows FROM orders GROUP BY 1
+          UNION ALL SELECT 'delete', count(*) FROM orders WHERE o_orderkey % 15 = 3 AND o_orderkey < 1000) WHERE n_rows > 0"""),
     "range_sync": (range_sync, "SELECT * FROM events"),
     "marks_with_data": (marks_with_data, """
         SELECT 'orders' AS "table", 'updated_at' AS "column", 'ts' AS kind, max(o_orderdate)::VARCHAR AS hi, count(*) FILTER (o_orderkey % 3 = 0 OR o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 3 = 0)) AS n_rows, max(o_orderdate)::VARCHAR AS hi_kept FROM orders

@@ -234,3 +234,12 @@ def test_rows_of_a_delta_with_different_keys_are_not_shuffled(spark, tmp_path):
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "+- Sort" not in plan and "hashpartitioning(id#" in plan
     assert merged.filter("v = 'y'").count() == 50
+
+
+def test_full_refresh_replaces_schema_and_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge.full_refresh(spark.range(9).withColumn("p", F.col("id") % 2), path, partition_by=["p"])
+    merge.full_refresh(spark.createDataFrame([(1, "a", 2)], SCHEMA), path, codec="gzip")
+    assert as_set(spark.read.parquet(path)) == [(1, "a", 2)] and all(".gz." in f.name for f in tmp_path.rglob("*.parquet"))
+    merge.append(spark.createDataFrame([(1, "a", 2)], SCHEMA), path)
+    assert spark.read.parquet(path).count() == 2
