@@ -160,7 +160,7 @@ def incremental_sync(source: DataFrame, target: VersionedTable, keys: list[str],
     marks = {} if top is None else {mapping_id: {"column": column, "kind": kind, "hi": top.isoformat() if kind == "ts" else top}}
     if lo is None or now is None:
         rows = source.filter(predicate(where)) if hi is None else source.filter((F.col(column).isNull() | (F.col(column) <= F.lit(hi))) & predicate(where))
-        mode, lo, n = "full", None, target.publish(latest_per_key(rows, keys, column, tiebreak) if versions else rows, marks=marks)
+        mode, lo, n = "full", None, target.publish(latest_per_key(rows, keys, column, tiebreak) if versions else rows, marks=marks, keys_of=rows)
     else:
         since = F.lit(lo) - F.expr(f"INTERVAL {overlap}") if overlap and kind == "ts" else F.lit(lo)
         delta = pull_changes(source, column, since, F.lit(hi), where)

@@ -227,6 +227,18 @@ def upsert_jdbc(spark: SparkSession, delta: DataFrame, url: str, table: str, key
         execute_jdbc(spark, url, [merge_statement(url, table, staging, delta.columns, keys, policy)], **_login(options), refuse=there)
 
 
+def mirror_jdbc(spark: SparkSession, source: DataFrame, url: str, table: str, keys: list[str], batch_rows: int = 10_000, **options: str) -> None:
+    """Make a JDBC table equal to `source` by its keys: missing rows are deleted, others merged, in one transaction after a staging load.
+
+    Null and repeated keys are errors. Rows of the table with a null key have no row in the source, so they go.
+    """
+    rows = with_keys(one_per_key(source, keys), keys).select(source.columns)
+    with staged(spark, rows, url, table, batch_rows, **options) as staging:
+        there = " AND ".join(f"s.{k} = {table}.{k}" for k in keys)
+        missing = f"DELETE FROM {table} WHERE NOT EXISTS (SELECT 1 FROM {staging} s WHERE {there})"
+        execute_jdbc(spark, url, [missing, merge_statement(url, table, staging, rows.columns, keys, OVERWRITE)], **_login(options))
+
+
 def _equal(keys: list[str]) -> str:
     return " AND ".join(f"t.{k} = s.{k}" for k in keys)
 

@@ -185,6 +185,13 @@ def marks_with_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "table string, column string, kind string, hi string, n_rows long").join(kept, "table")
 
 
+def jdbc_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drifted table in a database made equal to its source, deletes included."""
+    url = _database(spark, target_orders(spark, sf_dir))
+    merge.mirror_jdbc(spark, _upper(source_orders(spark, sf_dir)), url, "orders", ["O_ORDERKEY"])
+    return _lower(tables.read_jdbc(spark, url, "orders", "O_ORDERKEY", partitions=4))
+
+
 def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_dir(spark)}/orders"
     for rows in (target_orders(spark, sf_dir), delta_orders(spark, sf_dir)):
@@ -450,6 +457,7 @@ ENTRIES = {
     "jdbc_failed_replace": (jdbc_failed_replace, with_tables(_DRIFT, f"SELECT {', '.join(ORDER_COLUMNS)} FROM tgt_orders")),
     "jdbc_split_scan": (jdbc_split_scan, "SELECT CASE WHEN o_orderkey % 10 = 3 THEN o_orderkey * 1000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 10 <> 7 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 10 <> 7 THEN 'it''s' ELSE 'P' END AS o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 100000"),
     "jdbc_upsert": (jdbc_upsert, with_tables(_PAIR, f"SELECT {', '.join(ORDER_COLUMNS)} FROM delta_orders UNION ALL SELECT {', '.join(ORDER_COLUMNS)} FROM tgt_orders t WHERE NOT EXISTS (SELECT 1 FROM delta_orders d WHERE d.o_orderkey = t.o_orderkey)")),
+    "jdbc_mirror": (jdbc_mirror, f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders"),
     "append_rows": (append_rows, with_tables(_PAIR, "SELECT * FROM tgt_orders UNION ALL SELECT * FROM delta_orders")),
     "partition_upsert": (partition_upsert, with_tables(_PAIR, """
         SELECT *, o_orderkey % 16 AS part FROM (

@@ -243,3 +243,17 @@ def test_full_refresh_replaces_schema_and_rows(spark, tmp_path):
     assert as_set(spark.read.parquet(path)) == [(1, "a", 2)] and all(".gz." in f.name for f in tmp_path.rglob("*.parquet"))
     merge.append(spark.createDataFrame([(1, "a", 2)], SCHEMA), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_database_mirror(spark):
+    url, read = database(spark, "mirrored", [(1, 1), (2, 2), (3, 3), (None, 4)])
+    merge.mirror_jdbc(spark, spark.createDataFrame([(2, 20), (3, 3), (5, 5)], "K int, N int"), url, "T", ["K"])
+    assert read() == [(2, 20), (3, 3), (5, 5)] and tables_of(spark, url) == ["T"]
+    for bad, message in (([(2, 1), (2, 2)], "a key stands on"), ([(None, 1)], "key column K is null")):
+        with pytest.raises(Exception, match=message):
+            merge.mirror_jdbc(spark, spark.createDataFrame(bad, "K int, N int"), url, "T", ["K"])
+    with pytest.raises(Exception, match="boom"):
+        merge.mirror_jdbc(spark, broken(spark), url, "T", ["K"])
+    assert read() == [(2, 20), (3, 3), (5, 5)]
+    merge.mirror_jdbc(spark, spark.createDataFrame([], "K int, N int"), url, "T", ["K"])
+    assert read() == []
