@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -157,6 +158,44 @@ def test_decoding_against_loops():
     assert best[-1] == 0
 
 
+def test_language_query_against_loops(spark):
+    """The whole query: which rows are learned from, n-grams counted one by one, bits by sums over buckets, the nearest codeword."""
+    from plyweave.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    codes, rows = language.train(docs), docs.collect()
+    usable = [r for r in rows if r["lang"] is not None and re.search(r"[^\W\d_]", r["text"] or "") and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    assert codes.languages == sorted({r["lang"] for r in usable})
+    got = {r["doc_id"]: r for r in queries.op5_language_id(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+
+    def bucket(gram):
+        h = len(gram) * 0x9E3779B1 % 2**32
+        for b in gram:
+            h = (h ^ b) * 0x01000193 % 2**32
+        return (h ^ h >> 15) % language.BUCKETS
+
+    for r in [x for x in rows if x["n_chars"] < 4000]:
+        mine = got[r["doc_id"]]
+        assert mine["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0)
+            continue
+        data, counts = f" {r['text'].lower()} ".encode(), {}
+        for n in (2, 3):
+            for i in range(len(data) - n + 1):
+                b = bucket(data[i : i + n])
+                counts[b] = counts.get(b, 0) + 1
+        total = sum(counts.values())
+        margins = codes.bias + sum(np.sqrt(c / total) * codes.weight[b].astype(float) for b, c in counts.items())
+        cost = [sum(t * np.log1p(np.exp(-m * bit)) for t, m, bit in zip(codes.trust, margins, word, strict=True)) for word in codes.code]
+        weights = [np.exp(min(cost) - c) for c in cost]
+        best = max(range(len(cost)), key=lambda k: weights[k])
+        assert mine["lang_pred"] == codes.languages[best] or abs(sorted(weights)[-1] - sorted(weights)[-2]) < 1e-3
+        assert abs(mine["score"] - max(weights) / sum(weights)) < 1e-3
+
+
 def test_language_odd_rows(spark):
     got = language.identify(odd(spark), language.train(odd(spark))).collect()
     assert len(got) == len(ODD)
