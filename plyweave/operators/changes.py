@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plyweave.operators.merge import latest_per_key, upsert
+from plyweave.operators.database import DatabaseTable
+from plyweave.operators.merge import latest_per_key
 from plyweave.sources import files
 from plyweave.sources.tables import predicate
 from plyweave.sources.versioned import VersionedTable
@@ -136,7 +137,7 @@ class SyncResult:
     hi: object
 
 
-def incremental_sync(source: DataFrame, target: VersionedTable, keys: list[str], checkpoints: Checkpoints, mapping_id: str, where: str | None = None, policy: str | None = None, id_column: str | None = None, overlap: str | None = None, tiebreak: list[str] | None = None, versions: bool = True) -> SyncResult:
+def incremental_sync(source: DataFrame, target: VersionedTable | DatabaseTable, keys: list[str], checkpoints: Checkpoints, mapping_id: str, where: str | None = None, policy: str | None = None, id_column: str | None = None, overlap: str | None = None, tiebreak: list[str] | None = None, versions: bool = True) -> SyncResult:
     """Pull what changed since the mapping's mark, merge it by key, then store the new mark.
 
     The new mark is the source's largest tracking value before anything is read, so rows that are committed meanwhile
@@ -164,7 +165,7 @@ def incremental_sync(source: DataFrame, target: VersionedTable, keys: list[str],
     else:
         since = F.lit(lo) - F.expr(f"INTERVAL {overlap}") if overlap and kind == "ts" else F.lit(lo)
         delta = pull_changes(source, column, since, F.lit(hi), where)
-        mode, n = "incremental", target.merge(delta, lambda rows, changed: upsert(rows, changed, keys, policy, column, tiebreak), marks=marks)
+        mode, n = "incremental", target.upsert(delta, keys, policy, column, tiebreak, marks=marks)
     if top is not None:
         checkpoints.put(mapping_id, column, kind, top)
     return SyncResult(mode, n, lo, hi)

@@ -179,10 +179,15 @@ def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: li
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def execute_jdbc(spark: SparkSession, url: str, statements: list[str], user: str | None = None, password: str | None = None, refuse: str | None = None) -> None:
+class OtherRows(RuntimeError):
+    """A statement has changed more or fewer rows than it must."""
+
+
+def execute_jdbc(spark: SparkSession, url: str, statements: list[str | tuple[str, int]], user: str | None = None, password: str | None = None, refuse: str | None = None) -> None:
     """Run statements in one transaction, over one connection of the driver.
 
-    `refuse` is a query that gives one number, asked first in the same transaction: unless it is zero, ValueError.
+    A statement may come with the number of rows that it must change, else OtherRows. `refuse` is a query that gives one number, asked first in
+    the same transaction: unless it is zero, ValueError. After any error nothing is changed.
     """
     with connected(spark, url, user, password) as connection:
         connection.setAutoCommit(False)
@@ -194,9 +199,12 @@ def execute_jdbc(spark: SparkSession, url: str, statements: list[str], user: str
                 rows.close()
                 if n:
                     raise ValueError(f"{n} keys exist already")
-            for text in statements:
+            for wanted in statements:
+                text, n = wanted if isinstance(wanted, tuple) else (wanted, None)
                 statement = connection.createStatement()
                 statement.execute(text)
+                if n is not None and statement.getUpdateCount() != n:
+                    raise OtherRows(text)
                 statement.close()
             connection.commit()
         except BaseException:
@@ -211,7 +219,7 @@ def merge_statement(url: str, table: str, staging: str, columns: list[str], keys
         change = ", ".join(f"{c} = VALUES({c})" for c in (rest if policy == OVERWRITE and rest else keys[:1]))
         return f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {staging} ON DUPLICATE KEY UPDATE {change}"
     update = f" WHEN MATCHED THEN UPDATE SET {', '.join(f'{c} = s.{c}' for c in rest)}" if policy == OVERWRITE and rest else ""
-    return f"MERGE INTO {table} t USING {staging} s ON {_equal(keys)}{update} WHEN NOT MATCHED THEN INSERT ({listed}) VALUES ({', '.join(f's.{c}' for c in columns)})"
+    return f"MERGE INTO {table} t USING {staging} s ON {equal_keys(keys)}{update} WHEN NOT MATCHED THEN INSERT ({listed}) VALUES ({', '.join(f's.{c}' for c in columns)})"
 
 
 def upsert_jdbc(spark: SparkSession, delta: DataFrame, url: str, table: str, keys: list[str], policy: str | None = OVERWRITE, order_by: str | None = None, tiebreak: list[str] | None = None, batch_rows: int = 10_000, **options: str) -> None:
@@ -223,7 +231,7 @@ def upsert_jdbc(spark: SparkSession, delta: DataFrame, url: str, table: str, key
     policy = policy_of(policy)
     delta = with_keys(latest_per_key(delta, keys, order_by, tiebreak) if order_by else one_per_key(delta, keys), keys).select(delta.columns)
     with staged(spark, delta, url, table, batch_rows, **options) as staging:
-        there = f"SELECT COUNT(*) FROM {table} t JOIN {staging} s ON {_equal(keys)}" if policy == ERROR else None
+        there = f"SELECT COUNT(*) FROM {table} t JOIN {staging} s ON {equal_keys(keys)}" if policy == ERROR else None
         execute_jdbc(spark, url, [merge_statement(url, table, staging, delta.columns, keys, policy)], **_login(options), refuse=there)
 
 
@@ -239,7 +247,7 @@ def mirror_jdbc(spark: SparkSession, source: DataFrame, url: str, table: str, ke
         execute_jdbc(spark, url, [missing, merge_statement(url, table, staging, rows.columns, keys, OVERWRITE)], **_login(options))
 
 
-def _equal(keys: list[str]) -> str:
+def equal_keys(keys: list[str]) -> str:
     return " AND ".join(f"t.{k} = s.{k}" for k in keys)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plyweave.functions.clean import strip_supplementary
 from plyweave.operators import changes, compare, merge, profile, quality
+from plyweave.operators.database import DatabaseTable
 from plyweave.plans import run
 from plyweave.plans.fixtures import mappings, source_orders, table, target_orders, with_tables
 from plyweave.sources import tables
@@ -192,6 +193,25 @@ def jdbc_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lower(tables.read_jdbc(spark, url, "orders", "O_ORDERKEY", partitions=4))
 
 
+EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value"]
+
+
+def database_to_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of two mappings from one database to another, events by their id and orders whole, run twice while the source grows."""
+    text = {"createTableColumnTypes": "EVENT_TYPE VARCHAR(20)"}
+    events = table(spark, sf_dir, "events").select(*[F.col(c).alias(c.upper()) for c in EVENT_COLUMNS])
+    url, there, root = _database(spark, table(spark, sf_dir, "orders")), f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true", work_dir(spark)
+    plan = spark.createDataFrame([("m1", "events", "events_copy", "incremental", ["EVENT_ID"], "EVENT_TYPE <> 'view'", True, 1), ("m2", "orders", "orders_copy", "full", ["O_ORDERKEY"], "O_TOTALPRICE > 100000", True, 2)], "mapping_id string, source_table string, target_table string, sync_mode string, keys array<string>, where_clause string, enabled boolean, sort_order int").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    most = events.agg(F.max("EVENT_ID")).first()[0] * 6 // 10
+    keys = {"events": "EVENT_ID", "orders": "O_ORDERKEY"}
+    for number, part in enumerate((events.filter(F.col("EVENT_ID") <= most), events.filter(F.col("EVENT_ID") > most))):
+        merge.append_jdbc(part, url, "events", **text)
+        target = lambda m: DatabaseTable(spark, there, m["target_table"], **(text if m["mapping_id"] == "m1" else {}))
+        run.sync_tables(plan, lambda name: tables.read_jdbc(spark, url, name, keys[name], partitions=4), root, f"r{number}", id_columns={"m1": "EVENT_ID"}, target=target).collect()
+    found = tables.read_jdbc(spark, there, "events_copy", "EVENT_ID", partitions=4).select(F.lit("events").alias("table"), F.col("EVENT_ID").alias("key"), F.col("VALUE").alias("number"))
+    return found.unionByName(tables.read_jdbc(spark, there, "orders_copy", "O_ORDERKEY", partitions=4).select(F.lit("orders").alias("table"), F.col("O_ORDERKEY").alias("key"), F.col("O_TOTALPRICE").alias("number")))
+
+
 def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_dir(spark)}/orders"
     for rows in (target_orders(spark, sf_dir), delta_orders(spark, sf_dir)):
@@ -458,6 +478,8 @@ ENTRIES = {
     "jdbc_split_scan": (jdbc_split_scan, "SELECT CASE WHEN o_orderkey % 10 = 3 THEN o_orderkey * 1000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 10 <> 7 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 10 <> 7 THEN 'it''s' ELSE 'P' END AS o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 100000"),
     "jdbc_upsert": (jdbc_upsert, with_tables(_PAIR, f"SELECT {', '.join(ORDER_COLUMNS)} FROM delta_orders UNION ALL SELECT {', '.join(ORDER_COLUMNS)} FROM tgt_orders t WHERE NOT EXISTS (SELECT 1 FROM delta_orders d WHERE d.o_orderkey = t.o_orderkey)")),
     "jdbc_mirror": (jdbc_mirror, f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders"),
+    "database_to_database": (database_to_database, """
+        SELECT 'events' AS "table", event_id AS key, value AS number FROM events WHERE event_type <> 'view' UNION ALL SELECT 'orders', o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000"""),
     "append_rows": (append_rows, with_tables(_PAIR, "SELECT * FROM tgt_orders UNION ALL SELECT * FROM delta_orders")),
     "partition_upsert": (partition_upsert, with_tables(_PAIR, """
         SELECT *, o_orderkey % 16 AS part FROM (

@@ -93,6 +93,11 @@ def _literal(text: str, kind: int, url: str) -> str:
         return text
     if kind == _DATE or kind == _TIME or kind in _TIMESTAMPS:
         return f"{{{'d' if kind == _DATE else 't' if kind == _TIME else 'ts'} '{text}'}}"
+    return literal_text(text, url)
+
+
+def literal_text(text: str, url: str) -> str:
+    """A text as SQL of the database at `url`."""
     text = text.replace("\\", "\\\\") if url.startswith(("jdbc:mysql:", "jdbc:mariadb:")) else text
     return "'" + text.replace("'", "''") + "'"
 

@@ -360,3 +360,32 @@ def test_stream_keeps_later_rows(spark, tmp_path):
     feed([(1, "a", DAY[3]), (1, "older", DAY[2]), (2, "b", DAY[0])])
     feed([(1, "late", DAY[1]), (2, "B", DAY[1])])
     assert sorted((r["id"], r["v"]) for r in target.current().collect()) == [(1, "a"), (2, "B")]
+
+
+def test_syncs_into_a_database(spark, tmp_path):
+    """As into files: full, then incremental by policy; the mark moves with the data or not at all."""
+    from plyweave.operators.database import DatabaseTable
+
+    url, schema = "jdbc:derby:memory:target;create=true", "ID int, N int, UPDATED_AT timestamp_ntz"
+    marks = changes.Checkpoints(spark, f"{tmp_path}/c")
+    rows = lambda *r: spark.createDataFrame([(i, n, DAY[d]) for i, n, d in r], schema)
+    go = lambda df, **kw: changes.incremental_sync(df, DatabaseTable(spark, url, "T"), ["ID"], marks, "it's", **kw)
+    read = lambda: sorted((r["ID"], r["N"]) for r in DatabaseTable(spark, url, "T").current().collect())
+    hi = lambda: DatabaseTable(spark, url, "T").mark("it's")["hi"]
+    assert DatabaseTable(spark, url, "T").current() is None and DatabaseTable(spark, url, "T").mark("it's") is None
+    first = rows((1, 1, 0), (2, 2, 1))
+    assert (go(first).mode, read(), hi()) == ("full", [(1, 1), (2, 2)], DAY[1].isoformat())
+    assert go(first).n_rows == 0
+    more = rows((1, 10, 2), (1, 9, 1), (2, 2, 1), (3, 3, 3))
+    assert (go(more).n_rows, read(), hi()) == (2, [(1, 10), (2, 2), (3, 3)], DAY[3].isoformat())
+    assert (go(rows((1, 99, 4), (4, 4, 4)), policy="skip").n_rows, read()) == (2, [(1, 10), (2, 2), (3, 3), (4, 4)])
+    with pytest.raises(ValueError, match="keys exist already"):
+        go(rows((1, 5, 5), (5, 5, 5)), policy="error")
+    assert (len(read()), hi()) == (4, DAY[4].isoformat())
+    # Another sync moves the mark while this one is on its way.
+    slow, other = DatabaseTable(spark, url, "T"), rows((6, 6, 6))
+    change = slow._change
+    slow._change = lambda *a, **kw: (go(other), change(*a, **kw))
+    with pytest.raises(Conflict):
+        changes.incremental_sync(rows((7, 7, 5)), slow, ["ID"], marks, "it's")
+    assert (read()[-1], hi()) == ((6, 6), DAY[6].isoformat())
