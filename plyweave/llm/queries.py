@@ -97,5 +97,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": contamination.ORACLE_SQL,
         "op3_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op6_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_periodic_runs": periodic_runs.ORACLE_SQL,
         "op12_exact_dedup": exact_dedup.ORACLE_SQL,
     }

@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 from frames import ODD, empty, odd
+from oracle import agree
 from pyspark.sql import functions as F
 
 from plyweave.llm import periodic_runs
@@ -129,6 +130,10 @@ def test_query_agrees_with_brute_force(spark):
     assert got.filter("n_runs > 0").count() > 5
 
 
+def test_agrees_with_sql(spark):
+    agree(spark, registered.queries()["op11_periodic_runs"], registered.oracle_sql()["op11_periodic_runs"], "/root/testdata/sf0.01")
+
+
 def test_made_texts(spark):
     rng = random.Random(11)
     rows = []
