@@ -43,6 +43,8 @@ _BUCKET = 64 << 20
 _WIDTHS = (16, 4, 1)
 #: Sampled suffixes for each splitter, fewest documents of the sample, and most buckets of the first deal: where more are wanted, each is cut by splitters of its own.
 _SAMPLED, _LEAST_DOCS, _BUCKETS = 64, 2000, 1 << 16
+#: Most buckets of a task.
+_TASK_BUCKETS = 16
 #: Segments of at most this size are sorted whole.
 _SMALL = 64
 
@@ -307,8 +309,11 @@ def repeated_passages(docs: DataFrame, span: int = 100, k: int = 24, bucket_byte
 
 
 def by_bucket(placed: DataFrame, buckets: int) -> DataFrame:
-    """Each bucket in one task, in order, and the buckets dealt to the tasks in turn, so that no two meet while others have none."""
-    tasks = min(buckets, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Each bucket in one task, in order, and the buckets dealt to the tasks in turn, so that no two meet while others have none.
+
+    As many tasks as the session has shuffle partitions, or more where these would get over _TASK_BUCKETS.
+    """
+    tasks = min(buckets, max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // _TASK_BUCKETS)))
     return placed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket")
 
 
