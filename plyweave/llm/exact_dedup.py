@@ -82,7 +82,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", normal
     rows = docs.select(row.alias("row"), F.unhex(sha).alias("digest"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(*plain).alias("tag"))
     kept = rows.alias("r").join(groups.alias("g"), (F.col("r.digest") == F.col("g.digest")) & F.col("r.id").eqNullSafe(F.col("g.id")), "left_semi")
     # Rows of a key are cut to one in each task before they are shuffled.
-    first = kept.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("tag"))).filter("nth = 1")
+    first = kept.withColumn("nth", F.row_number().over(Window.partitionBy("digest", "id").orderBy("tag"))).filter("nth = 1")
     return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
