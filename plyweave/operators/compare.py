@@ -168,7 +168,9 @@ def differing_rows(source: DataFrame, target: DataFrame, keys: list[str], chunk_
             narrow = _joined(odd, keys, chunk_key, size, odd_keys)
             break
         spans, nulls = _intervals([c for c in found if c is not None], size), None in found
-        if len(spans) <= MOST_INTERVALS:
+        if not (chunk_key is not None and isinstance(source.schema[chunk_key].dataType, T.IntegralType)):
+            narrow = _among(found, keys, chunk_key, size, odd_keys)
+        elif len(spans) <= MOST_INTERVALS:
             narrow = _between(spans, nulls, keys, chunk_key, odd_keys)
         else:
             # At most MOST_RANGES rows.
@@ -190,6 +192,11 @@ def _between(spans: list[tuple[int, int]], nulls: bool, keys: list[str], chunk_k
     return narrow
 
 
+def _among(found: list[int], keys: list[str], chunk_key: str | None, size: int, odd_keys: Column) -> Callable[[DataFrame], DataFrame]:
+    """By hashes, which reach no scan: one look-up among at most MOST_RANGES numbers, so that a row is hashed once."""
+    return lambda df: df.filter(odd_keys | F.shiftright(_place(df, keys, chunk_key), size.bit_length() - 1).isin(found))
+
+
 def _joined(chunks: DataFrame, keys: list[str], chunk_key: str | None, size: int, odd_keys: Column) -> Callable[[DataFrame], DataFrame]:
     def narrow(df: DataFrame) -> DataFrame:
         place = _place(df, keys, chunk_key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -135,15 +135,20 @@ def replace_content(spark: SparkSession, df: DataFrame, url: str, table: str, ba
 
 
 @contextmanager
-def staged(spark: SparkSession, df: DataFrame, url: str, table: str, batch_rows: int = 10_000, **options: str) -> Iterator[str]:
+def staged(spark: SparkSession, df: DataFrame, url: str, table: str, batch_rows: int = 10_000, index: list[str] | None = None, **options: str) -> Iterator[str]:
     """Load `df` from all tasks into a new table beside `table` and give its name; it is dropped at the end.
 
+    `index`: columns by which it is looked up; it gets an index on them, where the database can have one on their types.
+
     Its name is new each time, so it meets no other table and no other load. What goes wrong is raised as it is: that the
     staging table can't be dropped then (as when it was never made) is only noted with it.
     """
     staging, login = f"{table.rpartition('.')[0]}.stage_{uuid.uuid4().hex[:20]}".lstrip("."), _login(options)
     try:
         df.write.format("jdbc").options(url=url, dbtable=staging, batchsize=str(batch_rows), **options).mode("error").save()
+        if index:
+            with suppress(Exception):  # without it the merge takes longer
+                execute_jdbc(spark, url, [f"CREATE INDEX {staging}_k ON {staging} ({', '.join(index)})"], **login)
         yield staging
     except BaseException as error:
         try:
@@ -230,7 +235,7 @@ def upsert_jdbc(spark: SparkSession, delta: DataFrame, url: str, table: str, key
     """
     policy = policy_of(policy)
     delta = with_keys(latest_per_key(delta, keys, order_by, tiebreak) if order_by else one_per_key(delta, keys), keys).select(delta.columns)
-    with staged(spark, delta, url, table, batch_rows, **options) as staging:
+    with staged(spark, delta, url, table, batch_rows, keys, **options) as staging:
         there = f"SELECT COUNT(*) FROM {table} t JOIN {staging} s ON {equal_keys(keys)}" if policy == ERROR else None
         execute_jdbc(spark, url, [merge_statement(url, table, staging, delta.columns, keys, policy)], **_login(options), refuse=there)
 
@@ -241,7 +246,7 @@ def mirror_jdbc(spark: SparkSession, source: DataFrame, url: str, table: str, ke
     Null and repeated keys are errors. Rows of the table with a null key have no row in the source, so they go.
     """
     rows = with_keys(one_per_key(source, keys), keys).select(source.columns)
-    with staged(spark, rows, url, table, batch_rows, **options) as staging:
+    with staged(spark, rows, url, table, batch_rows, keys, **options) as staging:
         there = " AND ".join(f"s.{k} = {table}.{k}" for k in keys)
         missing = f"DELETE FROM {table} WHERE NOT EXISTS (SELECT 1 FROM {staging} s WHERE {there})"
         execute_jdbc(spark, url, [missing, merge_statement(url, table, staging, rows.columns, keys, OVERWRITE)], **_login(options))
