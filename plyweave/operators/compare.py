@@ -63,8 +63,11 @@ def content_hash(df: DataFrame, exclude: list[str] | None = None) -> Column:
 
 def content_sum(hashed: Column) -> Column:
     """An aggregate that is equal for equal rows in any order: sums of three parts of their hashes, which 2^41 rows can't overflow."""
-    part = lambda bits: F.sum(F.shiftrightunsigned(hashed, bits).bitwiseAND(F.lit((1 << 22) - 1)))
-    return F.concat_ws(":", *[part(bits).cast("string") for bits in (0, 22, 44)])
+    return F.concat_ws(":", *[F.sum(part).cast("string") for part in _parts(hashed)])
+
+
+def _parts(hashed: Column) -> list[Column]:
+    return [F.shiftrightunsigned(hashed, bits).bitwiseAND(F.lit((1 << 22) - 1)) for bits in (0, 22, 44)]
 
 
 def checksum_mismatches(source: DataFrame, target: DataFrame, keys: list[str], exclude: list[str] | None = None) -> DataFrame:
@@ -116,14 +119,25 @@ def reconcile_summary(source: DataFrame, target: DataFrame, keys: list[str]) ->
     return reconcile(source, target, keys).groupBy("status").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
+def _whole(df: DataFrame, chunk_key: str | None) -> bool:
+    return chunk_key is not None and isinstance(df.schema[chunk_key].dataType, T.IntegralType)
+
+
 def _place(df: DataFrame, keys: list[str], chunk_key: str | None) -> Column:
     """A number by which rows are put into ranges: a whole-number column itself, else a hash of the column or of the keys."""
-    if chunk_key is not None and isinstance(df.schema[chunk_key].dataType, T.IntegralType):
+    if _whole(df, chunk_key):
         return F.col(chunk_key).cast("long")
     columns = keys if chunk_key is None else [chunk_key]
     return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
 
 
+def _chunk(place: Column, size: int) -> Column:
+    """The number of the range of `size` places that holds the place, rounded down in whole numbers: all 64 bits count."""
+    if size & (size - 1) == 0:
+        return F.shiftright(place, size.bit_length() - 1)
+    return F.call_function("div", place, F.lit(size)) - F.when(place % F.lit(size) < 0, 1).otherwise(0)
+
+
 def _intervals(chunks: list[int], size: int) -> list[tuple[int, int]]:
     """[low, high) of the places of the chunks, neighbours put together."""
     out: list[tuple[int, int]] = []
@@ -135,40 +149,66 @@ def _intervals(chunks: list[int], size: int) -> list[tuple[int, int]]:
     return out
 
 
-#: Ranges of a level that come to the driver, to narrow the next one, and intervals that are written as a predicate.
-MOST_RANGES, MOST_INTERVALS = 10_000, 200
+#: Ranges of a level that come to the driver to narrow the next one, of these those that are looked up in a list, and intervals that are written as a predicate.
+MOST_BROADCAST, MOST_RANGES, MOST_INTERVALS = 1_000_000, 10_000, 200
+#: Ranges of the first level of hashes have this size, so there are 1,024; the finest ones have about so many rows, however large the table.
+FIRST_HASHES, RANGE_ROWS = 1 << 54, 1
+
+
+def _compared(source: DataFrame, target: DataFrame, keys: list[str], chunk_key: str | None, size: int) -> DataFrame:
+    """_chunk, n_rows (of both), odd (whether the content differs), by one shuffle: the target's rows are subtracted from the source's."""
+    signed = []
+    for df, sign in ((source, 1), (target.select(source.columns), -1)):
+        h = df.select(_chunk(_place(df, keys, chunk_key), size).cast("long").alias("_chunk"), F.lit(sign).cast("long").alias("sign"), content_hash(df).alias("h"))
+        signed.append(h.select("_chunk", "sign", *[(F.col("sign") * part).alias(f"h{i}") for i, part in enumerate(_parts(F.col("h")))]))
+    left = ["sign", "h0", "h1", "h2"]
+    summed = signed[0].unionAll(signed[1]).groupBy("_chunk").agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(c) for c in left])
+    return summed.select("_chunk", "n_rows", F.greatest(*[F.col(c) != 0 for c in left]).alias("odd"))
+
+
+def _finest(n: int) -> int:
+    """The size at which hashes of n rows are in ranges of about RANGE_ROWS rows."""
+    return 1 << max(0, 64 - max(0, n // RANGE_ROWS - 1).bit_length())
 
 
 def differing_rows(source: DataFrame, target: DataFrame, keys: list[str], chunk_key: str | None = None, sizes: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of both in ranges whose content differs, and all whose keys are null in part.
 
     Ranges are of `chunk_key`, if it is of whole numbers, else of a hash of it, or of the keys (any number of any type). `sizes`
-    falls: the sums of the largest ranges are compared first, then those of the next size within ranges that differ.
-    Rows with a null `chunk_key` are a range of their own. Where more than MOST_RANGES differ, nothing finer is tried.
+    falls: the sums of the largest ranges are compared first, then those of the next size within ranges that differ. Without
+    `sizes` hashes have two levels, the second of ranges that hold about RANGE_ROWS rows: what is read for a row that differs doesn't
+    grow with the table. Rows with a null `chunk_key` are a range of their own.
+    Ranges that differ come to the driver up to MOST_BROADCAST; where there are more, both tables are shuffled to be joined with them, and nothing finer is tried.
     At each level both tables are read, filtered by intervals of the key, which reaches the scan if these are few.
     """
-    sizes = sizes or [1 << 54, 1 << 44]
+    whole = _whole(source, chunk_key)
+    fitted = sizes is None and not whole
+    sizes = list(sizes or ([FIRST_HASHES] if fitted else [1 << 54, 1 << 44]))
     narrow: Callable[[DataFrame], DataFrame] = lambda df: df
     odd_keys = F.lit(False)
     for k in keys:
         odd_keys = odd_keys | F.col(k).isNull()
-    for size in sizes:
-        sums = []
-        for df in (source, target.select(source.columns)):
-            part = narrow(df)
-            chunk = F.floor(_place(part, keys, chunk_key) / F.lit(size)) if size < 1 << 50 else F.shiftright(_place(part, keys, chunk_key), size.bit_length() - 1)
-            sums.append(part.select(chunk.cast("long").alias("chunk"), content_hash(part).alias("h")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), content_sum(F.col("h")).alias("sum")))
-        a, b = (x.alias(name) for x, name in zip(sums, ("a", "b"), strict=True))
-        same = F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.sum").eqNullSafe(F.col("b.sum"))
-        odd = a.join(b, F.col("a.chunk").eqNullSafe(F.col("b.chunk")), "full").filter(~same).select(F.coalesce("a.chunk", "b.chunk").alias("_chunk"))
-        found = [r["_chunk"] for r in odd.limit(MOST_RANGES + 1).collect()]
+    for level, size in enumerate(sizes):
+        compared = _compared(narrow(source), narrow(target), keys, chunk_key, size)
+        odd = compared.filter("odd").select("_chunk")
+        if fitted and level == 0:
+            rows = compared.collect()  # one for each of the 1,024 ranges
+            found = [r["_chunk"] for r in rows if r["odd"]]
+            finest = _finest(sum(r["n_rows"] for r in rows) // 2)
+            sizes += [finest] if finest < size else []
+        else:
+            few = odd.limit(MOST_BROADCAST + 1).toArrow()
+            if few.num_rows > MOST_BROADCAST:
+                narrow = _joined(odd, keys, chunk_key, size, odd_keys)
+                break
+            if few.num_rows > MOST_RANGES:
+                narrow = _joined(F.broadcast(source.sparkSession.createDataFrame(few, "_chunk long")), keys, chunk_key, size, odd_keys)
+                continue
+            found = few["_chunk"].to_pylist()
         if not found:
             return source.filter(odd_keys), target.filter(odd_keys)
-        if len(found) > MOST_RANGES:
-            narrow = _joined(odd, keys, chunk_key, size, odd_keys)
-            break
         spans, nulls = _intervals([c for c in found if c is not None], size), None in found
-        if not (chunk_key is not None and isinstance(source.schema[chunk_key].dataType, T.IntegralType)):
+        if not whole:
             narrow = _among(found, keys, chunk_key, size, odd_keys)
         elif len(spans) <= MOST_INTERVALS:
             narrow = _between(spans, nulls, keys, chunk_key, odd_keys)
@@ -194,15 +234,14 @@ def _between(spans: list[tuple[int, int]], nulls: bool, keys: list[str], chunk_k
 
 def _among(found: list[int], keys: list[str], chunk_key: str | None, size: int, odd_keys: Column) -> Callable[[DataFrame], DataFrame]:
     """By hashes, which reach no scan: one look-up among at most MOST_RANGES numbers, so that a row is hashed once."""
-    return lambda df: df.filter(odd_keys | F.shiftright(_place(df, keys, chunk_key), size.bit_length() - 1).isin(found))
+    return lambda df: df.filter(odd_keys | _chunk(_place(df, keys, chunk_key), size).isin(found))
 
 
 def _joined(chunks: DataFrame, keys: list[str], chunk_key: str | None, size: int, odd_keys: Column) -> Callable[[DataFrame], DataFrame]:
     def narrow(df: DataFrame) -> DataFrame:
-        place = _place(df, keys, chunk_key)
-        chunk = F.floor(place / F.lit(size)) if size < 1 << 50 else F.shiftright(place, size.bit_length() - 1)
-        inside = df.filter(~odd_keys).withColumn("_at", chunk.cast("long"))
-        inside = inside.join(chunks, F.col("_at").eqNullSafe(F.col("_chunk")), "left_semi").drop("_at")
+        inside = df.filter(~odd_keys).withColumn("_at", _chunk(_place(df, keys, chunk_key), size).cast("long"))
+        same = F.col("_at") == F.col("_chunk") if not _whole(df, chunk_key) else F.col("_at").eqNullSafe(F.col("_chunk"))
+        inside = inside.join(chunks, same, "left_semi").drop("_at")
         return inside.unionByName(df.filter(odd_keys))
 
     return narrow
@@ -212,9 +251,10 @@ def reconcile_by_ranges(source: DataFrame, target: DataFrame, keys: list[str], c
     """As `reconcile` without the rows that are the same: only ranges whose content differs are joined row by row.
 
     Sums are exact to the last digit of times and the last bit of doubles. The finest ranges have `chunk` keys, those of each
-    level above `fanout` times as many; without a `chunk_key` (or with one that is no whole number) ranges are of hashes. The sums
-    are one small row a range, so where tables mostly agree, hardly anything is shuffled.
+    level above `fanout` times as many; without a `chunk_key` (or with one that is no whole number) ranges are of hashes, the finest
+    of about RANGE_ROWS rows. The sums are one small row a range, so where tables mostly agree, hardly anything is shuffled; where
+    all of the largest ranges differ, sums of all rows are, but rows only from the finest ranges that differ.
     """
-    whole = chunk_key is not None and isinstance(source.schema[chunk_key].dataType, T.IntegralType)
+    whole = _whole(source, chunk_key)
     sizes = [(chunk or 10_000) * fanout**level for level in range(levels - 1, -1, -1)] if whole else None
     return reconcile(*differing_rows(source, target, keys, chunk_key, sizes), keys).filter("status <> 'same'")

@@ -97,3 +97,53 @@ def test_finer_levels_read_only_what_differs(spark, tmp_path):
     a, _ = compare.differing_rows(s, s.filter("id <> 4321"), ["id"], "id", [1000, 100])
     assert sorted(r["id"] for r in a.collect()) == list(range(4300, 4400))
     assert "GreaterThanOrEqual(id,4300)" in a._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_differing_ranges_shuffle_no_whole_table(spark, monkeypatch, tmp_path):
+    """Up to a bound they are broadcast: rows that agree stay where they are."""
+    monkeypatch.setattr(compare, "MOST_RANGES", 50)
+    path = str(tmp_path / "t")
+    spark.range(3000).select("id", F.col("id").cast("string").alias("v")).write.parquet(path)
+    s = spark.read.parquet(path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for key, sizes in (("id", [100, 2]), (None, None)):
+            rows, _ = compare.differing_rows(s, s.filter("id % 7 <> 0"), ["id"], key, sizes)
+            assert {r["id"] for r in rows.collect()} >= set(range(0, 3000, 7))
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan
+            assert "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_finest_hash_ranges_hold_few_rows_however_large_the_table(spark, monkeypatch):
+    for n in (600_000, 36_000_000, 216_000_000):
+        assert 1 <= (1 << 64) // compare._finest(n) * compare.RANGE_ROWS / n < 2
+    monkeypatch.setattr(compare, "FIRST_HASHES", 1 << 62)  # 4 ranges
+    s = spark.range(5000).select("id", (F.col("id") % 5).alias("v"))
+    t = s.withColumn("v", F.when(F.col("id") % 1000 == 3, 9).otherwise(F.col("v")))
+    a, b = (x.count() for x in compare.differing_rows(s, t, ["id"]))
+    assert 5 <= a == b <= 50
+    assert sorted(map(tuple, compare.reconcile_by_ranges(s, t, ["id"]).collect())) == [(i, "changed") for i in range(3, 5000, 1000)]
+
+
+def test_more_ranges_differ_than_are_broadcast(spark, monkeypatch):
+    s = spark.range(3000).select("id", F.when(F.col("id") % 5 > 0, F.floor(F.col("id") / 10)).alias("v"), (F.col("id") % 3).cast("string").alias("w"))
+    t = s.filter("id % 7 <> 0").withColumn("w", F.when(F.col("id") == 11, None).otherwise(F.col("w")))
+    want = sorted([(i, "only_source") for i in range(0, 3000, 7)] + [(11, "changed")])
+    for most, joined in ((20, 1_000_000), (20, 40)):
+        monkeypatch.setattr(compare, "MOST_RANGES", most)
+        monkeypatch.setattr(compare, "MOST_BROADCAST", joined)
+        for key in ("id", "v", "w", None):
+            assert sorted(map(tuple, compare.reconcile_by_ranges(s, t, ["id"], key, 2, fanout=10).collect())) == want
+
+
+def test_ranges_of_numbers_beyond_the_digits_of_doubles(spark):
+    for first in (1 << 60, -(1 << 63)):
+        s = spark.range(first, first + 1000).select("id", F.lit(1).alias("v"))
+        odd = [first + i for i in (0, 99, 517, 999)]
+        t = s.withColumn("v", F.when(F.col("id").isin(odd), 2).otherwise(F.col("v")))
+        for chunk, fanout in ((100, 10), (64, 4)):
+            assert sorted(map(tuple, compare.reconcile_by_ranges(s, t, ["id"], "id", chunk, fanout=fanout).collect())) == [(i, "changed") for i in odd]
