@@ -155,15 +155,19 @@ MOST_BROADCAST, MOST_RANGES, MOST_INTERVALS = 1_000_000, 10_000, 200
 FIRST_HASHES, RANGE_ROWS = 1 << 54, 1
 
 
-def _compared(source: DataFrame, target: DataFrame, keys: list[str], chunk_key: str | None, size: int) -> DataFrame:
-    """_chunk, n_rows (of both), odd (whether the content differs), by one shuffle: the target's rows are subtracted from the source's."""
+def _compared(source: DataFrame, target: DataFrame, keys: list[str], chunk_key: str | None, size: int, even: bool = False) -> DataFrame:
+    """_chunk, n_rows (of both), odd (whether the content differs), by one shuffle: the target's rows are subtracted from the source's.
+
+    `even`: ranges have few rows each, so tasks send hashes as they are; sums by task would fill memory and merge hardly any.
+    """
     signed = []
     for df, sign in ((source, 1), (target.select(source.columns), -1)):
-        h = df.select(_chunk(_place(df, keys, chunk_key), size).cast("long").alias("_chunk"), F.lit(sign).cast("long").alias("sign"), content_hash(df).alias("h"))
-        signed.append(h.select("_chunk", "sign", *[(F.col("sign") * part).alias(f"h{i}") for i, part in enumerate(_parts(F.col("h")))]))
-    left = ["sign", "h0", "h1", "h2"]
-    summed = signed[0].unionAll(signed[1]).groupBy("_chunk").agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(c) for c in left])
-    return summed.select("_chunk", "n_rows", F.greatest(*[F.col(c) != 0 for c in left]).alias("odd"))
+        signed.append(df.select(_chunk(_place(df, keys, chunk_key), size).cast("long").alias("_chunk"), F.lit(sign).cast("long").alias("sign"), content_hash(df).alias("h")))
+    both = signed[0].unionAll(signed[1])
+    both = both.repartition("_chunk") if even else both
+    left = {"sign": F.col("sign")} | {f"h{i}": F.col("sign") * part for i, part in enumerate(_parts(F.col("h")))}
+    summed = both.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(name) for name, c in left.items()])
+    return summed.select("_chunk", "n_rows", F.greatest(*[F.col(name) != 0 for name in left]).alias("odd"))
 
 
 def _finest(n: int) -> int:
@@ -184,18 +188,21 @@ def differing_rows(source: DataFrame, target: DataFrame, keys: list[str], chunk_
     whole = _whole(source, chunk_key)
     fitted = sizes is None and not whole
     sizes = list(sizes or ([FIRST_HASHES] if fitted else [1 << 54, 1 << 44]))
+    even = False
     narrow: Callable[[DataFrame], DataFrame] = lambda df: df
     odd_keys = F.lit(False)
     for k in keys:
         odd_keys = odd_keys | F.col(k).isNull()
     for level, size in enumerate(sizes):
-        compared = _compared(narrow(source), narrow(target), keys, chunk_key, size)
+        compared = _compared(narrow(source), narrow(target), keys, chunk_key, size, even)
         odd = compared.filter("odd").select("_chunk")
         if fitted and level == 0:
             rows = compared.collect()  # one for each of the 1,024 ranges
             found = [r["_chunk"] for r in rows if r["odd"]]
-            finest = _finest(sum(r["n_rows"] for r in rows) // 2)
-            sizes += [finest] if finest < size else []
+            n = sum(r["n_rows"] for r in rows)
+            # A hash that many rows have (a repeated key, a column of few values) makes its range stand out.
+            even = max((r["n_rows"] for r in rows), default=0) * ((1 << 64) // size) <= 4 * n
+            sizes += [_finest(n // 2)] if _finest(n // 2) < size else []
         else:
             few = odd.limit(MOST_BROADCAST + 1).toArrow()
             if few.num_rows > MOST_BROADCAST:

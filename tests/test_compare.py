@@ -147,3 +147,14 @@ def test_ranges_of_numbers_beyond_the_digits_of_doubles(spark):
         t = s.withColumn("v", F.when(F.col("id").isin(odd), 2).otherwise(F.col("v")))
         for chunk, fanout in ((100, 10), (64, 4)):
             assert sorted(map(tuple, compare.reconcile_by_ranges(s, t, ["id"], "id", chunk, fanout=fanout).collect())) == [(i, "changed") for i in odd]
+
+
+def test_sums_by_task_only_where_hashes_recur(spark, monkeypatch):
+    seen, plain = [], compare._compared
+    monkeypatch.setattr(compare, "_compared", lambda *args: seen.append(args[-1]) or plain(*args))
+    s = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).cast("string").alias("w"))
+    t = s.filter("id <> 8")
+    for key, even in ((None, True), ("w", False)):
+        seen.clear()
+        assert [tuple(r) for r in compare.reconcile_by_ranges(s, t, ["id"], key).collect()] == [(8, "only_source")]
+        assert seen == [False, even]
